@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, language, quality, token_count
+from proofline.llm import bpe, language, lines, mixing, quality, simhash, token_count
 from proofline.llm.common import held_out
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs.select("doc_id", "held_out", "text"), prototypes).drop("text")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return lines.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.asc_nulls_last("position"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -41,8 +55,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+}
