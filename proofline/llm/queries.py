@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, language, lines, mixing, quality, simhash, token_count
+from proofline.llm import bpe, digests, language, lines, mixing, quality, simhash, token_count
 from proofline.llm.common import held_out
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprints_and_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: held_out(doc_id, 5, 0))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_exact_fingerprint": op8_exact_fingerprint,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
