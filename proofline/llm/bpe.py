@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import fresh, pieces
+from proofline.llm.common import bounded_batches, fresh, pieces
 
 #: Texts are handed to the tokenizer in chunks of about this many code points.
 CHUNK = 1 << 16
@@ -90,7 +90,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
         flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
-    return df.withColumn(ids, token_ids(F.col(text)))
+    return bounded_batches(df).withColumn(ids, token_ids(F.col(text)))
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -105,7 +105,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", data:
         tokenizer = encoding(shipped.value, pattern)
         return pa.array([tokenizer.decode_bytes(value or []) for part in pieces(column) for value in part], pa.binary())
 
-    return df.withColumn(data, raw_bytes(F.col(ids)))
+    return bounded_batches(df).withColumn(data, raw_bytes(F.col(ids)))
 
 
 def round_trip_digests(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:

@@ -32,6 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends Python workers at most 4 MB of rows at once.
+
+    Spark's default of 64 MB multiplies in a worker (decoded texts, results), whatever the executor has.
+    A smaller setting of the session's own is left.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1024:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet, compared without case as Spark does."""
     taken = {c.lower() for c in df.columns}

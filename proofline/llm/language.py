@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import fresh, pieces
+from proofline.llm.common import bounded_batches, fresh, pieces
 
 #: Components of a profile.
 DIMENSIONS = 1024
@@ -122,7 +122,7 @@ def learn_prototypes(
             yield pd.DataFrame({"lang": name, "component": np.arange(dimensions), "value": vector})
 
     summed = (
-        work.mapInPandas(bundle, "lang string, component int, value double")
+        bounded_batches(work).mapInPandas(bundle, "lang string, component int, value double")
         .groupBy("lang", "component")
         .agg(F.sum("value").alias("value"))
         .groupBy("lang")
@@ -175,7 +175,7 @@ def predict_language(
 
     found = fresh(df, "nearest")
     return (
-        df.withColumn(found, nearest(F.col(text)))
+        bounded_batches(df).withColumn(found, nearest(F.col(text)))
         .withColumns({lang_pred: F.col(f"{found}.lang"), score: F.col(f"{found}.score")})
         .drop(found)
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import cut, fresh, pieces
+from proofline.llm.common import bounded_batches, cut, fresh, pieces
 
 #: Transformed statistics of a text, in the order in which ``statistics`` returns them.
 STATISTICS = (
@@ -80,7 +80,7 @@ def with_statistics(df: DataFrame, text: str = "text", name: str = "statistics")
     def of(column: pa.Array) -> pa.Array:
         return pa.array([statistics(value) for part in pieces(column) for value in part], pa.list_(pa.float64()))
 
-    return df.withColumn(name, of(F.col(text)))
+    return bounded_batches(df).withColumn(name, of(F.col(text)))
 
 
 @dataclass

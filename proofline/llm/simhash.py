@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import cut, pieces
+from proofline.llm.common import bounded_batches, cut, pieces
 
 #: Words of a shingle, and seed of its hash.
 SHINGLE, SEED = 3, 42
@@ -44,7 +44,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint
     def of(column: pa.Array) -> pa.Array:
         return pa.array([fingerprint(value) for part in pieces(column) for value in part], pa.int64())
 
-    return df.withColumn(name, of(F.col(text)))
+    return bounded_batches(df).withColumn(name, of(F.col(text)))
 
 
 def _segment(bits: Column, i: int) -> Column:

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import pieces
+from proofline.llm.common import bounded_batches, pieces
 
 #: White space mark of the vocabulary's pieces.
 SPACE = "▁"
@@ -139,4 +139,4 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", n_tokens: s
         viterbi = counter(*shipped.value)
         return pa.array([viterbi.count(value) for part in pieces(column) for value in part], pa.int64())
 
-    return df.withColumn(n_tokens, counts(F.col(text)))
+    return bounded_batches(df).withColumn(n_tokens, counts(F.col(text)))
