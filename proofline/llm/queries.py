@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, digests, language, lines, mixing, quality, simhash, token_count
+from proofline.llm import bpe, digests, html_text, language, lines, mixing, neighbours, quality, simhash, token_count
 from proofline.llm.common import held_out
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path(PIECES)).select("doc_id", "n_tokens")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
     prototypes = language.learn_prototypes(docs.where("not held_out"))
@@ -56,8 +60,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: held_out(doc_id, 5, 0))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
@@ -65,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_fingerprint": op8_exact_fingerprint,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {
