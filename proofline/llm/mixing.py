@@ -96,13 +96,14 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """``docs`` with size, source_size, target, taken and position.
+    """``docs`` with size, source_size, target, taken, position and positions.
 
     ``size`` counts the words of the whole text (null: 0). Each source passes its documents in an order drawn
     by md5 of doc_id, again from the first after the last, until the words taken reach its target to the nearest
     word; ``taken`` is what the mix takes of the document, repeats counted, at most ``most`` times its size. The
     last one may be taken in part. ``position`` (0 to 1, null if nothing is taken) is the time of training at
     which the document first comes: the time by which its source's schedule has asked for the words before it.
+    ``positions`` has those of all its whole copies; a part of half the document or more counts as a whole one.
 
     A source's running sums are taken within slices of md5, which hold a 4096th of it each, and then over the
     slices, so that a source with most of the rows is spread. A null source is a source; null and repeated
@@ -137,19 +138,38 @@ def mix(
     passes = F.floor(F.col("_due") / full)
     rest = F.least(F.greatest(F.col("_due") - passes * full - start, F.lit(0)), size)
     taken = (passes * size + rest).cast("long")
-    share = F.least(start / F.nullif(F.col("_target"), F.lit(0.0)), F.lit(1.0))
-    time = _by_turns([_time_of(share, s) for s in schedules], F.col("_rank"))
+
+    def time(nth: Column) -> Column:
+        share = F.least((nth * full + start) / F.nullif(F.col("_target"), F.lit(0.0)), F.lit(1.0))
+        return _by_turns([_time_of(share, s) for s in schedules], F.col("_rank"))
+
+    copies = F.when(size > 0, passes + F.when(2 * rest >= size, 1).otherwise(0)).otherwise(0).cast("int")
+    positions = F.when(copies > 0, F.transform(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1), time)).otherwise(F.array().cast("array<double>"))
     return placed.withColumns(
         {
             "size": size,
             "source_size": F.col("_source_size"),
             "target": F.col("_target"),
             "taken": taken,
-            "position": F.when(taken > 0, time),
+            "position": F.when(taken > 0, time(F.lit(0))),
+            "positions": positions,
         }
     ).drop(*KEY, "_size", "_digest", "_slice", "_start", "_inside", "_source_size", "_target", "_due", "_rank")
 
 
+def in_training_order(
+    docs: DataFrame, schedules: Sequence[Schedule] = CONSTANT, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
+    """The copies of ``docs`` that the mix takes, range-sorted by their positions; the columns are those of ``docs``.
+
+    Whole documents only: one that is taken in part comes once more if the part is at least half of it. What has
+    no words, or isn't taken, is left out. Ties go by doc_id and text.
+    """
+    mixed = mix(docs, schedules, most, doc_id, text, source)
+    placed = mixed.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("positions").alias("_position"))
+    return placed.orderBy("_position", doc_id, text).drop("_position")
+
+
 #: DuckDB SQL for ``mix`` with the default schedules.
 ORACLE = """
 WITH d AS (

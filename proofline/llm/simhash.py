@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.llm.common import bounded_batches, cut, pieces
@@ -140,10 +140,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, bits (long), fingerprint (16 hex digits), component_id and group_size of each row.
+    """doc_id, bits (long), fingerprint (16 hex digits), root, component_id and group_size of each row.
 
     Texts with one fingerprint are one class; only classes are compared. ``component_id`` is the smallest doc_id
-    of the component, null only if all of them are null; ``group_size`` counts its rows. Null and empty texts
+    of the component, null only if all of them are null; ``root`` is its least fingerprint as a long and names it,
+    ``group_size`` counts its rows. Null and empty texts
     have fingerprint zero and link like any other. Repeated rows stay. An empty table gives no rows.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -154,7 +155,28 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .withColumn("root", F.coalesce("root", "bits"))
     )
     groups = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
-    by_class = rooted.join(groups, "root").select("bits", "component_id", "group_size")
+    by_class = rooted.join(groups, "root").select("bits", "root", "component_id", "group_size")
     return known.join(by_class, "bits").select(
-        "doc_id", "bits", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "group_size"
+        "doc_id", "bits", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "root", "component_id", "group_size"
     )
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Of repeated rows with that doc_id one stays, as of rows that share it with different texts. A component in
+    which all ids are null keeps one of them. Whole texts move once, to meet the list of those that stay.
+    """
+    stays = (
+        near_groups(docs, doc_id, text)
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.min("doc_id").alias("_id"), F.min("bits").alias("_bits"))
+        .select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_bits")
+    )
+    keyed = with_fingerprint(docs, text, "_bits").withColumns(
+        {"_none": F.col(doc_id).isNull(), "_id": F.coalesce(F.col(doc_id), F.lit(0))}
+    )
+    key = ["_none", "_id", "_bits"]
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(text))
+    return keyed.join(stays, key, "left_semi").withColumn("_nth", first).where("_nth = 1").drop(*key, "_nth")
