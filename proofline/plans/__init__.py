@@ -1,0 +1,5 @@
+"""Registered queries: name -> (function of spark and sf_dir, DuckDB SQL or None)."""
+
+from proofline.plans import corpus, retrieval
+
+QUERIES = {**retrieval.QUERIES, **corpus.QUERIES}
