@@ -16,15 +16,21 @@ def _digest(value: Column) -> Column:
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES
+    docs: DataFrame,
+    host: str = "source",
+    text: str = "text",
+    most_share: float = MOST_SHARE,
+    least_pages: int = LEAST_PAGES,
+    n_lines: str = "n_lines",
+    n_dropped: str = "n_dropped",
 ) -> DataFrame:
-    """``docs`` without its hosts' boilerplate lines, and with n_lines and n_dropped.
+    """``docs`` without its hosts' boilerplate lines, and with ``n_lines`` and ``n_dropped``.
 
     Lines end at line feeds and are compared without leading and trailing spaces; blank lines are neither
     counted nor dropped. Pages of a host with the same text count once, in a line's pages and in the host's
     total, so that copies of a page don't make its lines boilerplate. ``n_lines`` and ``n_dropped`` (long) count
     the lines that are not blank, repeats included. A text whose lines are all dropped becomes empty; null stays
-    null with counts of 0. A null host is a host. Columns named n_lines and n_dropped are replaced, others and
+    null with counts of 0. A null host is a host. Columns of the two names are replaced, others and
     repeated rows stay.
 
     Counting goes by digests of 16 bytes; whole texts move once, to meet the lines that they lose. Both sides
@@ -57,15 +63,15 @@ def drop_boilerplate(
     )
     lost = on_pages.join(common, [*site, "_line"]).groupBy(*page).agg(F.collect_list("_line").alias("_lost"))
     is_lost = lambda line: F.array_contains("_lost", _digest(F.trim(line)))
-    n_lines = F.size(F.filter(stripped, lambda line: line != ""))
+    there = F.size(F.filter(stripped, lambda line: line != ""))
     kept = F.filter(F.split(F.col(text), "\n"), lambda line: ~is_lost(line))
     n_kept = F.size(F.filter(kept, lambda line: F.trim(line) != ""))
     return (
         keyed.join(lost, page, "left")
         .withColumns(
             {
-                "n_lines": F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long"),
-                "n_dropped": F.when(F.col("_lost").isNull() | F.col(text).isNull(), 0).otherwise(n_lines - n_kept).cast("long"),
+                n_lines: F.when(F.col(text).isNull(), 0).otherwise(there).cast("long"),
+                n_dropped: F.when(F.col("_lost").isNull() | F.col(text).isNull(), 0).otherwise(there - n_kept).cast("long"),
                 text: F.when(F.col("_lost").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
             }
         )

@@ -165,9 +165,9 @@ def in_training_order(
     Whole documents only: one that is taken in part comes once more if the part is at least half of it. What has
     no words, or isn't taken, is left out. Ties go by doc_id and text.
     """
-    mixed = mix(docs, schedules, most, doc_id, text, source)
-    placed = mixed.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("positions").alias("_position"))
-    return placed.orderBy("_position", doc_id, text).drop("_position")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), doc_id, text, source)
+    placed = mix(whole, schedules, most, doc_id, text, source).select("_row", F.explode("positions").alias("_position"))
+    return placed.orderBy("_position", f"_row.{doc_id}", f"_row.{text}").select("_row.*")
 
 
 #: DuckDB SQL for ``mix`` with the default schedules.

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.common import bounded_batches, cut, pieces
+from proofline.llm.common import bounded_batches, cut, fresh, pieces
 
 #: Words of a shingle, and seed of its hash.
 SHINGLE, SEED = 3, 42
@@ -167,16 +167,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Of repeated rows with that doc_id one stays, as of rows that share it with different texts. A component in
     which all ids are null keeps one of them. Whole texts move once, to meet the list of those that stay.
     """
+    bits, none, id_, nth = (fresh(docs, name) for name in ("_bits", "_none", "_id", "_nth"))
     stays = (
         near_groups(docs, doc_id, text)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root")
-        .agg(F.min("doc_id").alias("_id"), F.min("bits").alias("_bits"))
-        .select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_bits")
+        .agg(F.min("doc_id").alias("kept"), F.min("bits").alias(bits))
+        .select(F.col("kept").isNull().alias(none), F.coalesce("kept", F.lit(0)).alias(id_), bits)
     )
-    keyed = with_fingerprint(docs, text, "_bits").withColumns(
-        {"_none": F.col(doc_id).isNull(), "_id": F.coalesce(F.col(doc_id), F.lit(0))}
-    )
-    key = ["_none", "_id", "_bits"]
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(text))
-    return keyed.join(stays, key, "left_semi").withColumn("_nth", first).where("_nth = 1").drop(*key, "_nth")
+    keyed = with_fingerprint(docs, text, bits).withColumns({none: F.col(doc_id).isNull(), id_: F.coalesce(F.col(doc_id), F.lit(0))})
+    first = F.row_number().over(Window.partitionBy(none, id_, bits).orderBy(text))
+    return keyed.join(stays, [none, id_, bits], "left_semi").withColumn(nth, first).where(F.col(nth) == 1).drop(none, id_, bits, nth)
