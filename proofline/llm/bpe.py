@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -22,6 +23,7 @@ LONG_RUN = 1 << 12
 
 _run = re.compile(r"\s+")
 _loaded: dict[tuple[int, str], tiktoken.Encoding] = {}
+_tables: dict[int, np.ndarray] = {}
 
 
 def encoding(rank_file: bytes, pattern: str) -> tiktoken.Encoding:
@@ -56,10 +58,23 @@ def safe_chunks(text: str, size: int = CHUNK) -> Iterator[tuple[str, bool]]:
         yield text[start:], False
 
 
+def token_bytes(rank_file: bytes) -> np.ndarray:
+    """The bytes of each id, None where there is none; built once in each Python worker."""
+    key = hash(rank_file)
+    if key not in _tables:
+        ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, rank_file.splitlines())}
+        table = np.empty(max(ranks) + 1, object)
+        for rank, token in ranks.items():
+            table[rank] = token
+        _tables.clear()
+        _tables[key] = table
+    return _tables[key]
+
+
 def encode_text(tokenizer: tiktoken.Encoding, text: str | None) -> np.ndarray:
     """Token ids of one text; none for null or empty."""
     found = [
-        np.asarray(tokenizer._encode_single_piece(chunk), dtype=np.uint32) if whole else tokenizer.encode_to_numpy(chunk, disallowed_special=())
+        np.array(tokenizer._encode_single_piece(chunk) if whole else tokenizer.encode_ordinary(chunk), dtype=np.uint32)
         for chunk, whole in safe_chunks(text or "")
     ]
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint32)
@@ -93,7 +108,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
     return bounded_batches(df).withColumn(ids, token_ids(F.col(text)))
 
 
-def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, rank_path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """Add the column ``data`` (binary): the exact bytes that the ids stand for, valid UTF-8 or not.
 
     Null ids, or an empty list, give empty bytes. An id without a token fails the job: it would lose data.
@@ -102,8 +117,14 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", data:
 
     @F.arrow_udf("binary")
     def raw_bytes(column: pa.Array) -> pa.Array:
-        tokenizer = encoding(shipped.value, pattern)
-        return pa.array([tokenizer.decode_bytes(value or []) for part in pieces(column) for value in part], pa.binary())
+        table, found = token_bytes(shipped.value), []
+        for start in range(0, len(column), 256):
+            part = column.slice(start, 256)
+            ids, ends = part.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.append(0, [n or 0 for n in pa.compute.list_value_length(part).to_pylist()]))
+            if len(ids) and ids.min() < 0:
+                raise IndexError("an id below zero has no token")
+            found += [b"".join(table[ids[a:b]].tolist()) for a, b in zip(ends, ends[1:])]
+        return pa.array(found, pa.binary())
 
     return bounded_batches(df).withColumn(data, raw_bytes(F.col(ids)))
 
@@ -112,7 +133,7 @@ def round_trip_digests(df: DataFrame, rank_path: str, pattern: str) -> DataFrame
     """Per row of ``df``: doc_id, n_tokens, SHA-256 of the comma-joined ids and of the decoded bytes."""
     source = df.select("doc_id", "text")
     ids, data = fresh(source, "ids"), fresh(source, "decoded")
-    both = decode(encode(source, rank_path, pattern, "text", ids), rank_path, pattern, ids, data)
+    both = decode(encode(source, rank_path, pattern, "text", ids), rank_path, ids, data)
     return both.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
