@@ -140,8 +140,10 @@ def normalize_citations(answer: str, source_count: int) -> tuple[str, str]:
         return "".join(f"[S{n}]" for n in dict.fromkeys(numbers))
 
     text = _BRACKET.sub(expand, answer)
-    if "malformed" in problems or _LEFT_OVER.search(text):
+    if "malformed" in problems:
         return answer, "malformed"
     if problems:
         return answer, "invalid"
+    if _LEFT_OVER.search(text):
+        return answer, "malformed"
     return text, "valid" if re.search(r"\[S\d+\]", text) else "missing"
