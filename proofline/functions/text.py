@@ -15,14 +15,24 @@ TOKEN = f"([{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+)"
 #: One for each Han character, run of letters, digits and underscores, or other mark.
 BUDGET = f"[{CJK}]|[A-Za-z0-9_]+|[^\\s]"
 #: Fixed values of the reference penalty.
-CITATION, MANY_CITATIONS, CITATION_HEAD = "\\[[0-9]+\\]", 3, 1600
-#: The words by which a question asks for a kind of section, and its content type.
-SECTION_CUES = {
-    "method": ("method", "methods", "methodology", "approach", "方法"),
-    "conclusion": ("conclusion", "conclusions", "concluding", "结论"),
-    "abstract": ("abstract", "摘要"),
-    "experiment": ("experiment", "experiments", "evaluation", "实验"),
+CITATION, MANY_CITATIONS, CITATION_HEAD = "\\[\\s*\\d+(?:\\s*[-,]\\s*\\d+)*\\s*\\]", 3, 1600
+#: What a question says that asks for a kind of section.
+QUESTION_CUES = {
+    "method": ("方法", "模型", "架构", "怎么做", "如何实现", "method", "methodology", "approach", "architecture"),
+    "conclusion": ("结论", "总结", "主要发现", "conclusion", "conclusions", "summary", "finding"),
+    "abstract": ("摘要", "概述", "abstract", "overview"),
+    "experiment": ("实验", "评测", "结果", "性能", "experiment", "evaluation", "result", "performance"),
 }
+#: How sections of that kind are named.
+SECTION_CUES = {
+    "method": (
+        "method", "methodology", "model architecture", "approach", "encoder and decoder", "proposed model", "scaled dot-product attention",
+        "multi-head attention", "position-wise feed-forward networks", "positional encoding",
+    ),
+    "conclusion": ("conclusion", "conclusions", "discussion and conclusion", "summary and conclusion"),
+    "abstract": ("abstract",),
+    "experiment": ("experiment", "experiments", "evaluation", "results", "experimental results"),
+}
 
 
 def tokens(text: Column) -> Column:
@@ -71,15 +81,14 @@ def target_identity(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), "[^\\p{L}\\p{N}]+", "")
 
 
+def _any_of(cues: tuple[str, ...]) -> str:
+    return "|".join(map(re.escape, cues)).replace("\\-", "-").replace("\\ ", " ")
+
+
 def section_intent(question: Column) -> Column:
     """The one kind of section that a question asks for; null if none or several."""
-    asked = []
-    for kind, cues in SECTION_CUES.items():
-        latin = "|".join(c for c in cues if c.isascii())
-        han = "|".join(c for c in cues if not c.isascii())
-        hit = F.lower(question).rlike(f"(?<![a-z0-9])({latin})(?![a-z0-9])|{han}")
-        asked.append(F.when(hit, F.lit(kind)))
-    kinds = F.filter(F.array(*asked), lambda k: k.isNotNull())
+    asked = F.array(*[F.when(F.lower(question).rlike(_any_of(cues)), F.lit(kind)) for kind, cues in QUESTION_CUES.items()])
+    kinds = F.filter(asked, lambda k: k.isNotNull())
     return F.when(F.size(kinds) == 1, kinds[0])
 
 
@@ -91,15 +100,15 @@ def reference_penalty(content_type: Column, section: Column, text: Column) -> Co
 
 
 def section_boost(intent: Column, content_type: Column, section: Column, text: Column) -> Column:
-    """0.42 if the section path names the intent, else 0.34 for a heading in the text, else 0.30 by content type."""
-    named, headed = F.lit(False), F.lit(False)
+    """0.42 if the section path names the intent, else 0.34 for a heading near the start of the text, else 0.30 by type."""
+    named, headed, no = F.lit(False), F.lit(False), F.lit(False)
     for kind, cues in SECTION_CUES.items():
-        words = "|".join(cues)
-        named = named | ((intent == kind) & F.lower(section).rlike(words))
-        headed = headed | ((intent == kind) & F.substring(text, 1, 1200).rlike(f"(?im)^\\s*(#+\\s*)?([0-9.]+\\s+)?({words})\\s*:?\\s*$"))
-    no = F.lit(False)
+        words = _any_of(cues)
+        named = named | ((intent == kind) & F.lower(section).rlike(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])"))
+        heading = f"(?:^|[\\r\\n]|[.!?]\\s+)\\s*(?:#{{1,6}}\\s*)?(?:\\*{{0,2}}\\d+(?:\\.\\d+)*\\*{{0,2}}\\s*)?\\*{{0,2}}(?:{words})\\*{{0,2}}(?=\\s|:)"
+        headed = headed | ((intent == kind) & F.lower(F.substring(text, 1, 1200)).rlike(heading))
     return (
-        F.when(F.coalesce(named, no), 0.42).when(F.coalesce(headed, no), 0.34).when(F.coalesce(intent == content_type, no), 0.30).otherwise(0.0)
+        F.when(F.coalesce(named, no), 0.42).when(F.coalesce(headed, no), 0.34).when(F.coalesce(intent == F.lower(content_type), no), 0.30).otherwise(0.0)
     )
 
 

@@ -81,3 +81,27 @@ def select_coverage(fused: DataFrame, hits: DataFrame, k: int, targets: int, ori
     place = F.row_number().over(Window.partitionBy("case_id").orderBy("class", "fused_rank"))
     chosen = fused.join(classes, ["case_id", "chunk_id"]).withColumn("place", place).where(F.col("place") <= k)
     return chosen.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("fused_rank"))).drop("place")
+
+
+def rerank_by_section(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, question, id, position, score, content_type, section, text) reordered for the section asked for.
+
+    Adds intent, boost (the penalty of reference lists subtracted where no section matches), adjusted (0 to 1) and
+    rank; equal scores keep their order. A question that asks for no or several kinds keeps its scores.
+    """
+    from proofline.functions.text import reference_penalty, section_boost, section_intent
+
+    told = hits.withColumn("intent", section_intent(F.col("question")))
+    boost = section_boost(F.col("intent"), F.col("content_type"), F.col("section"), F.col("text"))
+    penalty = F.when(boost > 0, 0.0).otherwise(reference_penalty(F.col("content_type"), F.col("section"), F.col("text")))
+    scored = told.withColumn("boost", F.when(F.col("intent").isNull(), 0.0).otherwise(F.round(boost - penalty, 6)))
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + F.col("boost")))
+    scored = scored.withColumn("adjusted", F.when(F.col("intent").isNull(), F.col("score")).otherwise(moved))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("adjusted"), "position")))
+
+
+def only_section_matches(reranked: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of each query; if any hit has a positive boost, only such hits."""
+    any_match = F.max((F.col("boost") > 0).cast("int")).over(Window.partitionBy("query_id")) == 1
+    kept = reranked.withColumn("_any", any_match).where(~F.col("_any") | (F.col("boost") > 0)).drop("_any")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)

@@ -78,8 +78,8 @@ def bag_f1(predicted: Column, gold: Column) -> Column:
 
 #: A gate's comparison by its operator's name; null is never passed.
 GATES = {
-    "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b,
-    "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b,
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
+    ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
 }
 
 

@@ -254,7 +254,7 @@ def go_no_go(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = metrics.summary(_measured(spark, sf_dir), ["arm"], ["hit", "recall", "ndcg"])
     values = means.select("arm", F.expr("stack(3, 'hit', mean_hit, 'recall', mean_recall, 'ndcg', mean_ndcg) as (name, actual)"))
     actual = values.select(F.concat_ws(".", "arm", "name").alias("metric"), "actual")
-    limits = values.select(F.concat_ws(".", "arm", "name").alias("metric"), F.lit("gte").alias("operator"), F.when(F.col("name") == "hit", 0.5).otherwise(0.2).alias("value"))
+    limits = values.select(F.concat_ws(".", "arm", "name").alias("metric"), F.lit(">=").alias("operator"), F.when(F.col("name") == "hit", 0.5).otherwise(0.2).alias("value"))
     return metrics.gates(actual, limits).select("metric", "operator", "value", F.round("actual", 6).alias("actual"), "passed")
 
 
@@ -262,7 +262,7 @@ GO_NO_GO = f"""{_HALVES},
 m AS (SELECT arm || '.hit' AS metric, 0.5::DOUBLE AS value, avg(hit) AS actual FROM quality GROUP BY arm
       UNION ALL SELECT arm || '.recall', 0.2::DOUBLE, avg(recall) FROM quality GROUP BY arm
       UNION ALL SELECT arm || '.ndcg', 0.2::DOUBLE, avg(ndcg) FROM quality GROUP BY arm)
-SELECT metric, 'gte' AS operator, value, round(actual, 6) AS actual, actual >= value AS passed FROM m"""
+SELECT metric, '>=' AS operator, value, round(actual, 6) AS actual, actual >= value AS passed FROM m"""
 
 
 def reference_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +273,7 @@ def reference_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REFERENCE_PENALTIES = r"""
 SELECT doc_id, CASE WHEN regexp_matches(lower(source), 'references|bibliography|参考文献') THEN 0.24::DOUBLE
-  WHEN len(regexp_extract_all(left(regexp_replace(text, '([0-9]+)', '[\1]', 'g'), 1600), '\[[0-9]+\]')) >= 3 THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END AS penalty
+  WHEN len(regexp_extract_all(left(regexp_replace(text, '([0-9]+)', '[\1]', 'g'), 1600), '\[\s*\d+(?:\s*[-,]\s*\d+)*\s*\]')) >= 3 THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END AS penalty
 FROM documents"""
 
 QUERIES = {
