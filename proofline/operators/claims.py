@@ -62,18 +62,82 @@ def read_claims(raw: str | None, known: set[str]) -> tuple[str, list[tuple[str,
         return "invalid", []
 
 
-def verdict(content: Column, scope: Column, relation: Column, basis: Column, generalises: Column) -> Column:
-    """A claim's verdict from what a reviewer found.
+#: Fixed values of a decision: what is checked, with which outcomes, and on what basis a scope holds.
+FACETS = ("content", "scope", "conditions")
+STATES = frozenset(("entailed", "contradicted", "missing", "uncertain"))
+BASES = frozenset(("explicit_statement", "aggregate_evidence", "single_example", "inference", "none"))
+RELATIONS = frozenset(("same_or_narrower", "claim_broader", "unknown"))
+#: Fixed patterns of words that a claim's scope or conditions hang on.
+LIMITED = r"\bnot\s+(?:all|every|always)\b|并非所有|并非总是|并不总是|不总是|不是所有"
+GENERAL = (
+    r"\b(?:often|usually|generally|typically|always|all|every|most|default|universally|frequently)\b|通常|普遍|一般情况下|总是|所有|多数|默认|往往"
+)
+CONDITION = r"\b(?:only if|only when|provided that|if|when|unless|under|without|only)\b|只有在|仅在|如果|当.{0,12}时|除非|在.{0,12}条件下"
+
+
+def risk_cues(claim: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, words) of the cues in a claim, in order; a generalisation that is taken back is only limited."""
+    limited = [m.span() for m in re.finditer(LIMITED, claim, re.I)]
+    found = [(a, b, "limited_quantifier", claim[a:b]) for a, b in limited]
+    for kind, pattern in (("generalization", GENERAL), ("condition", CONDITION)):
+        for m in re.finditer(pattern, claim, re.I):
+            if kind == "condition" or not any(a <= m.start() and m.end() <= b for a, b in limited):
+                found.append((*m.span(), kind, m[0]))
+    return sorted(found)
+
+
+def cue_counts(claim: Column) -> Column:
+    """How many cues of each kind a claim has, as a struct (limited, generalizations, conditions); counted in the JVM."""
+    count = lambda text, pattern: F.coalesce(F.regexp_count(text, F.lit(f"(?i){pattern}")), F.lit(0))
+    return F.struct(
+        count(claim, LIMITED).alias("limited"), count(F.regexp_replace(claim, f"(?i){LIMITED}", " "), GENERAL).alias("generalizations"),
+        count(claim, CONDITION).alias("conditions"),
+    )
+
 
-    A broader relation makes the scope missing unless it is contradicted; an unknown one makes entailed content
-    uncertain; without a basis entailed content is missing, as it is for a generalisation from a single example or
-    an inference. Then contradicted comes before missing, uncertain and entailed.
+def read_decision(raw: str | None, packet_id: str, claim_id: str, known: set[str]) -> dict | None:
+    """The checks of a reviewer's reply by facet, or None unless all of it is right.
+
+    Each of the three checks has a state, a reason and up to three known evidence ids, at least one if it is entailed
+    or contradicted; that of the scope also has a basis and a relation.
     """
-    scope = F.when((relation == "broader") & (scope != "contradicted"), "missing").otherwise(scope)
+    try:
+        if raw is None or not raw.strip() or len(raw) > 24_000:
+            return None
+        reply = strict_json(raw)
+        if set(reply) != {"packet_id", "claim_id", "checks"} or (reply["packet_id"], reply["claim_id"]) != (packet_id, claim_id) or set(reply["checks"]) != set(FACETS):
+            return None
+        for facet, check in reply["checks"].items():
+            if set(check) != {"status", "reason", "evidence_ids"} | ({"basis", "relation"} if facet == "scope" else set()):
+                return None
+            ids, needed = check["evidence_ids"], check["status"] in ("entailed", "contradicted")
+            if check["status"] not in STATES or not check["reason"].strip() or len(check["reason"]) > 600:
+                return None
+            if not isinstance(ids, list) or not needed <= len(ids) <= 3 or len(set(ids)) != len(ids) or not set(ids) <= known:
+                return None
+            if facet == "scope" and not (check["basis"] in BASES and check["relation"] in RELATIONS):
+                return None
+        return reply["checks"]
+    except (ValueError, TypeError, AttributeError, KeyError):
+        return None
+
+
+def verdict(content: Column, scope: Column, conditions: Column, relation: Column, basis: Column, generalises: Column) -> Column:
+    """supported, unsupported or uncertain, from the three checks of a claim.
+
+    A claim that is broader than its evidence misses its scope unless that is contradicted; an unknown relation makes
+    an entailed scope uncertain; without a basis, or for a generalisation from a single example or an inference, an
+    entailed scope is missing. What is contradicted or missing is unsupported, what is uncertain uncertain.
+    """
+    scope = F.when((relation == "claim_broader") & (scope != "contradicted"), "missing").otherwise(scope)
+    scope = F.when((relation == "unknown") & (scope == "entailed"), "uncertain").otherwise(scope)
     weak = (basis == "none") | (generalises & basis.isin("single_example", "inference", "none"))
-    content = F.when(weak & (content == "entailed"), "missing").when((relation == "unknown") & (content == "entailed"), "uncertain").otherwise(content)
-    any_is = lambda value: (content == value) | (scope == value)
-    return F.when(any_is("contradicted"), "contradicted").when(any_is("missing"), "missing").when(any_is("uncertain"), "uncertain").otherwise("entailed")
+    scope = F.when(weak & (scope == "entailed"), "missing").otherwise(scope)
+    states = F.array(content, scope, conditions)
+    return (
+        F.when(F.array_contains(states, "contradicted") | F.array_contains(states, "missing"), "unsupported")
+        .when(F.array_contains(states, "uncertain"), "uncertain").otherwise("supported")
+    )
 
 
 def gate_answers(packets: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -267,6 +267,20 @@ s AS (SELECT answer_id, count(*) AS claims, max(CASE WHEN n > 1 THEN 4 WHEN n IS
 SELECT answer_id, claims, ['supported', 'uncertain', 'unsupported', 'incomplete', 'invalid'][s + 1] AS state FROM s"""
 
 
+def risk_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of scope and condition in each document that has any."""
+    counted = read_table(spark, sf_dir, "documents").select("doc_id", claims.cue_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return counted.where("limited + generalizations + conditions > 0")
+
+
+RISK_CUES = rf"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '[\x{{C0}}-\x{{24F}}]', 'x', 'g') AS text FROM documents), -- its word boundaries know ASCII only
+c AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i){claims.LIMITED}')) AS INT) AS limited,
+             CAST(len(regexp_extract_all(regexp_replace(text, '(?i){claims.LIMITED}', ' ', 'g'), '(?i){claims.GENERAL}')) AS INT) AS generalizations,
+             CAST(len(regexp_extract_all(text, '(?i){claims.CONDITION}')) AS INT) AS conditions FROM d)
+SELECT * FROM c WHERE limited + generalizations + conditions > 0"""
+
+
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by the bucket of a value inside their JSON."""
     events = read_table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
@@ -348,6 +362,7 @@ QUERIES = {
     "stitched_pages": (stitched_pages, None),
     "sentence_anchors": (sentence_anchors, None),
     "review_gate": (review_gate, REVIEW_GATE),
+    "risk_cues": (risk_cues, RISK_CUES),
     "json_paths": (json_paths, JSON_PATHS),
     "tumbling_events": (tumbling_events, TUMBLING),
     "sliding_events": (sliding_events, SLIDING),

@@ -406,19 +406,39 @@ def test_claim_replies():
 def test_verdicts_of_all_states(spark):
     import itertools
 
-    states, relations, bases = ("entailed", "missing", "uncertain", "contradicted"), ("same", "broader", "unknown"), ("direct", "single_example", "inference", "none")
-    rows = list(itertools.product(states, states, relations, bases, (True, False)))
-    table = spark.createDataFrame(rows, "c string, s string, r string, b string, g boolean")
-    found = table.withColumn("v", claims.verdict(F.col("c"), F.col("s"), F.col("r"), F.col("b"), F.col("g"))).collect()
+    rows = list(itertools.product(*[sorted(x) for x in (claims.STATES, claims.STATES, claims.STATES, claims.RELATIONS, claims.BASES)], (True, False)))
+    table = spark.createDataFrame(rows, "c string, s string, k string, r string, b string, g boolean")
+    found = table.withColumn("v", claims.verdict(*[F.col(x) for x in "cskrbg"])).collect()
+    assert len(found) == 4**3 * 3 * 5 * 2
     for row in found:
-        content, scope = row["c"], row["s"]
-        if row["r"] == "broader" and scope != "contradicted":
+        scope = row["s"]
+        if row["r"] == "claim_broader":
+            scope = scope if scope == "contradicted" else "missing"
+        if scope == "entailed" and row["r"] == "unknown":
+            scope = "uncertain"
+        if scope == "entailed" and (row["b"] == "none" or row["g"] and row["b"] in ("single_example", "inference")):
             scope = "missing"
-        if content == "entailed" and row["r"] == "unknown":
-            content = "uncertain"
-        if row["c"] == "entailed" and (row["b"] == "none" or row["g"] and row["b"] != "direct"):
-            content = "missing"
-        assert row["v"] == next(v for v in ("contradicted", "missing", "uncertain", "entailed") if v in (content, scope))
+        states = {row["c"], scope, row["k"]}
+        want = "unsupported" if states & {"contradicted", "missing"} else "uncertain" if "uncertain" in states else "supported"
+        assert row["v"] == want
+
+
+def test_risk_cues(spark):
+    claim = "Not all models always fail, only if tuned; most work 通常."
+    kinds = [(k, w) for _, _, k, w in claims.risk_cues(claim)]
+    assert kinds == [("limited_quantifier", "Not all"), ("generalization", "always"), ("condition", "only if"), ("generalization", "most"), ("generalization", "通常")]
+    assert tuple(one(spark, claims.cue_counts(F.lit(claim)))) == (1, 3, 1)
+
+
+def test_decisions_are_read_strictly():
+    check = {"status": "entailed", "reason": "r", "evidence_ids": ["e1"]}
+    good = {"packet_id": "p", "claim_id": "c", "checks": {"content": check, "conditions": check | {"status": "missing", "evidence_ids": []}, "scope": check | {"basis": "none", "relation": "unknown"}}}
+    read = lambda reply: claims.read_decision(json.dumps(reply) if isinstance(reply, dict) else reply, "p", "c", {"e1"})
+    assert read(good) == good["checks"]
+    broken = [None, "", "[]", good | {"packet_id": "q"}, good | {"more": 1}]
+    for facet, change in (("content", {"evidence_ids": []}), ("content", {"evidence_ids": ["e2"]}), ("content", {"status": "yes"}), ("content", {"reason": " "}), ("scope", {"basis": "x"}), ("content", {"basis": "none"}), ("content", {"evidence_ids": ["e1", "e1"]})):
+        broken.append(good | {"checks": good["checks"] | {facet: good["checks"][facet] | change}})
+    assert [read(b) for b in broken] == [None] * len(broken)
 
 
 def test_gates(spark):
@@ -451,3 +471,13 @@ def test_windows_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     once = ingest.first_of_each(spark.readStream.schema(twice.schema).parquet(str(tmp_path / "twice")), "k", "3 days")
     once.writeStream.format("memory").queryName("once").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("once").count() == 200
+
+
+def test_sentence_units(spark):
+    body = "# Head. Line\nOne, e.g. this. Two “it.”  See http://a.b/c.d now! $x. y$ ends.\n\n| a. | b |\nPara 3.14 is. 中文。好" + " word" * 60
+    spans = chunking.unit_spans(body)
+    assert [body[a:b].strip() for a, b in spans][:6] == ["# Head. Line", "One, e.g. this.", "Two “it.”", "See http://a.b/c.d now!", "$x. y$ ends.", "| a. | b |"]
+    assert "".join(body[a:b] for a, b in spans) == body
+    rows = chunking.evidence_units(spark.createDataFrame([(1, body), (2, None), (3, "  ")], "id long, t string"), "id", "t", 50).collect()
+    assert {r["doc_id"] for r in rows} == {1} and all(r["text"] == body[r["start"] : r["stop"]] and len(r["text"]) <= 50 for r in rows)
+    assert "".join(r["text"] for r in sorted(rows, key=lambda r: (r["unit"], r["part"]))) == body and max(r["parts"] for r in rows) > 1
