@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.operators import catalog, chunking, claims, context, metrics, sampling
 from proofline.functions.text import cited_numbers, normal_name
+from proofline.operators import catalog, chunking, claims, context, metrics, papers, sampling, structure
 from proofline.sources.collections import read_table
 from proofline.streaming.ingest import event_windows, sessions
 
@@ -249,6 +249,46 @@ def sentence_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.evidence_anchors(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.evidence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings and paragraphs of each page as blocks of a paper."""
+    pages = read_table(spark, sf_dir, "pages")
+    tags = F.regexp_extract_all("html", F.lit("<(h1|p)>(?:<b>)?([^<]*)"), F.lit(1))
+    texts = F.regexp_extract_all("html", F.lit("<(h1|p)>(?:<b>)?([^<]*)"), F.lit(2))
+    blocks = pages.select(F.col("page_id").alias("paper_id"), F.posexplode(F.arrays_zip(tags.alias("tag"), texts.alias("text"))).alias("ord", "b"))
+    return blocks.select("paper_id", "ord", F.when(F.col("b.tag") == "h1", "heading").otherwise("paragraph").alias("type"), F.col("b.text").alias("text"))
+
+
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.section_paths(_page_blocks(spark, sf_dir))
+    return found.select("paper_id", "ord", F.array_join("section_path", " > ").alias("section"))
+
+
+PAGE_SECTIONS = """
+WITH b AS (SELECT page_id, regexp_extract_all(html, '<(h1|p)>(?:<b>)?([^<]*)', 1) AS tags, regexp_extract_all(html, '<(h1|p)>(?:<b>)?([^<]*)', 2) AS texts FROM pages),
+u AS (SELECT page_id, unnest(tags) AS tag, unnest(texts) AS text, generate_subscripts(tags, 1) - 1 AS ord FROM b)
+SELECT page_id AS paper_id, CAST(ord AS INT) AS ord,
+       coalesce(last_value(CASE WHEN tag = 'h1' AND trim(text) <> '' THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '') AS section
+FROM u"""
+
+
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure-aware chunks of the pages."""
+    blocks = _page_blocks(spark, sf_dir)
+    paths = structure.section_paths(blocks).select("paper_id", "ord", "section_path")
+    whole = blocks.join(paths, ["paper_id", "ord"]).select(
+        "paper_id", F.concat(F.lit("b"), "ord").alias("block_id"), "ord", "type", "text", F.lit(1).alias("page"), "section_path",
+        F.lit(None).cast("string").alias("caption_of"), F.lit(None).cast("array<string>").alias("context_ids"),
+    )
+    about = read_table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("paper_id"), F.col("url").alias("filename"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.array().cast("array<string>").alias("authors")
+    )
+    return papers.structure_chunks(whole, about)
+
+
 def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as answers whose assistant turns are claims, judged by the labels of the same numbers."""
     turns = read_table(spark, sf_dir, "conversations").where("role = 'assistant'")
@@ -361,6 +401,9 @@ QUERIES = {
     "packed_lines": (packed_lines, None),
     "stitched_pages": (stitched_pages, None),
     "sentence_anchors": (sentence_anchors, None),
+    "sentence_units": (sentence_units, None),
+    "page_sections": (page_sections, PAGE_SECTIONS),
+    "page_chunks": (page_chunks, None),
     "review_gate": (review_gate, REVIEW_GATE),
     "risk_cues": (risk_cues, RISK_CUES),
     "json_paths": (json_paths, JSON_PATHS),
