@@ -105,3 +105,36 @@ def only_section_matches(reranked: DataFrame, k: int) -> DataFrame:
     any_match = F.max((F.col("boost") > 0).cast("int")).over(Window.partitionBy("query_id")) == 1
     kept = reranked.withColumn("_any", any_match).where(~F.col("_any") | (F.col("boost") > 0)).drop("_any")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
+
+
+def execute_plan(plan: DataFrame, hits: DataFrame, k: int, original: str = "original", original_reserve: int = 4, per_target: int = 2) -> DataFrame:
+    """The result of each case of a plan (case_id, query_id): fused with coverage, or that of the original question.
+
+    A case falls back to its original hits if it has no targets, if the reserves don't fit into ``k``, or if a target
+    has no hits. Returns case_id, chunk_id, rank and reason, which is null where the plan was carried out.
+    """
+    found = hits.groupBy("case_id", "query_id").agg(F.count("*").alias("n"))
+    cases = plan.join(found, ["case_id", "query_id"], "left").groupBy("case_id").agg(
+        F.count_if(F.col("query_id") != original).alias("targets"), F.count_if((F.col("query_id") != original) & F.col("n").isNull()).alias("empty")
+    )
+    reason = (
+        F.when(F.col("targets") == 0, "single_query").when(original_reserve + per_target * F.col("targets") > k, "insufficient_top_k_for_coverage")
+        .when(F.col("empty") > 0, "target_retrieval_failed")
+    )
+    judged = cases.withColumn("reason", reason)
+    single = hits.where(F.col("query_id") == original).join(judged.where("reason is not null"), "case_id").where(F.col("rank") <= k).select("case_id", "chunk_id", "rank", "reason")
+    several = hits.join(judged.where("reason is null").select("case_id"), "case_id", "left_semi")
+    held = F.when((F.col("query_id") == original) & (F.col("rank") <= original_reserve), 0).when((F.col("query_id") != original) & (F.col("rank") <= per_target), 1).otherwise(2)
+    classes = several.groupBy("case_id", "chunk_id").agg(F.min(held).alias("class"))
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("class", "fused_rank"))
+    chosen = fuse_queries(several).join(classes, ["case_id", "chunk_id"]).withColumn("place", place).where(F.col("place") <= k)
+    fused = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("fused_rank"))).select("case_id", "chunk_id", "rank", F.lit(None).cast("string").alias("reason"))
+    return single.unionByName(fused)
+
+
+def named_reserves(k: int, papers: int, original_reserve: int = 4, per_target: int = 2) -> tuple[int, int]:
+    """(places of the original, places of each paper) of a comparison of named papers; ValueError if they don't fit."""
+    if not 2 <= papers <= 3 or k < papers:
+        raise ValueError("a comparison has two or three papers and a place for each")
+    each = max(1, min(per_target, k // papers))
+    return max(0, min(original_reserve, k - each * papers)), each

@@ -120,3 +120,42 @@ def assign_boxes(cells: DataFrame, texts: DataFrame, least: float = 0.7, lead: f
     order = Window.partitionBy("table_id", "text_id").orderBy(F.desc("coverage"), "cell_id")
     ranked = scored.withColumns({"_n": F.row_number().over(order), "_next": F.coalesce(F.lead("coverage").over(order), F.lit(0.0))})
     return ranked.where((F.col("_n") == 1) & (F.col("coverage") >= least) & (F.col("coverage") - F.col("_next") >= lead)).select("table_id", "text_id", "cell_id")
+
+
+def keep_evidence_together(ordered: DataFrame) -> DataFrame:
+    """``reading_order``'s rows (with type) with tables, figures and captions that were neighbours kept together.
+
+    A run of such blocks in the original order that has a table or figure moves to its earliest place, in that order.
+    """
+    page = Window.partitionBy("paper_id", "page").orderBy("ord")
+    evidence = F.col("type").isin("table", "figure", "caption")
+    marked = ordered.withColumn("_e", evidence)
+    marked = marked.withColumn("_run", F.sum((F.col("_e") != F.coalesce(F.lag("_e").over(page), ~F.col("_e"))).cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("paper_id", "page", "_run")
+    moves = F.col("_e") & (F.max(F.col("type").isin("table", "figure").cast("int")).over(run) == 1)
+    marked = marked.withColumn("_moves", moves).withColumn("_at", F.when(F.col("_moves"), F.min("reading_index").over(run)).otherwise(F.col("reading_index")))
+    place = Window.partitionBy("paper_id", "page").orderBy("_at", "ord")
+    return marked.withColumn("reading_index", F.row_number().over(place)).drop("_e", "_run", "_moves", "_at")
+
+
+def logical_tables(blocks: DataFrame) -> DataFrame:
+    """(paper_id, table_id, number, ords, caption_ords, status): physical tables that make one table of the paper.
+
+    A table without a caption right after another on its page goes on with it. Status is merged for several fragments,
+    caption_attached or caption_missing. A number that comes again gets a suffix.
+    """
+    tables = blocks.where(F.col("type") == "table").select("paper_id", "page", "ord")
+    captions = blocks.select("paper_id", F.col("ord").alias("caption_ord"), label_number(F.col("text"), "table").alias("number"))
+    captioned = caption_targets(blocks, "table").join(captions, ["paper_id", "caption_ord"]).groupBy("paper_id", F.col("target_ord").alias("ord")).agg(
+        F.array_sort(F.collect_list("caption_ord")).alias("caption_ords"), F.min_by("number", "caption_ord").alias("number")
+    )
+    order = Window.partitionBy("paper_id").orderBy("ord")
+    follows = (F.col("ord") - F.lag("ord").over(order) == 1) & (F.col("page") == F.lag("page").over(order)) & F.col("number").isNull()
+    joined = tables.join(captioned, ["paper_id", "ord"], "left").withColumn("_n", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = joined.groupBy("paper_id", "_n").agg(
+        F.array_sort(F.collect_list("ord")).alias("ords"), F.flatten(F.collect_list("caption_ords")).alias("caption_ords"), F.min_by("number", F.when(F.col("number").isNotNull(), F.col("ord"))).alias("number")
+    )
+    base = F.concat(F.lit("table_"), F.coalesce(F.lower("number"), F.col("ords")[0].cast("string")))
+    again = F.row_number().over(Window.partitionBy("paper_id", base).orderBy("_n"))
+    status = F.when(F.size("ords") > 1, "merged").when(F.size("caption_ords") > 0, "caption_attached").otherwise("caption_missing")
+    return grouped.withColumn("table_id", F.when(again == 1, base).otherwise(F.concat(base, F.lit(":"), again.cast("string")))).select("paper_id", "table_id", "number", "ords", "caption_ords", status.alias("status"))

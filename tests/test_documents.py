@@ -161,3 +161,41 @@ def test_harness(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(config))
     with pytest.raises(ValueError):
         harness.load_config(str(tmp_path / "c.json"))
+
+
+def test_evidence_stays_together(spark):
+    rows = [(1, 1, 1, "paragraph", 1), (1, 1, 2, "caption", 4), (1, 1, 3, "table", 2), (1, 1, 4, "paragraph", 3), (1, 1, 5, "caption", 5)]
+    found = structure.keep_evidence_together(spark.createDataFrame(rows, "paper_id long, page int, ord int, type string, reading_index int"))
+    assert [r["ord"] for r in found.orderBy("reading_index").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_logical_tables(spark):
+    rows = [(1, 1, 0, "caption", "Table 1. a"), (1, 1, 1, "table", ""), (1, 1, 2, "table", ""), (1, 2, 3, "table", ""), (1, 3, 4, "caption", "Table 1: again"), (1, 3, 5, "table", "")]
+    found = structure.logical_tables(spark.createDataFrame(rows, "paper_id long, page int, ord int, type string, text string"))
+    assert values(found, "table_id", "ords", "status") == [("table_1", [1, 2], "merged"), ("table_1:2", [5], "caption_attached"), ("table_3", [3], "caption_missing")]
+
+
+def test_plans_and_fallbacks(spark):
+    plan = spark.createDataFrame([(c, q) for c in (1, 2, 3) for q in ("original", "x", "y") if c != 3 or q == "original"], "case_id long, query_id string")
+    rows = [(c, q, f"{q}{i}", i, 1.0 / i) for c in (1, 2, 3) for q in ("original", "x", "y") for i in range(1, 6) if (c, q) != (2, "y") and (c < 3 or q == "original")]
+    hits = spark.createDataFrame(rows, "case_id long, query_id string, chunk_id string, rank int, score double")
+    found = fusion.execute_plan(plan, hits, 8)
+    assert {c: (n, r) for c, n, r in ((r["case_id"], r["count"], r["reason"]) for r in found.groupBy("case_id", "reason").count().collect())} == {
+        1: (8, None), 2: (5, "target_retrieval_failed"), 3: (5, "single_query"),
+    }
+    chosen = {r["chunk_id"] for r in found.where("case_id = 1").collect()}
+    assert chosen == {*(f"original{i}" for i in range(1, 5)), "x1", "x2", "y1", "y2"}
+    assert {r["reason"] for r in fusion.execute_plan(plan, hits, 7).where("case_id < 3").collect()} == {"insufficient_top_k_for_coverage"}
+    assert fusion.named_reserves(10, 3) == (4, 2) and fusion.named_reserves(4, 3) == (1, 1)
+    with pytest.raises(ValueError):
+        fusion.named_reserves(10, 4)
+
+
+def test_planner_replies():
+    from proofline.operators import claims
+
+    reply = lambda *s: "Sure:\n```json\n" + json.dumps({"subqueries": [{"target": t, "query": q} for t, q in s]}) + "\n```"
+    assert claims.read_plan(reply(("A", "what is a"), ("B", "what is b")), "a or b") == [("A", "what is a"), ("B", "what is b")]
+    for bad in (reply(("A", "q")), reply(("A", "q"), ("a!", "r")), reply(("A", "q"), ("B", "Q?")), reply(("A", "a or b"), ("B", "q")), reply(("A", "x" * 501), ("B", "q")), "none"):
+        with pytest.raises(ValueError):
+            claims.read_plan(bad, "a or b")
