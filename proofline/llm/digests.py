@@ -43,6 +43,30 @@ def _text_udf(kind: str, of, arrow_type: pa.DataType):
     return applied
 
 
+def shared_bits(hashes: DataFrame) -> bytes:
+    """The filter of the hashes (hash) that occur more than once: bit v is set if one of them begins with v.
+
+    What reaches the driver is 4 kB for each 32768 bits of which one is set, so 2 MB at most.
+    """
+    value = F.conv(F.substring(F.hex("hash"), 1, 8), 16, 10).cast("long") % (1 << FILTER_BITS) + 1  # Spark's bitmaps count from 1
+    shared = hashes.groupBy("hash").count().where("count > 1").select(value.alias("value"))
+    maps = (
+        shared.groupBy(F.bitmap_bucket_number("value").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("value")).alias("map"))
+        .collect()
+    )
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in maps:
+        start = (row["bucket"] - 1) * 4096
+        bits[start : start + 4096] = np.frombuffer(row["map"], np.uint8)
+    return bits.tobytes()
+
+
+def may_be_shared(bits: bytes, found: bytes) -> bool:
+    value = int.from_bytes(found[:4], "big") % (1 << FILTER_BITS)
+    return bool(bits[value >> 3] >> (value & 7) & 1)
+
+
 def clashes(docs: DataFrame, text: str = "text") -> DataFrame:
     """hash (binary) of the buckets in which folded texts with different bytes meet; none is to be expected.
 
@@ -53,28 +77,12 @@ def clashes(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     source = bounded_batches(docs).select(F.col(text).alias("text"))
     hashes = source.select(_text_udf("binary", lambda t: digest(canonical(t)), pa.binary())(F.col("text")).alias("hash"))
-    bit = F.conv(F.substring(F.hex("hash"), 1, 8), 16, 10).cast("long") % (1 << FILTER_BITS)
-    shared = hashes.groupBy("hash").count().where("count > 1").select(bit.alias("bit"))
-    maps = (
-        shared.groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-        .collect()
-    )  # 4 kB for each of the filter's 32768 bits that has one set
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in maps:
-        start = (row["bucket"] - 1) * 4096
-        bits[start : start + 4096] = np.frombuffer(row["map"], np.uint8)
-    shipped = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shipped = docs.sparkSession.sparkContext.broadcast(shared_bits(hashes))
 
     def bucketed(value: str | None) -> dict | None:
         folded = canonical(value)
         found = digest(folded)
-        position = (int.from_bytes(found[:4], "big")) % (1 << FILTER_BITS)
-        # bucket numbers start at 1 and hold positions 1..32768, so a bit's place is its value less one
-        place = (position - 1) % (1 << FILTER_BITS)
-        if not shipped.value[place >> 3] >> (place & 7) & 1:
-            return None
-        return {"hash": found, "folded": zlib.compress(folded, 1)}
+        return {"hash": found, "folded": zlib.compress(folded, 1)} if may_be_shared(shipped.value, found) else None
 
     kept = source.select(
         _text_udf("struct<hash:binary,folded:binary>", bucketed, pa.struct([("hash", pa.binary()), ("folded", pa.binary())]))(F.col("text")).alias("b")

@@ -372,6 +372,15 @@ def test_equal_hashes_of_different_texts_part(spark, monkeypatch):
     assert digests.clashes(docs).count() == 0
 
 
+def test_the_filter_has_all_shared_hashes(spark):
+    shared = [b"\x00" * 16, b"\xff" * 16, b"\x00\x00\x80\x00" + b"a" * 12, *[hashlib.md5(bytes([i])).digest() for i in range(50)]]
+    once = [hashlib.md5(b"x" + bytes([i])).digest() for i in range(200)]
+    rows = spark.createDataFrame([(bytearray(h),) for h in [*shared, *shared, *once]], "hash binary")
+    bits = digests.shared_bits(rows)
+    assert len(bits) == 1 << 21 and all(digests.may_be_shared(bits, h) for h in shared)
+    assert sum(bin(b).count("1") for b in bits) == len(shared) and not any(digests.may_be_shared(bits, h) for h in once)
+
+
 def test_quality_of_held_out_documents(spark, odd, none, sf_dir):
     folder = sf_dir.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
