@@ -49,7 +49,7 @@ _ENDED_BY = {
     "option": (frozenset("option optgroup".split()), frozenset(["select"])),
 }
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-_token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+_token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)>?", re.S)
 _attribute = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _heading = re.compile(r"h[1-6](?:\.|$)")
 _name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")

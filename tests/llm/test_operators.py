@@ -93,6 +93,18 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=it's>don't</p><p>can't</p>", "don't\ncan't"), ('<p title="a>b">x</p>', "x"), ("<p title='a>b' class=c>x</p>", "x"), ('<p title="open>x</p>', "x"), ("a < b and c > d", "a < b and c > d"),
+        ("<ul><li>one, two<li>three, four</ul>", "one, two\nthree, four"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<div>a<br>b<p>c</div>d", "a b\nc\nd"), ("&#65;&eacute;&nbsp;&amp;lt;", "Aé &lt;"),
+        ("<nav>x<p>y</nav><p>z", "z"), ("<P CLASS='Ad-Box'>x</P><P>y</P>", "y"), ("<p>x</section></b>y</p>", "xy"), ("<textarea><p>x</textarea><p>y", "y"), ("<p>a</p><!-- <p>b</p> --><p>c</p>", "a\nc"),
+    ],
+)
+def test_main_text_of_bad_markup(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_main_text_of_the_given_pages(spark, sf_dir):
     import html
     import re
