@@ -45,7 +45,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.asc_nulls_last("position"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
