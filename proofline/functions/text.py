@@ -156,3 +156,17 @@ def normalize_citations(answer: str, source_count: int) -> tuple[str, str]:
     if _LEFT_OVER.search(text):
         return answer, "malformed"
     return text, "valid" if re.search(r"\[S\d+\]", text) else "missing"
+
+
+def identifiers(text: Column) -> Column:
+    """A struct (doi, arxiv_id, year) of what the head of a paper says, null where it says nothing."""
+    some = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    doi = F.regexp_replace(some("(?i)\\b(10\\.\\d{4,9}/[-._;()/:a-z0-9]+)", 1), "[.,;)]+$", "")
+    arxiv = some("(?i)arxiv:\\s*(\\d{4}\\.\\d{4,5}(?:v\\d+)?)", 1)
+    return F.struct(doi.alias("doi"), arxiv.alias("arxiv_id"), some("\\b((?:19|20)\\d{2})\\b", 1).cast("int").alias("year"))
+
+
+def written_language(text: Column) -> Column:
+    """zh if more than a fifth of the letters are Han, else en; null without letters."""
+    han, letters = F.regexp_count(text, F.lit(f"[{CJK}]")), F.regexp_count(text, F.lit("\\p{L}"))
+    return F.when(letters > 0, F.when(han > 0.2 * letters, "zh").otherwise("en"))

@@ -189,3 +189,40 @@ def read_plan(raw: str, question: str, most: int = 3) -> list[tuple[str, str]]:
     if any(not t or not q or len(t) > 500 or len(q) > 500 for t, q in found):
         raise ValueError("lengths")
     return found
+
+
+_UNIT_END, _LEAD_IN = re.compile(r"(?<=[。！？!?])\s*(?=\S)|(?<=\.)\s+(?=\S)|\n+"), re.compile(r"^\s*(?:#{1,6}\s|.*[:：]\s*$)")
+
+
+def claim_units(answer: str) -> list[str]:
+    """The sentences of an answer that claim something: no headings, no lead-ins, three letters or digits at least.
+
+    Citations that follow a sentence belong to it.
+    """
+    units: list[str] = []
+    for part in filter(None, map(str.strip, _UNIT_END.split(answer))):
+        leading = re.match(r"(?:\[S\d+\]\s*)+", part)
+        if leading and units:
+            units[-1] = f"{units[-1]} {leading[0].strip()}"
+            part = part[leading.end() :].strip()
+        if part and not _LEAD_IN.match(part):
+            units.append(part)
+    content = lambda unit: re.findall(r"[^\W_]", re.sub(r"\[S\d+\]", "", unit))
+    return [u for u in units if len(content(u)) >= 3]
+
+
+def claims_of_answers(answers: DataFrame) -> DataFrame:
+    """(answer_id, position, text, citations) of the units of each answer (answer_id, answer)."""
+    from proofline.functions.text import cited_numbers
+
+    @F.udf("array<string>")
+    def units(answer):
+        return claim_units(answer or "")
+
+    found = answers.select("answer_id", F.posexplode(units("answer")).alias("position", "text"))
+    return found.withColumn("citations", cited_numbers(F.col("text")))
+
+
+def no_evidence_no_support(judged: DataFrame) -> DataFrame:
+    """Judged claims (citations, supported), where a claim without any citation is not supported, whatever was judged."""
+    return judged.withColumn("supported", F.when(F.size("citations") == 0, F.lit(False)).otherwise(F.col("supported")))

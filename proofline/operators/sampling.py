@@ -41,3 +41,27 @@ def by_turns(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> Data
     order = Window.partitionBy(stratum).orderBy(draw(seed, "turn", F.col(key)), key)
     placed = rows.withColumn("turn", F.row_number().over(order))
     return placed.orderBy("turn", stratum).limit(n)
+
+
+def scarce_first(rows: DataFrame, stratum: str, group: str, key: str, each: int, seed: str) -> DataFrame:
+    """``each`` rows of every stratum, the scarcest first, no group twice; an error if a stratum can't be filled.
+
+    Rows are first thinned in Spark to the ``each`` x strata best of every stratum by the draw, one of a group each: more
+    can't be needed, as other strata take at most ``each`` groups away each. The choice among those is made one by one.
+    """
+    strata = rows.select(stratum).distinct().count()
+    order = draw(seed, "scarce", F.col(key))
+    once = rows.withColumn("_d", order)
+    once = once.withColumn("_g", F.row_number().over(Window.partitionBy(stratum, group).orderBy("_d", key))).where("_g = 1")
+    thin = once.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("_d", key))).where(F.col("_n") <= each * max(1, strata))
+    sizes = {r[0]: r[1] for r in rows.groupBy(stratum).agg(F.countDistinct(group)).collect()}
+    candidates = thin.select(stratum, group, key, "_d").collect()
+    taken: set = set()
+    chosen = []
+    for name in sorted(sizes, key=lambda s: (sizes[s], str(s))):
+        mine = [r for r in sorted((c for c in candidates if c[0] == name), key=lambda c: (c["_d"], c[2])) if r[1] not in taken][:each]
+        if len(mine) < each:
+            raise ValueError(f"stratum {name} has too few groups")
+        taken |= {r[1] for r in mine}
+        chosen += [(r[2],) for r in mine]
+    return rows.join(rows.sparkSession.createDataFrame(chosen, [key]), key, "left_semi")

@@ -481,3 +481,30 @@ def test_sentence_units(spark):
     rows = chunking.evidence_units(spark.createDataFrame([(1, body), (2, None), (3, "  ")], "id long, t string"), "id", "t", 50).collect()
     assert {r["doc_id"] for r in rows} == {1} and all(r["text"] == body[r["start"] : r["stop"]] and len(r["text"]) <= 50 for r in rows)
     assert "".join(r["text"] for r in sorted(rows, key=lambda r: (r["unit"], r["part"]))) == body and max(r["parts"] for r in rows) > 1
+
+
+def test_identifiers_and_language(spark):
+    head = F.lit("Published 2021 (arXiv: 2106.09685v2), https://doi.org/10.1000/AB.c-1).")
+    assert tuple(one(spark, text.identifiers(head))) == ("10.1000/AB.c-1", "2106.09685v2", 2021)
+    assert tuple(one(spark, text.identifiers(F.lit("nothing")))) == (None, None, None)
+    assert [one(spark, text.written_language(F.lit(t))) for t in ("中文文本 abc", "mostly english 中", "12")] == ["zh", "en", None]
+
+
+def test_claim_units(spark):
+    answer = "# Title\nThe findings:\nOne thing holds. [S1][S2] Another one! [S3]\nOk.\n中文结论。[S1]"
+    assert claims.claim_units(answer) == ["One thing holds. [S1][S2]", "Another one! [S3]", "中文结论。 [S1]"]
+    rows = claims.claims_of_answers(spark.createDataFrame([(1, answer), (2, None)], "answer_id long, answer string"))
+    assert values(rows, "position", "citations") == [(0, [1, 2]), (1, [3]), (2, [1])]
+    judged = spark.createDataFrame([([1], True), ([], True)], "citations array<int>, supported boolean")
+    assert values(claims.no_evidence_no_support(judged), "supported") == [(False,), (True,)]
+
+
+def test_scarce_strata_first(spark):
+    chance = random.Random(12)
+    rows = [(i, chance.choice("aaabbc"), chance.randint(0, 14)) for i in range(90)]
+    table = spark.createDataFrame(rows, "id long, s string, g int")
+    found = sampling.scarce_first(table, "s", "g", "id", 4, "x").collect()
+    assert len(found) == 12 and len({r["g"] for r in found}) == 12 and all(sum(r["s"] == s for r in found) == 4 for s in "abc")
+    assert {r["id"] for r in sampling.scarce_first(table.repartition(5), "s", "g", "id", 4, "x").collect()} == {r["id"] for r in found}
+    with pytest.raises(ValueError):
+        sampling.scarce_first(table, "s", "g", "id", 9, "x")
