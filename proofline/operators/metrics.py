@@ -113,3 +113,28 @@ def summary(results: DataFrame, by: list[str], values: list[str]) -> DataFrame:
 
 def first_by(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def audit(references: DataFrame, corpus: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, problem) of each reference that the corpus hasn't, or has with another value of a field; none if all agree."""
+    there = corpus.select(key, F.lit(True).alias("_there"), *[F.col(f).alias(f"_{f}") for f in fields])
+    joined = references.join(there, key, "left")
+    problems = [F.when(F.col("_there") & ~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields]
+    return joined.select(key, F.explode(F.array_compact(F.array(F.when(F.col("_there").isNull(), "missing"), *problems))).alias("problem"))
+
+
+def set_scores(found: Column, wanted: Column) -> Column:
+    """A struct (precision, recall, exact) of two sets of names compared without case; 0 where there is nothing to divide by."""
+    norm = lambda names: F.array_distinct(F.transform(names, lambda n: F.lower(F.trim(n))))
+    a, b = norm(found), norm(wanted)
+    both = F.size(F.array_intersect(a, b))
+    share = lambda of: F.when(F.size(of) > 0, both / F.size(of)).otherwise(0.0)
+    exact = (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+    return F.struct(share(a).alias("precision"), share(b).alias("recall"), exact.alias("exact"))
+
+
+def rates(rows: DataFrame, parts: dict[str, tuple[str, str]], if_none: float | None = 1.0) -> DataFrame:
+    """Sums of each (part, whole) pair of columns over all rows, as a rate; ``if_none`` where the whole is zero."""
+    sums = [(F.sum(part) / F.nullif(F.sum(whole), F.lit(0))).alias(name) for name, (part, whole) in parts.items()]
+    rolled = rows.agg(*sums)
+    return rolled if if_none is None else rolled.fillna(if_none)

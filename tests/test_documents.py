@@ -199,3 +199,33 @@ def test_planner_replies():
     for bad in (reply(("A", "q")), reply(("A", "q"), ("a!", "r")), reply(("A", "q"), ("B", "Q?")), reply(("A", "a or b"), ("B", "q")), reply(("A", "x" * 501), ("B", "q")), "none"):
         with pytest.raises(ValueError):
             claims.read_plan(bad, "a or b")
+
+
+def test_audits_and_rates(spark):
+    from proofline.operators import metrics
+
+    gold = spark.createDataFrame([("a", "f", 1), ("b", None, 2), ("z", "f", 1)], "id string, file string, page int")
+    corpus = spark.createDataFrame([("a", "g", 1), ("b", None, 2)], "id string, file string, page int")
+    assert values(metrics.audit(gold, corpus, "id", ["file", "page"]), "id", "problem") == [("a", "file"), ("z", "missing")]
+    score = spark.range(1).select(metrics.set_scores(F.array(F.lit("A B"), F.lit("x")), F.array(F.lit("a b "))).alias("s")).first()["s"]
+    assert tuple(score) == (0.5, 1.0, False)
+    rows = spark.createDataFrame([(1, 2, 0, 0), (0, 2, 0, 0)], "p int, w int, q int, v int")
+    assert tuple(metrics.rates(rows, {"r": ("p", "w"), "s": ("q", "v")}).first()) == (0.25, 1.0)
+    assert tuple(metrics.rates(rows, {"s": ("q", "v")}, None).first()) == (None,)
+
+
+def test_rows_by_label(spark):
+    kind = "table_id long, row int, col int, text string"
+    gold = spark.createDataFrame([(1, 0, 0, "A"), (1, 0, 1, "1"), (1, 1, 0, "b"), (1, 1, 1, "2"), (1, 2, 0, "b"), (1, 2, 1, "3")], kind)
+    predicted = spark.createDataFrame([(1, 5, 0, "a "), (1, 5, 1, "1"), (1, 6, 0, "b"), (1, 6, 1, "9")], kind)
+    assert values(tables.labelled_agreement(predicted, gold), "table_id", "cells", "equal") == [(1, 1, 1)]
+
+
+def test_crops_and_turns(spark):
+    box = lambda *v: F.array(*map(F.lit, v))
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(tables.crop_box(box(10.0, 20.0, 30.0, 40.0), box(100.0, 200.0), box(200, 400))) == [8, 308, 72, 372]
+    width, height, inner = 100.0, 60.0, (10.0, 5.0, 40.0, 20.0)
+    turned = {0: inner, 90: (inner[1], width - inner[2], inner[3], width - inner[0]), 180: (width - inner[2], height - inner[3], width - inner[0], height - inner[1]), 270: (height - inner[3], inner[0], height - inner[1], inner[2])}
+    for angle, seen in turned.items():
+        assert one(tables.turned_back(box(*seen), box(width, height), F.lit(angle))) == list(inner)
