@@ -38,17 +38,20 @@ class LetterSpace:
 
     def forget(self) -> None:
         self.rows: dict[int, int] = {}
-        self.vectors = np.empty((1024, self.dimensions), np.float32)
+        self.vectors = np.empty((KEPT, self.dimensions), np.int8)  # touched as it fills
 
     def letter(self, code: int) -> np.ndarray:
         found = self.letters.get(code)
         if found is None:
             random = np.random.default_rng((self.seed, code))
-            found = self.letters[code] = random.integers(0, 2, self.dimensions).astype(np.float32) * 2 - 1
+            found = self.letters[code] = random.integers(0, 2, self.dimensions).astype(np.int8) * 2 - 1
         return found
 
     def bound(self, trigrams: np.ndarray) -> np.ndarray:
         """One vector for each trigram code."""
+        if len(trigrams) > KEPT:
+            half = len(trigrams) // 2
+            return np.concatenate([self.bound(trigrams[:half]), self.bound(trigrams[half:])])
         if len(self.rows) + len(trigrams) > KEPT:
             self.forget()
         at = np.empty(len(trigrams), np.int64)
@@ -56,12 +59,10 @@ class LetterSpace:
             row = self.rows.get(gram)
             if row is None:
                 row = self.rows[gram] = len(self.rows)
-                while row >= len(self.vectors):
-                    self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
                 a, b, c = gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF
                 self.vectors[row] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
             at[i] = row
-        return self.vectors[at]
+        return self.vectors[at].astype(np.float32)
 
     def bundled(self, texts: list[str | None]) -> np.ndarray:
         """The sum of the trigram vectors of each text; zeros for a text without letters."""
