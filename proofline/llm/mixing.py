@@ -163,11 +163,12 @@ def in_training_order(
     """The copies of ``docs`` that the mix takes, range-sorted by their positions; the columns are those of ``docs``.
 
     Whole documents only: one that is taken in part comes once more if the part is at least half of it. What has
-    no words, or isn't taken, is left out. Ties go by doc_id and text.
+    no words, or isn't taken, is left out. Ties go by doc_id and a hash of the text; a text itself is no sort key, as
+    Spark samples the keys to find the ranges.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), doc_id, text, source)
     placed = mix(whole, schedules, most, doc_id, text, source).select("_row", F.explode("positions").alias("_position"))
-    return placed.orderBy("_position", f"_row.{doc_id}", f"_row.{text}").select("_row.*")
+    return placed.orderBy("_position", f"_row.{doc_id}", F.xxhash64(f"_row.{text}")).select("_row.*")
 
 
 #: DuckDB SQL for ``mix`` with the default schedules.
