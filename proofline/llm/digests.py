@@ -103,7 +103,7 @@ def in_order_with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows, first, nulls = source.agg(F.count("*"), F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     slices = max(1, min(-(-rows // SLICE_ROWS), 4 * partitions))
     marks = [i / slices for i in range(1, slices)]
-    bounds = source.agg(F.percentile_approx("doc_id", marks or [0.5], 100 * max(100, slices))).first()[0] or []
+    bounds = source.agg(F.percentile_approx("doc_id", marks or [0.5], max(10_000, 20 * slices))).first()[0] or []
     bounds = np.array(sorted({b for b in bounds if b > first}) if marks and first is not None else [], np.int64)
     last, first = len(bounds), None if nulls else first
 
