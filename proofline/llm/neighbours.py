@@ -15,7 +15,7 @@ from proofline.llm.common import bounded_batches, cut
 #: Curves, projected dimensions and bits of each on a curve, and the seed of projections and shifts.
 CURVES, DIMENSIONS, BITS, SEED = 8, 3, 16, 6007
 #: A query looks at this share of all rows on either side of its place on each curve.
-HALF_WINDOW = 0.07
+HALF_WINDOW = 0.08
 #: Rows of a block for which a curve is not cut finer, most blocks of a curve, and rows of a task's group.
 LEAST_BLOCK, MOST_BLOCKS, GROUP_ROWS = 512, 64, 8192
 #: Queries that meet a group at once.
