@@ -41,13 +41,15 @@ def tokens(text: Column) -> Column:
     A single Han character stays alone. Null gives null. Compatibility forms (ligatures, full-width letters) are
     not folded here; ``fold_compatibility`` does that beforehand where a corpus has them.
     """
-    runs = F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(TOKEN), F.lit(1))
+    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    runs = F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(1))
 
     def parts(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, parts))
+    plain = F.regexp_extract_all(folded, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))  # much cheaper, and the same without Han
+    return F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, parts))).otherwise(plain)
 
 
 def fold_compatibility(text: Column) -> Column:
