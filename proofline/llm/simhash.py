@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.llm import similar
 from proofline.llm.common import bounded_batches, cut, fresh, pieces
 
 #: Words of a shingle, and seed of its hash.
@@ -139,19 +140,26 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_shingles: bool = False) -> DataFrame:
     """doc_id, bits (long), fingerprint (16 hex digits), root, component_id and group_size of each row.
 
     Texts with one fingerprint are one class; only classes are compared. ``component_id`` is the smallest doc_id
     of the component, null only if all of them are null; ``root`` is its least fingerprint as a long and names it,
     ``group_size`` counts its rows. Null and empty texts
     have fingerprint zero and link like any other. Repeated rows stay. An empty table gives no rows.
+
+    With ``by_shingles`` texts with a Jaccard similarity of 0.8 or more by five words link too, however many bits
+    they differ by: no radius of 64 bits that still has selective segments has all of them.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = cut(with_fingerprint(source, "text", "bits").select("doc_id", "bits"))
     classes = known.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    edges = links(classes.select("bits"))
+    if by_shingles:
+        edges = cut(edges)
+        edges = edges.union(similar.links(with_fingerprint(source.select("text"), "text", "bits"), edges, components)).distinct()
     rooted = (
-        classes.join(components(links(classes.select("bits"))).withColumnRenamed("node", "bits"), "bits", "left")
+        classes.join(components(edges).withColumnRenamed("node", "bits"), "bits", "left")
         .withColumn("root", F.coalesce("root", "bits"))
     )
     groups = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
@@ -161,7 +169,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_shingles: bool = False) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Of repeated rows with that doc_id one stays, as of rows that share it with different texts. A component in
@@ -169,7 +177,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     bits, none, id_, nth = (fresh(docs, name) for name in ("_bits", "_none", "_id", "_nth"))
     stays = (
-        near_groups(docs, doc_id, text)
+        near_groups(docs, doc_id, text, by_shingles)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root")
         .agg(F.min("doc_id").alias("kept"), F.min("bits").alias(bits))
