@@ -53,15 +53,25 @@ _token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _attribute = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _heading = re.compile(r"h[1-6](?:\.|$)")
 _name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: First and last words of a class that tells how a page is laid out, and not what the element is.
+_LAYOUT_FIRST, _LAYOUT_LAST = frozenset("has have with without no not hide is".split()), frozenset("free none off hidden disabled".split())
+#: Elements of lists, tables and captions, which stay with the text around them.
+_PARTS = frozenset("li dt dd td th caption figcaption pre blockquote summary".split())
 
 
-def _beside(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in LEFT_OUT or (tag == "header" and not inside_article):
-        return True
+def _left_out(tag: str, inside_article: bool) -> bool:
+    return tag in LEFT_OUT or (tag == "header" and not inside_article)
+
+
+def _named_beside(tag: str, attributes: str) -> bool:
+    """If a class, id or role has a word of BESIDE and doesn't only tell the layout."""
     if tag in NEVER_BESIDE or not attributes:
         return False
-    values = " ".join(a or b or c for _, a, b, c in _attribute.findall(attributes))
-    return any(word.lower() in BESIDE for word in _name_words.findall(values))
+    for value in " ".join(a or b or c for _, a, b, c in _attribute.findall(attributes)).split():
+        named = [word.lower() for word in _name_words.findall(value)]
+        if any(word in BESIDE for word in named) and not (named[0] in _LAYOUT_FIRST or named[-1] in _LAYOUT_LAST):
+            return True
+    return False
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -74,9 +84,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     The path has the block elements from the root down, with their classes. Tags may be unclosed: a paragraph
     ends where a block begins, an item where the next begins, and an end tag ends what is open within.
+
+    An element that is named as beside the article is left out unless it is around the article: it holds the
+    largest article (or main) of the page, or, within an article, an h1; in a page without these, nine tenths of
+    the text.
     """
-    found: list[tuple[tuple[str, ...], str, int]] = []
-    open_: list[tuple[str, str, bool]] = []  # tag, label, left out
+    found: list[tuple[tuple[str, ...], str, int, tuple[int, ...], tuple[int, ...]]] = []
+    open_: list[tuple[str, str, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, label, left out, named beside, articles
+    articles: list[tuple[str, tuple[int, ...]]] = []  # tag, named beside around it
+    around: set[int] = set()
+    n_named = 0
     parts: list[str] = []
     linked = in_link = 0
 
@@ -85,7 +102,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append((tuple(label for _, label, _ in open_), text, linked))
+                found.append((tuple(o[1] for o in open_), text, linked, *(open_[-1][3:] if open_ else ((), ()))))
             parts.clear()
         linked = 0
 
@@ -128,26 +145,43 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.append("\n")
         if tag in VOID and tag != "hr":
             continue
-        inside_article = any(t in OF_ARTICLE for t, _, _ in open_)
-        left_out = bool(open_ and open_[-1][2]) or _beside(tag, attributes, inside_article)
+        inside_article = any(o[0] in OF_ARTICLE for o in open_)
         if tag in BLOCKS:
             flush()
             close("p", frozenset(["table", "td", "th", "button"]))
             for inner, (starts, barrier) in _ENDED_BY.items():
                 if tag in starts:
                     close(inner, barrier)
-            left_out = bool(open_ and open_[-1][2]) or _beside(tag, attributes, inside_article)
+            left_out = bool(open_ and open_[-1][2]) or _left_out(tag, inside_article)
+            named, within = open_[-1][3:] if open_ else ((), ())
+            if _named_beside(tag, attributes):
+                named, n_named = (*named, n_named), n_named + 1
+            if tag in OF_ARTICLE and not left_out:
+                within = (*within, len(articles))
+                articles.append((tag, named))
+            elif tag == "h1" and within:
+                around.update(set(named[:-1] if _named_beside(tag, attributes) else named) - set(articles[within[-1]][1]))
             if tag != "hr":
-                open_.append((tag, _label(tag, attributes), left_out))
+                open_.append((tag, _label(tag, attributes), left_out, named, within))
         elif tag in LEFT_OUT:
-            open_.append((tag, tag, True))
+            open_.append((tag, tag, True, *(open_[-1][3:] if open_ else ((), ()))))
         if tag in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             if tag in BLOCKS or tag in LEFT_OUT:
                 close(tag)
             at = end.end() if end else size
     flush()
-    return found
+    if n_named:
+        total, of_named, of_article = 0, defaultdict(int), defaultdict(int)
+        for _, text, _, named, within in found:
+            total += len(text)
+            for i in named:
+                of_named[i] += len(text)
+            for i in within:
+                of_article[i] += len(text)
+        largest = max(of_article, key=lambda i: (articles[i][0] == "article", of_article[i]), default=None)
+        around.update(articles[largest][1] if largest is not None else [i for i, n in of_named.items() if 10 * n >= 9 * total])
+    return [block[:3] for block in found if around.issuperset(block[3])]
 
 
 def selected(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:
@@ -185,6 +219,29 @@ def selected(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ..
     return {p for p, v in zip(paths, fused) if v >= threshold}
 
 
+def _within_content(found: list[tuple[tuple[str, ...], str, int]], chosen: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The paths that belong to the selected text although they are below the threshold.
+
+    All within the article (or main) of selected text; without one, within the element around most of it: all if
+    they are not mostly links, and of the body itself only lists, tables and captions.
+    """
+    tags = lambda path: [label.split(".", 1)[0] for label in path]
+    length, linked, around = defaultdict(int), defaultdict(int), defaultdict(int)
+    for path, text, n in found:
+        length[path] += len(text)
+        linked[path] += n
+        if path in chosen:
+            named = tags(path)
+            at = next((named.index(t) for t in ("article", "main") if t in named), None)
+            around[path[: at + 1] if at is not None else path[:-1], at is not None] += len(text)
+    articles = [root for root, is_article in around if is_article]
+    if articles:
+        return {p for p in length if any(p[: len(root)] == root for root in articles)}
+    root = max(around, key=around.get)[0] if around else ()
+    inner = {p for p in length if p[: len(root)] == root and 2 * linked[p] <= length[p]}
+    return inner if set(tags(root)) - {"html", "body"} else {p for p in inner if _PARTS & set(tags(p))}
+
+
 def main_text(page: str | None) -> str:
     """The article of a whole page: the blocks of the selected paths in page order, joined by line feeds.
 
@@ -193,6 +250,7 @@ def main_text(page: str | None) -> str:
     """
     found = blocks(page or "")
     paths = selected(found)
+    paths |= _within_content(found, paths)
     kept, following = [], None  # the last block behind that is no heading
     for path, text, _ in reversed(found):
         if path and _heading.match(path[-1]):
