@@ -10,6 +10,8 @@ from proofline.operators import fusion, lexical, metrics, vector
 from proofline.sources.collections import read_table
 
 TOP = 10
+#: Hits of each branch that are fused, of which TOP stay.
+CANDIDATES = max(TOP, 50)
 
 _TOKENS = r"regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\x{{3400}}-\x{{9fff}}]+|[\p{{L}}\p{{N}}]+')"
 #: CTEs from docs(doc_id, text) and queries(query_id, query) to ranked(query_id, doc_id, s, rank).
@@ -104,8 +106,8 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, questions = read_table(spark, sf_dir, "embeddings"), _questions(spark, sf_dir)
     asking = vectors.join(questions.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
     asking = asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    dense = vector.cosine_top_k(vectors, asking, TOP).select("query_id", F.col("vec_id").alias("id"), F.col("rank").alias("position"), "score")
-    lexical_hits = lexical.bm25(read_table(spark, sf_dir, "documents"), questions, TOP)
+    dense = vector.cosine_top_k(vectors, asking, CANDIDATES).select("query_id", F.col("vec_id").alias("id"), F.col("rank").alias("position"), "score")
+    lexical_hits = lexical.bm25(read_table(spark, sf_dir, "documents"), questions, CANDIDATES)
     lexical_hits = lexical_hits.select("query_id", F.col("doc_id").alias("id"), F.col("rank").alias("position"), F.col("bm25_score").alias("score"))
     fused = fusion.fuse_rrf(dense, lexical_hits, TOP)
     return fused.select("query_id", "id", "rank", F.round("rrf", 9).alias("rrf"), "dense_rank", "bm25_rank")
