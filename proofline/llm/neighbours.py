@@ -138,7 +138,7 @@ def nearest(
         found = place.keys(_matrix(column)) if len(column) else np.empty((0, curves), np.int64)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * curves, pa.int32()), pa.array(found.ravel()))
 
-    smallest = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    smallest = F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))
     points = (
         whole.select("vector", "id")
         .withColumn("n", smallest)
@@ -223,11 +223,13 @@ def nearest(
             q = np.stack(right["vector"]).astype(np.float64)
             point, ids, asker = left["point"].to_numpy(), left["ids"].to_numpy(), right["id"].to_numpy()
             norms = (x**2).sum(axis=1)
-            more = min(len(x), 2 * (k + 1))
+            last = min(k, len(x) - 1)
             for start in range(0, len(q), 256):
-                near = norms - 2 * (q[start : start + 256] @ x.T)  # enough to choose from; then exactly
-                chosen = np.argpartition(near, more - 1, axis=1)[:, :more] if more < len(x) else np.tile(np.arange(len(x)), (len(near), 1))
-                for i, row in enumerate(chosen):
+                part = q[start : start + 256]
+                near = norms - 2 * (part @ x.T)  # all up to the last that counts, with what rounding may hide; then exactly
+                bound = np.partition(near, last, axis=1)[:, last] + 1e-10 * (norms.max() + (part**2).sum(axis=1))
+                for i in range(len(near)):
+                    row = np.nonzero(near[i] <= bound[i])[0]
                     exact = np.sqrt(((x[row] - q[start + i]) ** 2).sum(axis=1))
                     order = np.lexsort((point[row], exact))[: k + 1]
                     columns["query_id"] += [asker[start + i]] * len(order)
