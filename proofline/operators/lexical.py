@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.shared import written
 from proofline.functions.text import tokens
 
 
+#: Tokens of all queries that are sent to every task; more meet the corpus in a shuffle.
+MOST_SENT = 500_000
+
+
 def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, token, tf, doc_length): the postings, one row for each token of each document."""
     words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
@@ -25,27 +30,38 @@ def document_frequencies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )  # one row of totals
 
 
+def asked_postings(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, token, tf) of the tokens that some query (token) has; the others of a document count under a null token.
+
+    The texts are tokenised once, and what leaves a task is a count for each document and asked token. Written down,
+    as frequencies, lengths and scores all come from it. Rows of one doc_id are one document; one without tokens has
+    a row with a null token and tf 0.
+    """
+    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
+    each = words.select("doc_id", F.explode_outer("tokens").alias("word"))
+    vocabulary = asked.select(F.col("token").alias("word"), F.col("token")).distinct()
+    if vocabulary.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        vocabulary = F.broadcast(vocabulary)
+    tf = F.count("word").alias("tf")
+    return written(each.join(vocabulary, "word", "left").groupBy("doc_id", "token").agg(tf))
+
+
 def bm25(
     docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """The ``k`` best documents of each query (query_id, query): query_id, doc_id, bm25_score, rank.
 
     Distinct query terms count once; only positive scores are ranked; ties go by the id as a string. The corpus
-    is tokenised once: lengths, and of its tokens only those that some query has. Postings are joined with the
-    queries by token, and scores are summed before they move.
+    is tokenised once, of its tokens only those that some query has are kept, and scores are summed before they move.
     """
     if k <= 0 or k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k and k1 must be positive and b between 0 and 1")
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    vocabulary = asked.select("token").distinct()
-    postings = (
-        words.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy("doc_id", "length", "token")
-        .agg(F.count("*").alias("tf"))
-    )
+    asked = queries.select("query_id", F.explode_outer(F.array_distinct(tokens(F.col("query")))).alias("token")).where("token is not null")
+    asked = written(asked)
+    counted = asked_postings(docs, asked, doc_id, text)
+    lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    postings = counted.where("token is not null")
     frequencies = postings.groupBy("token").agg(F.count("*").alias("df"))
     weighted = frequencies.crossJoin(F.broadcast(totals)).select(
         "token", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
@@ -54,7 +70,7 @@ def bm25(
     norm = k1 * (1 - b + b * F.col("length") / F.col("mean"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     scored = (
-        postings.join(weighted, "token").select("token", "doc_id", part.alias("part")).join(asked, "token")
+        postings.join(lengths, "doc_id").join(weighted, "token").select("token", "doc_id", part.alias("part")).join(asked, "token")
         .groupBy("query_id", "doc_id").agg(F.sum("part").alias("bm25_score")).where("bm25_score > 0")
     )
     order = Window.partitionBy("query_id").orderBy(F.round("bm25_score", 9).desc(), F.col("doc_id").cast("string"))

@@ -21,25 +21,25 @@ def proportional(rows: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     """``n`` rows spread over the strata in proportion to their sizes.
 
     Rows go by their place in the stratum divided by its size, then by stratum. With fewer places than strata, the
-    largest strata give one row each.
+    largest strata give one row each. Sizes are a group sum, and only the first ``n`` rows of a stratum are ordered
+    against others, so a stratum with most of the rows isn't sorted in one task. A null stratum is one too.
     """
-    whole = Window.partitionBy(stratum)
-    placed = rows.withColumns(
-        {"_size": F.count("*").over(whole), "_place": F.row_number().over(whole.orderBy(key)) - 1}
-    )
-    strata = rows.select(F.countDistinct(stratum).alias("_strata"))
+    sizes = rows.groupBy(F.col(stratum).alias("_of")).agg(F.count("*").alias("_size"))
+    strata = sizes.agg(F.count("*").alias("_strata"))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1
+    first = rows.withColumn("_place", place).where(F.col("_place") < n)
     few = F.col("_strata") > n
     return (
-        placed.crossJoin(F.broadcast(strata)).where(~few | (F.col("_place") == 0))
+        first.join(sizes, F.col(stratum).eqNullSafe(F.col("_of"))).crossJoin(F.broadcast(strata)).where(~few | (F.col("_place") == 0))
         .orderBy(F.when(few, -F.col("_size")).otherwise(F.col("_place") / F.col("_size")), stratum, key).limit(n)
-        .drop("_size", "_place", "_strata")
+        .drop("_size", "_place", "_strata", "_of")
     )
 
 
 def by_turns(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
-    """``n`` rows, one of each stratum by turns, within it in the order of a draw."""
+    """``n`` rows, one of each stratum by turns, within it in the order of a draw; no stratum gives more than ``n``."""
     order = Window.partitionBy(stratum).orderBy(draw(seed, "turn", F.col(key)), key)
-    placed = rows.withColumn("turn", F.row_number().over(order))
+    placed = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n)
     return placed.orderBy("turn", stratum).limit(n)
 
 

@@ -9,8 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates and of queries that meet at once.
-BLOCK, QUERY_BLOCK = 8192, 1024
+#: Queries that are sent to every task whole, if there are no more; else rows of a block of candidates and of queries.
+SENT, BLOCK, QUERY_BLOCK = 4096, 8192, 1024
+
+
+def _unit(values, low: int, high: int | None) -> np.ndarray:
+    x = np.stack(values).astype(np.float64)[:, low:high]
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
 
 
 def cosine_top_k(
@@ -25,39 +30,62 @@ def cosine_top_k(
     """The ``k`` rows of ``corpus`` most similar to each row of ``queries`` (query_id, query_vector).
 
     Returns query_id, vec_id, score, rank; ties go to the smaller id. Null vectors and zero vectors take no part. With
-    ``dims`` only components [from, to) count; with ``threshold`` lower scores are left out. Blocks of both sides
-    meet in pairs, each pair returns k rows for each query, and only those move on; no side is broadcast.
+    ``dims`` only components [from, to) count; with ``threshold`` lower scores are left out. Up to SENT queries are
+    sent to the tasks, and the corpus is read where it lies. More queries meet the corpus in pairs of blocks, and
+    no side is broadcast. Either way only k rows for each query leave a task or a pair.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     low, high = dims or (0, None)
-    n, m = corpus.count(), queries.count()
-    blocks, query_blocks = max(1, ceil(n / BLOCK)), max(1, ceil(m / QUERY_BLOCK))
-    left = corpus.select(
-        F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(vec_id), F.lit(blocks)).alias("b"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"),
-    ).where("v is not null")
-    right = queries.select(
-        "query_id", F.col("query_vector").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("q"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"),
-    ).where("v is not null")
-
-    def best(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(mine) and len(asked):
-            unit = lambda values: (x := np.stack(values).astype(np.float64)[:, low:high]) / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
-            x, y, ids = unit(mine["v"]), unit(asked["v"]), mine["vec_id"].to_numpy()
-            alive = np.abs(x).sum(axis=1) > 0
-            x, ids = x[alive], ids[alive]
-            for asker, scores in zip(asked["query_id"], np.round(y @ x.T, 12)):
-                order = np.lexsort((ids, -scores))[:k]
-                out["query_id"] += [asker] * len(order)
-                out["vec_id"] += ids[order].tolist()
-                out["score"] += scores[order].tolist()
-        return pd.DataFrame(out)
-
-    met = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(best, "query_id long, vec_id long, score double")
+    rows = corpus.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v")).where("v is not null")
+    asked = queries.select("query_id", F.col("query_vector").alias("v")).where("v is not null")
+    few = asked.limit(SENT + 1).collect()
+    met = _by_sent_queries(rows, few, k, low, high) if len(few) <= SENT else _by_blocks(rows, asked, k, low, high)
     if threshold is not None:
         met = met.where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+HITS = "query_id long, vec_id long, score double"
+
+
+def _best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, askers, k: int) -> pd.DataFrame:
+    """The best ``k`` of the rows ``x`` for each of the queries ``y``."""
+    alive = np.abs(x).sum(axis=1) > 0
+    x, ids = x[alive], ids[alive]
+    out = {"query_id": [], "vec_id": [], "score": []}
+    for start in range(0, len(y) if len(x) else 0, 256):
+        for asker, scores in zip(askers[start : start + 256], np.round(y[start : start + 256] @ x.T, 12)):
+            some = np.nonzero(scores >= np.partition(scores, -k)[-k])[0] if len(scores) > k else np.arange(len(scores))
+            order = some[np.lexsort((ids[some], -scores[some]))[:k]]
+            out["query_id"] += [asker] * len(order)
+            out["vec_id"] += ids[order].tolist()
+            out["score"] += scores[order].tolist()
+    return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+
+def _by_sent_queries(rows: DataFrame, few: list, k: int, low: int, high: int | None) -> DataFrame:
+    askers = [r["query_id"] for r in few]
+    y = _unit([r["v"] for r in few], low, high) if few else None
+
+    def search(batches):
+        for batch in batches:
+            if len(batch) and y is not None:
+                yield _best(_unit(batch["v"], low, high), batch["vec_id"].to_numpy(), y, askers, k)
+
+    return rows.mapInPandas(search, HITS)
+
+
+def _by_blocks(rows: DataFrame, asked: DataFrame, k: int, low: int, high: int | None) -> DataFrame:
+    blocks, query_blocks = (max(1, ceil(df.count() / size)) for df, size in ((rows, BLOCK), (asked, QUERY_BLOCK)))
+    left = rows.withColumns({"b": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "q": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    right = asked.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"), "b": spread})
+
+    def search(mine: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
+        if not (len(mine) and len(those)):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return _best(_unit(mine["v"], low, high), mine["vec_id"].to_numpy(), _unit(those["v"], low, high), those["query_id"].tolist(), k)
+
+    return left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(search, HITS)

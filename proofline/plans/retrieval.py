@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.shared import written
 from proofline.functions.text import reference_penalty, token_budget, tokens
 from proofline.operators import fusion, lexical, metrics, vector
 from proofline.sources.collections import read_table
@@ -114,10 +115,10 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HYBRID_RRF = f"""
-WITH docs AS (SELECT doc_id, text FROM documents), queries AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_BM25},
+WITH docs AS (SELECT doc_id, text FROM documents), queries AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_BM25.replace(f"rank <= {TOP}", f"rank <= {CANDIDATES}")},
 cosines AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS s
             FROM embeddings q JOIN benchmark b ON q.vec_id = b.item_id, embeddings e),
-dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM cosines QUALIFY r <= {TOP}),
+dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM cosines QUALIFY r <= {CANDIDATES}),
 pairs AS (SELECT query_id, id, d.r AS dense_rank, l.rank AS bm25_rank,
                 coalesce(1.0::DOUBLE / (60 + d.r), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0) AS rrf
          FROM dense d FULL JOIN (SELECT query_id, doc_id AS id, rank FROM ranked) l USING (query_id, id))
@@ -185,7 +186,7 @@ SELECT case_id, chunk_id, CAST(fused_rank AS INT) AS fused_rank, round(rrf, 9) A
 
 
 def coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _subquery_hits(spark, sf_dir)
+    hits = written(_subquery_hits(spark, sf_dir))
     chosen = fusion.select_coverage(fusion.fuse_queries(hits), hits, TOP, targets=2)
     return chosen.select("case_id", "chunk_id", "rank", "fused_rank", "class")
 
@@ -225,7 +226,7 @@ quality AS (SELECT *, dcg / (SELECT sum(1.0::DOUBLE / log2(i + 1)) FROM range(1,
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, hits = _arms(spark, sf_dir)
+    gold, hits = map(written, _arms(spark, sf_dir))
     found = None
     for arm in ("low", "high"):
         mine = hits.where(F.col("arm") == arm).drop("arm")
