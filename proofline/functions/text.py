@@ -35,13 +35,19 @@ SECTION_CUES = {
 }
 
 
+#: Texts of these characters alone are the same in NFKC, and but for sharp s their case folding is their lower case:
+#: ASCII, letters of Western Europe, Han and its stops, dashes and quotes.
+_FOLDED_PLAINLY = "^[\\x00-\\x7FÀ-ÖØ-öø-ÿ\\x{4e00}-\\x{9fa5}。、–—‘’“”]*$"
+
+
 def tokens(text: Column) -> Column:
-    """Lexical tokens of a text: lower-cased runs of letters and digits; Han runs as overlapping pairs.
+    """Lexical tokens of a text in NFKC and case-folded: runs of letters and digits; Han runs as overlapping pairs.
 
-    A single Han character stays alone. Null gives null. Compatibility forms (ligatures, full-width letters) are
-    not folded here; ``fold_compatibility`` does that beforehand where a corpus has them.
+    A single Han character stays alone. Null gives null. Only texts with characters that NFKC or case folding may
+    change go through Python.
     """
-    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    plainly = text.rlike(_FOLDED_PLAINLY)
+    folded = F.when(plainly, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(fold_compatibility(F.when(~plainly, text)))
     runs = F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(1))
 
     def parts(run: Column) -> Column:
@@ -49,11 +55,11 @@ def tokens(text: Column) -> Column:
         return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
     plain = F.regexp_extract_all(folded, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))  # much cheaper, and the same without Han
-    return F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, parts))).otherwise(plain)
+    return F.when(folded.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, parts))).otherwise(plain)
 
 
 def fold_compatibility(text: Column) -> Column:
-    """NFKC and case folding, for corpora with compatibility forms."""
+    """NFKC and case folding."""
 
     @F.arrow_udf("string")
     def folded(column: pa.Array) -> pa.Array:
@@ -120,44 +126,71 @@ def cited_numbers(answer: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit("S([0-9]+)"), F.lit(1)))).cast("array<int>"))
 
 
-#: Separators inside a citation bracket, and the widest range that is expanded.
-_SEPARATORS, _WIDEST = re.compile(r"[,;，；、]"), 100
-_BRACKET = re.compile(r"\[\s*S\s*\d[^\[\]]*\]", re.I)
-_ITEM = re.compile(r"\s*S\s*(\d+)\s*(?:[-–—]\s*S?\s*(\d+))?\s*", re.I)
-_LEFT_OVER = re.compile(r"\[\s*S\s*\d(?![^\[\]]*\])|(?<!\[)\bS\d+\]", re.I)
+#: A citation bracket, an item of its list, the widest range and the most sources of one bracket.
+_BRACKET = re.compile(r"\[\s*(S[^\]\n]*)\]", re.I)
+_ITEM = re.compile(r"\s*S([1-9]\d{0,5})(?:\s*[-–—]\s*S?([1-9]\d{0,5}))?\s*", re.I)
+_WIDEST, _MOST_SOURCES = 99, 100
+#: The answer without evidence, what refuses any answer, what may, and what only looks like a citation.
+NO_EVIDENCE = "当前检索证据不足，无法可靠回答该问题。请补充相关文献或缩小问题范围。"
+_REFUSES = re.compile(r"cannot\s+(?:reliably\s+)?answer\s+(?:this|the|your)\s+question|无法(?:可靠)?回答(?:该|这个|此|您的)问题", re.I)
+_ABSTAINS = re.compile(
+    r"证据不足|信息不足|无法.{0,12}(?:回答|确定|确认)|(?:未|没有|并未).{0,8}(?:报告|提及|提供|包含|找到)|insufficient\s+evidence|"
+    r"evidence\s+(?:is\s+)?insufficient|cannot\s+(?:reliably\s+)?(?:answer|determine|confirm)|"
+    r"(?:does?\s+not|did\s+not|not)\s+(?:report|mention|provide|specify)",
+    re.I,
+)
+_CITED_SENTENCE = re.compile(r"\[S[1-9]\d*\][^.!?。！？\n]*[.!?。！？\n]")
+_CITED, _LOOKS_CITED = re.compile(r"\[S([1-9]\d*)\]"), re.compile(r"[\[［【]\s*[SsＳｓ]")
+
+
+def _sources_of(bracket: str, source_count: int) -> list[int] | None:
+    """The distinct sources that a bracket's list of ids and ranges names, in order; None if it is malformed."""
+    items = [_ITEM.fullmatch(part) for part in re.split("[,;，、]", bracket)]
+    if not all(items):
+        return None
+    ranges = [range(int(low), int(high or low) + 1) for low, high in (item.groups() for item in items)]
+    if any(not 1 <= len(r) <= _WIDEST + 1 or r[-1] > source_count for r in ranges) or sum(map(len, ranges)) > _MOST_SOURCES:
+        return None
+    return list(dict.fromkeys(n for r in ranges for n in r))
+
+
+def normalize_citations(answer: str, source_count: int) -> str | None:
+    """``answer`` with each list or range of sources as single brackets; None if a bracket is malformed.
+
+    Malformed is what isn't a list of ids and ranges, a descending range or one of over 100, a source beyond
+    ``source_count``, or over 100 sources in one bracket.
+    """
+    named = {m[0]: _sources_of(m[1], source_count) for m in _BRACKET.finditer(answer)}
+    if None in named.values():
+        return None
+    return _BRACKET.sub(lambda m: "".join(f"[S{n}]" for n in named[m[0]]), answer)
+
+
+def refuses(answer: str) -> bool:
+    """If the whole answer is a refusal, and not only a reservation after a cited sentence."""
+    found = _ABSTAINS.search(answer)
+    return bool(_REFUSES.search(answer) or (found and not _CITED_SENTENCE.search(answer, 0, found.start())))
 
 
-def normalize_citations(answer: str, source_count: int) -> tuple[str, str]:
-    """(text, status): lists and ranges of source ids as single brackets.
+def guard_answer(answer: str | None, source_count: int | None) -> tuple[str, str]:
+    """(text to show, status): the answer, its citations expanded, if all it cites is there; else NO_EVIDENCE.
 
-    The status is ``valid``, ``missing`` (no citation), ``invalid`` (a source that isn't there, a descending or
-    too wide range) or ``malformed`` (something else that looks like a citation).
+    The status is the first that holds of no_evidence (no sources), empty_answer, malformed_citation,
+    insufficient_evidence (a refusal), malformed_citation (a bracket left over), invalid_or_missing_citation,
+    normalized_citations (brackets were expanded) and passed.
     """
-    problems: list[str] = []
-
-    def expand(match: re.Match) -> str:
-        numbers: list[int] = []
-        for part in _SEPARATORS.split(match[0][1:-1]):
-            item = _ITEM.fullmatch(part)
-            if not item:
-                problems.append("malformed")
-                return match[0]
-            first = int(item[1])
-            last = int(item[2]) if item[2] else first
-            if first < 1 or last > source_count or last < first or last - first > _WIDEST:
-                problems.append("invalid")
-                return match[0]
-            numbers += range(first, last + 1)
-        return "".join(f"[S{n}]" for n in dict.fromkeys(numbers))
-
-    text = _BRACKET.sub(expand, answer)
-    if "malformed" in problems:
-        return answer, "malformed"
-    if problems:
-        return answer, "invalid"
-    if _LEFT_OVER.search(text):
-        return answer, "malformed"
-    return text, "valid" if re.search(r"\[S\d+\]", text) else "missing"
+    text = normalize_citations(answer or "", source_count or 0)
+    cited = [int(n) for n in _CITED.findall(text or "")]
+    checks = {
+        "no_evidence": not source_count,
+        "empty_answer": not (answer or "").strip(),
+        "malformed_citation": text is None,
+        "insufficient_evidence": text is not None and refuses(text),
+        "malformed_citation ": text is not None and bool(_LOOKS_CITED.search(_CITED.sub("", text))),
+        "invalid_or_missing_citation": not cited or max(cited) > (source_count or 0),
+    }
+    failed = next((name.strip() for name, holds in checks.items() if holds), None)
+    return (NO_EVIDENCE, failed) if failed else (text, "passed" if text == answer else "normalized_citations")
 
 
 def identifiers(text: Column) -> Column:

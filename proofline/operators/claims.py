@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,38 +29,39 @@ def strict_json(raw: str) -> object:
     return json.loads(raw, object_pairs_hook=pairs, parse_constant=constant)
 
 
+#: What holds of each claim of a reply, given the known evidence ids.
+_CLAIM_RULES = (
+    lambda c, known: isinstance(c, dict) and c.keys() == {"text", "evidence_ids"} and isinstance(c["text"], str) and isinstance(c["evidence_ids"], list),
+    lambda c, known: 0 < len(c["text"].strip()) and len(c["text"]) <= MOST_TEXT,
+    lambda c, known: not _MARKS.search(c["text"]) and not _MORE_SENTENCES.search(c["text"].strip()),
+    lambda c, known: all(isinstance(e, str) and e in known for e in c["evidence_ids"]),
+    lambda c, known: 1 <= len(set(c["evidence_ids"])) == len(c["evidence_ids"]) <= MOST_EVIDENCE,
+)
+
+
 def read_claims(raw: str | None, known: set[str]) -> tuple[str, list[tuple[str, list[str]]]]:
     """(status, [(claim, evidence ids)]) of a model's reply: all of it is right, or the status is ``invalid``.
 
     A reply has exactly the keys status and claims; ``insufficient`` goes with no claims. Each claim is one sentence
     without markup or citations, unlike the others, and names one to eight known ids once each.
     """
+    invalid = ("invalid", [])
+    if raw is None or len(raw) > MOST_REPLY:
+        return invalid
     try:
-        if raw is None or len(raw) > MOST_REPLY:
-            raise ValueError("no reply, or too long")
         reply = strict_json(raw)
-        if not isinstance(reply, dict) or set(reply) != {"status", "claims"} or not isinstance(reply["claims"], list):
-            raise ValueError("keys")
-        claims = reply["claims"]
-        if reply["status"] == "insufficient" and not claims:
-            return "insufficient", []
-        if reply["status"] != "answered" or not 1 <= len(claims) <= MOST_CLAIMS:
-            raise ValueError("status")
-        found = []
-        for claim in claims:
-            if not isinstance(claim, dict) or set(claim) != {"text", "evidence_ids"}:
-                raise ValueError("claim")
-            text, ids = claim["text"], claim["evidence_ids"]
-            if not isinstance(text, str) or not text.strip() or len(text) > MOST_TEXT or _MARKS.search(text) or _MORE_SENTENCES.search(text.strip()):
-                raise ValueError("text")
-            if not isinstance(ids, list) or not 1 <= len(ids) <= MOST_EVIDENCE or len(set(map(str, ids))) != len(ids) or not set(ids) <= known:
-                raise ValueError("evidence")
-            found.append((text.strip(), ids))
-        if len({text for text, _ in found}) != len(found):
-            raise ValueError("repeated claim")
-        return "answered", found
-    except (ValueError, TypeError):
-        return "invalid", []
+    except ValueError:
+        return invalid
+    if not (isinstance(reply, dict) and reply.keys() == {"status", "claims"} and isinstance(reply["claims"], list)):
+        return invalid
+    claims = reply["claims"]
+    counts = {"insufficient": range(1), "answered": range(1, MOST_CLAIMS + 1)}
+    if not isinstance(reply["status"], str) or len(claims) not in counts.get(reply["status"], ()):
+        return invalid
+    if not all(all(rule(claim, known) for rule in _CLAIM_RULES) for claim in claims):
+        return invalid
+    found = [(claim["text"].strip(), claim["evidence_ids"]) for claim in claims]
+    return (reply["status"], found) if len(dict(found)) == len(found) else invalid
 
 
 #: Fixed values of a decision: what is checked, with which outcomes, and on what basis a scope holds.
@@ -77,13 +79,9 @@ CONDITION = r"\b(?:only if|only when|provided that|if|when|unless|under|without|
 
 def risk_cues(claim: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, words) of the cues in a claim, in order; a generalisation that is taken back is only limited."""
-    limited = [m.span() for m in re.finditer(LIMITED, claim, re.I)]
-    found = [(a, b, "limited_quantifier", claim[a:b]) for a, b in limited]
-    for kind, pattern in (("generalization", GENERAL), ("condition", CONDITION)):
-        for m in re.finditer(pattern, claim, re.I):
-            if kind == "condition" or not any(a <= m.start() and m.end() <= b for a, b in limited):
-                found.append((*m.span(), kind, m[0]))
-    return sorted(found)
+    masked = re.sub(LIMITED, lambda m: "\0" * len(m[0]), claim, flags=re.I)  # as cue_counts, but in place
+    where = {"limited_quantifier": (LIMITED, claim), "generalization": (GENERAL, masked), "condition": (CONDITION, claim)}
+    return sorted((*m.span(), kind, m[0]) for kind, (pattern, text) in where.items() for m in re.finditer(pattern, text, re.I))
 
 
 def cue_counts(claim: Column) -> Column:
@@ -160,12 +158,27 @@ def gate_answers(packets: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed limits of a quote and its source, and the white space that is folded.
+MOST_QUOTE, MOST_SOURCE, _WHITE = 1_200, 64_000, "[ \\t\\r\\n]"
+
+
 def align_quote(quote: Column, source: Column) -> Column:
-    """Start of the one place where ``source`` has ``quote`` with white space folded, from 0; -1 if none or several."""
-    fold = lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))
-    first = F.instr(fold(source), fold(quote))
-    again = F.instr(F.substring(fold(source), first + 1, F.length(source)), fold(quote))
-    return F.when((first > 0) & (again == 0), first - 1).otherwise(-1)
+    """A struct (start, stop, text, exact): the one place of ``source`` that has ``quote`` when runs of white space are equal.
+
+    Offsets are code points of the source as it is, from 0, the end excluded; nothing is trimmed, and white space is never
+    added or left out. ``exact`` says if the place spells the quote. Null where there is no such place or several
+    (overlapping ones count), and where the quote is blank, or it, the place or the source is too long.
+    """
+    run = f"(?<!{_WHITE}){_WHITE}+(?!{_WHITE})"
+    literal = lambda part: F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.array_join(F.transform(F.split(quote, f"{_WHITE}+"), literal), run)
+    places = F.call_function("regexp_count", source, F.concat(F.lit("(?="), pattern, F.lit(")")))
+    before = F.call_function("regexp_extract", source, F.concat(F.lit("(?s)^(.*?)(?:"), pattern, F.lit(")")), F.lit(1))
+    text = F.call_function("regexp_extract", source, pattern, F.lit(0))
+    fits = quote.rlike("[^ \\t\\r\\n]") & (F.length(quote) <= MOST_QUOTE) & F.length(source).between(1, MOST_SOURCE)
+    start = F.length(before)
+    found = F.struct(start.alias("start"), (start + F.length(text)).alias("stop"), text.alias("text"), (text == quote).alias("exact"))
+    return F.when(fits & (places == 1) & (F.length(text) <= MOST_QUOTE), found)
 
 
 def first_json_object(raw: str) -> dict:
@@ -191,33 +204,44 @@ def read_plan(raw: str, question: str, most: int = 3) -> list[tuple[str, str]]:
     return found
 
 
-_UNIT_END, _LEAD_IN = re.compile(r"(?<=[。！？!?])\s*(?=\S)|(?<=\.)\s+(?=\S)|\n+"), re.compile(r"^\s*(?:#{1,6}\s|.*[:：]\s*$)")
+#: Fixed patterns of an answer's claims: words whose period ends no sentence, headings, and lines that only lead in.
+_SHORTENED = re.compile(r"\b(?:et al|e\.g|i\.e|Fig|Figs|Eq|Eqs|Sec|Secs|Dr|Mr|Ms|Prof)\.$", re.I)
+_HEADING = re.compile(r"^\s*(?:(?:\d+|[A-Za-z])[.)]\s+)?(?:#{1,6}\s+.+|\*\*[^*\n]+\*\*\s*[:：]?)\s*$")
+_LEAD_IN = re.compile(r"^\s*(?:\*{1,2})?[^.!?。！？:\n]{1,80}(?:\*{1,2})?\s*[:：]\s*$")
+_ITEM_MARK = re.compile(r"^\s*(?:[-*+]\s+|\d+[.)]\s+|#{1,6}\s+)")
+_UNIT_END = re.compile(r"(?<=[。！？])\s*(?=\S)|(?<=[.!?])\s+(?=\S)")
 
 
 def claim_units(answer: str) -> list[str]:
     """The sentences of an answer that claim something: no headings, no lead-ins, three letters or digits at least.
 
-    Citations that follow a sentence belong to it.
+    Citations that follow a sentence belong to it. A lead-in is a whole line of at most 80 characters that ends in a
+    colon; a period of an abbreviation ends no sentence.
     """
     units: list[str] = []
-    for part in filter(None, map(str.strip, _UNIT_END.split(answer))):
-        leading = re.match(r"(?:\[S\d+\]\s*)+", part)
-        if leading and units:
-            units[-1] = f"{units[-1]} {leading[0].strip()}"
-            part = part[leading.end() :].strip()
-        if part and not _LEAD_IN.match(part):
-            units.append(part)
-    content = lambda unit: re.findall(r"[^\W_]", re.sub(r"\[S\d+\]", "", unit))
-    return [u for u in units if len(content(u)) >= 3]
+    for line in answer.splitlines():
+        text = _ITEM_MARK.sub("", line)
+        if _HEADING.fullmatch(line) or _LEAD_IN.fullmatch(text):
+            continue
+        ends = [m.span() for m in _UNIT_END.finditer(text) if not _SHORTENED.search(text, 0, m.start())]
+        for a, b in zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)]):
+            part = text[a:b].strip()
+            leading = re.match(r"(?:\[S\d+\]\s*)+", part)
+            if leading and a and units:
+                units[-1] = f"{units[-1]} {leading[0].strip()}"
+                part = part[leading.end() :].strip()
+            if part:
+                units.append(part)
+    return [u for u in units if len(re.findall(r"[A-Za-z0-9\u3400-\u9fff]", re.sub(r"\[S\d+\]", "", u))) >= 3]
 
 
 def claims_of_answers(answers: DataFrame) -> DataFrame:
     """(answer_id, position, text, citations) of the units of each answer (answer_id, answer)."""
     from proofline.functions.text import cited_numbers
 
-    @F.udf("array<string>")
-    def units(answer):
-        return claim_units(answer or "")
+    @F.arrow_udf("array<string>")
+    def units(column: pa.Array) -> pa.Array:
+        return pa.array([claim_units(answer.as_py() or "") for answer in column], pa.list_(pa.string()))
 
     found = answers.select("answer_id", F.posexplode(units("answer")).alias("position", "text"))
     return found.withColumn("citations", cited_numbers(F.col("text")))
@@ -226,3 +250,15 @@ def claims_of_answers(answers: DataFrame) -> DataFrame:
 def no_evidence_no_support(judged: DataFrame) -> DataFrame:
     """Judged claims (citations, supported), where a claim without any citation is not supported, whatever was judged."""
     return judged.withColumn("supported", F.when(F.size("citations") == 0, F.lit(False)).otherwise(F.col("supported")))
+
+
+def guard_answers(answers: DataFrame) -> DataFrame:
+    """``answers`` (answer, source_count) with shown and status, as ``functions.text.guard_answer`` has them."""
+    from proofline.functions.text import guard_answer
+
+    @F.arrow_udf("struct<shown:string,status:string>")
+    def guarded(texts: pa.Array, counts: pa.Array) -> pa.Array:
+        found = [guard_answer(text.as_py(), n.as_py()) for text, n in zip(texts, counts)]
+        return pa.array([{"shown": shown, "status": status} for shown, status in found], pa.struct([("shown", pa.string()), ("status", pa.string())]))
+
+    return answers.withColumn("_g", guarded(F.col("answer"), F.col("source_count"))).withColumns({"shown": F.col("_g.shown"), "status": F.col("_g.status")}).drop("_g")

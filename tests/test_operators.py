@@ -55,14 +55,27 @@ def test_boost_and_penalty(spark):
 @pytest.mark.parametrize(
     "answer, sources, want",
     [
-        ("A [S1, S3-S5].", 5, ("A [S1][S3][S4][S5].", "valid")), ("A [S1；S2]", 2, ("A [S1][S2]", "valid")), ("none", 3, ("none", "missing")),
-        ("A [S9]", 3, ("A [S9]", "invalid")), ("A [S3-S1]", 3, ("A [S3-S1]", "invalid")), ("A [S1 and x]", 3, ("A [S1 and x]", "malformed")), ("A [S1", 3, ("A [S1", "malformed")),
+        ("A [S1, S3-S5].", 5, "A [S1][S3][S4][S5]."), ("A [S1;S2、S2]", 2, "A [S1][S2]"), ("none", 3, "none"), ("A [ s2 ]", 3, "A [S2]"), ("A [S1-3]", 3, "A [S1][S2][S3]"),
+        ("A [S9]", 3, None), ("A [S3-S1]", 3, None), ("A [S1 and x]", 3, None), ("A [S 1]", 3, None), ("A [S1；S2]", 2, None), ("A [S0]", 2, None),
+        ("A [S1-S100]", 200, "A " + "".join(f"[S{i}]" for i in range(1, 101))), ("A [S1-S101]", 200, None), ("A [S1-S60, S61-S120]", 200, None),
     ],
 )
 def test_citations(answer, sources, want):
     assert text.normalize_citations(answer, sources) == want
 
 
+def test_guarded_answers(spark):
+    rows = [
+        ("It holds [S1].", 2, "It holds [S1].", "passed"), ("It holds [S1, S2].", 2, "It holds [S1][S2].", "normalized_citations"), ("It holds [S1].", 0, None, "no_evidence"),
+        (" ", 2, None, "empty_answer"), (None, 2, None, "empty_answer"), ("It [S1 or so].", 2, None, "malformed_citation"), ("It holds [S3].", 2, None, "malformed_citation"),
+        ("The papers do not report it. [S1]", 2, None, "insufficient_evidence"), ("It holds [S1]. It does not mention more [S2].", 2, "It holds [S1]. It does not mention more [S2].", "passed"),
+        ("It holds [S1]. I cannot answer your question.", 2, None, "insufficient_evidence"), ("证据不足。", 2, None, "insufficient_evidence"), ("It holds.", 2, None, "invalid_or_missing_citation"),
+        ("It holds [S1] [S2", 2, None, "malformed_citation"), ("It holds", None, None, "no_evidence"),
+    ]
+    found = claims.guard_answers(spark.createDataFrame([(i, a, n) for i, (a, n, _, _) in enumerate(rows)], "id int, answer string, source_count int")).orderBy("id").collect()
+    assert [(r["shown"], r["status"]) for r in found] == [(shown or text.NO_EVIDENCE, status) for _, _, shown, status in rows]
+
+
 def test_cited_numbers(spark):
     assert one(spark, text.cited_numbers(F.lit("a [S2] b [S1, S2] c [x]"))) == [2, 1]
 
@@ -449,8 +462,14 @@ def test_gates(spark):
 
 
 def test_quotes(spark):
-    at = lambda q, s: one(spark, claims.align_quote(F.lit(q), F.lit(s)))
-    assert at("b  c", "a b\nc d") == 2 and at("a", "a a") == -1 and at("z", "a") == -1
+    def at(quote, source):
+        found = one(spark, claims.align_quote(F.lit(quote), F.lit(source)))
+        return found and tuple(found)
+
+    assert at("b  c", "a b\nc d") == (2, 5, "b\nc", False) and at("c", "a  b c") == (5, 6, "c", True) and at("a", "a a") is None and at("z", "a") is None
+    assert at("b ", "a b") is None and at("b ", "a b  c") == (2, 5, "b  ", False) and at(" ", "a b") is None and at("aa", "aaa") is None
+    assert at("x.*", "a 😀 x.* b") == (4, 7, "x.*", True) and at("\\\\E(", "q \\\\E(") == (2, 6, "\\\\E(", True) and at("q" * 1201, "q" * 1201) is None
+    assert at("a\nb", "xa  b a \tb.") is None and at(" a b", "c  a\n\nb") == (1, 7, "  a\n\nb", False)
 
 
 # streams
@@ -479,10 +498,39 @@ def test_sentence_units(spark):
     assert [body[a:b].strip() for a, b in spans][:6] == ["# Head. Line", "One, e.g. this.", "Two “it.”", "See http://a.b/c.d now!", "$x. y$ ends.", "| a. | b |"]
     assert "".join(body[a:b] for a, b in spans) == body
     rows = chunking.evidence_units(spark.createDataFrame([(1, body), (2, None), (3, "  ")], "id long, t string"), "id", "t", 50).collect()
-    assert {r["doc_id"] for r in rows} == {1} and all(r["text"] == body[r["start"] : r["stop"]] and len(r["text"]) <= 50 for r in rows)
+    assert {r["doc_id"] for r in rows} == {1} and all(r["text"] == body[r["start"] : r["stop"]] and len(r["text"]) <= 50 and r["refused"] is None for r in rows)
     assert "".join(r["text"] for r in sorted(rows, key=lambda r: (r["unit"], r["part"]))) == body and max(r["parts"] for r in rows) > 1
 
 
+def test_units_cut_nothing_that_must_stay_whole(spark):
+    formula, link = "$x = y + z$", "https://a.example/some/path.html"
+    body = f"We show that {formula} holds, see {link}. " + "word" * 30
+    for most in (16, 20, 40):
+        for a, b in chunking.unit_spans(body):
+            try:
+                cuts = {end for _, end in chunking.unit_parts(body, a, b, most)}
+            except ValueError as error:
+                assert (str(error) == "protected_span_too_long") == (most < len(link))
+                continue
+            for kept in (formula, link):
+                at = body.index(kept)
+                assert not any(at < c < at + len(kept) for c in cuts)
+    rows = chunking.evidence_units(spark.createDataFrame([(1, "a" * 2000), (2, "Yes. " * 1700), (3, "fine")], "id long, t string"), "id", "t", 100).collect()
+    said = {}
+    for r in rows:
+        said.setdefault(r["doc_id"], set()).add(r["refused"])
+    assert said == {1: {"too_many_unit_parts"}, 2: {"evidence_catalog_too_large"}, 3: {None}}
+
+
+def test_units_and_anchors_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    body = "See Fig. 2, e.g. this. Then $a$ holds! " * 25_000
+    assert len(chunking.unit_spans(body)) == 50_000 and len(chunking.anchors(body)) == 50_000
+    assert time.perf_counter() - began < 20
+
+
 def test_identifiers_and_language(spark):
     head = F.lit("Published 2021 (arXiv: 2106.09685v2), https://doi.org/10.1000/AB.c-1).")
     assert tuple(one(spark, text.identifiers(head))) == ("10.1000/AB.c-1", "2106.09685v2", 2021)
@@ -493,6 +541,8 @@ def test_identifiers_and_language(spark):
 def test_claim_units(spark):
     answer = "# Title\nThe findings:\nOne thing holds. [S1][S2] Another one! [S3]\nOk.\n中文结论。[S1]"
     assert claims.claim_units(answer) == ["One thing holds. [S1][S2]", "Another one! [S3]", "中文结论。 [S1]"]
+    more = "## Head\n1. **Part**:\nAs Fig. 2 of Lee et al. shows, it is so. But e.g. not here: it fails.\nShort lead:\nIn a sentence. Then this:\n"
+    assert claims.claim_units(more) == ["As Fig. 2 of Lee et al. shows, it is so.", "But e.g. not here: it fails.", "In a sentence.", "Then this:"]
     rows = claims.claims_of_answers(spark.createDataFrame([(1, answer), (2, None)], "answer_id long, answer string"))
     assert values(rows, "position", "citations") == [(0, [1, 2]), (1, [3]), (2, [1])]
     judged = spark.createDataFrame([([1], True), ([], True)], "citations array<int>, supported boolean")
