@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.functions.markup import html_blocks, html_blocks_sql
 from proofline.functions.text import cited_numbers, normal_name
 from proofline.operators import catalog, chunking, claims, context, metrics, papers, sampling, structure
 from proofline.sources.collections import read_table
@@ -220,12 +221,12 @@ SELECT conv_id, from_page, to_page, right(text, 150) || chr(10) || left(followin
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
+    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "(?i)<h1(?:\\s[^>]*)?>([^<]*)</h1>", 1).alias("heading"), F.regexp_count("html", F.lit("(?i)<p(?:\\s[^>]*)?>")).alias("paragraphs"))
 
 
 PAGE_TITLES = """
-SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading,
-       CAST(len(regexp_extract_all(html, '<p>')) AS INT) AS paragraphs FROM pages"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '(?i)<h1(?:\\s[^>]*)?>([^<]*)</h1>', 1) AS heading,
+       CAST(len(regexp_extract_all(html, '(?i)<p(?:\\s[^>]*)?>')) AS INT) AS paragraphs FROM pages"""
 
 
 def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,12 +255,9 @@ def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and paragraphs of each page as blocks of a paper."""
-    pages = read_table(spark, sf_dir, "pages")
-    tags = F.regexp_extract_all("html", F.lit("<(h1|p)>(?:<b>)?([^<]*)"), F.lit(1))
-    texts = F.regexp_extract_all("html", F.lit("<(h1|p)>(?:<b>)?([^<]*)"), F.lit(2))
-    blocks = pages.select(F.col("page_id").alias("paper_id"), F.posexplode(F.arrays_zip(tags.alias("tag"), texts.alias("text"))).alias("ord", "b"))
-    return blocks.select("paper_id", "ord", F.when(F.col("b.tag") == "h1", "heading").otherwise("paragraph").alias("type"), F.col("b.text").alias("text"))
+    """Headings and other blocks of each whole page as blocks of a paper."""
+    blocks = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("paper_id"), F.posexplode(html_blocks(F.col("html"))).alias("ord", "b"))
+    return blocks.select("paper_id", "ord", F.when(F.col("b.tag").rlike("^h[1-6]$"), "heading").otherwise("paragraph").alias("type"), F.col("b.text").alias("text"))
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,14 +265,25 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("paper_id", "ord", F.array_join("section_path", " > ").alias("section"))
 
 
-PAGE_SECTIONS = """
-WITH b AS (SELECT page_id, regexp_extract_all(html, '<(h1|p)>(?:<b>)?([^<]*)', 1) AS tags, regexp_extract_all(html, '<(h1|p)>(?:<b>)?([^<]*)', 2) AS texts FROM pages),
-u AS (SELECT page_id, unnest(tags) AS tag, unnest(texts) AS text, generate_subscripts(tags, 1) - 1 AS ord FROM b)
+PAGE_SECTIONS = f"""
+WITH b AS (SELECT page_id, {html_blocks_sql('html')} AS blocks FROM pages),
+u AS (SELECT page_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) - 1 AS ord FROM b)
 SELECT page_id AS paper_id, CAST(ord AS INT) AS ord,
-       coalesce(last_value(CASE WHEN tag = 'h1' AND trim(text) <> '' THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '') AS section
+       coalesce(last_value(CASE WHEN b.tag = 'h1' THEN b.text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '') AS section
 FROM u"""
 
 
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of each whole page."""
+    found = read_table(spark, sf_dir, "pages").select("page_id", F.posexplode(html_blocks(F.col("html"))).alias("ord", "b"))
+    return found.select("page_id", "ord", "b.tag", "b.text")
+
+
+PAGE_BLOCKS = f"""
+WITH b AS (SELECT page_id, {html_blocks_sql('html')} AS blocks FROM pages)
+SELECT page_id, CAST(generate_subscripts(blocks, 1) - 1 AS INT) AS ord, unnest(blocks).tag AS tag, unnest(blocks).text AS text FROM b"""
+
+
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure-aware chunks of the pages."""
     blocks = _page_blocks(spark, sf_dir)
@@ -403,6 +412,7 @@ QUERIES = {
     "sentence_anchors": (sentence_anchors, None),
     "sentence_units": (sentence_units, None),
     "page_sections": (page_sections, PAGE_SECTIONS),
+    "page_blocks": (page_blocks, PAGE_BLOCKS),
     "page_chunks": (page_chunks, None),
     "review_gate": (review_gate, REVIEW_GATE),
     "risk_cues": (risk_cues, RISK_CUES),
