@@ -66,3 +66,45 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], k: int) -
     from pyspark.sql import Window
 
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("position") <= k)
+
+
+def filenames(chunks: DataFrame, filename: str) -> DataFrame:
+    """The distinct names of files, in order; null and blank ones are left out."""
+    return chunks.where(F.trim(F.col(filename)) != "").select(F.col(filename).alias("filename")).distinct().orderBy("filename")
+
+
+def chunks_of(chunks: DataFrame, filename: str, name: str, k: int = 10) -> DataFrame:
+    """Up to ``k`` rows of one file."""
+    return chunks.where(F.col(filename) == name).limit(k)
+
+
+def searched(catalog: DataFrame, text: str, *columns: str) -> DataFrame:
+    """Rows of which some column has the text in it, whatever its case; all for a blank text."""
+    asked = text.strip().lower()
+    found = F.lit(not asked)
+    for column in columns:
+        found = found | F.coalesce(F.contains(F.lower(column), F.lit(asked)), F.lit(False))
+    return catalog.where(found)
+
+
+def upsert_names(names: DataFrame, changes: DataFrame) -> DataFrame:
+    """Display names (collection, display_name) after changes of them; of several for one collection the last by name."""
+    new = changes.groupBy("collection").agg(F.max("display_name").alias("display_name"))
+    return names.join(new.select("collection"), "collection", "left_anti").unionByName(new)
+
+
+def drop_collection(chunks: DataFrame, names: DataFrame, collection: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, display names) without one collection."""
+    return chunks.where(~F.col(collection).eqNullSafe(F.lit(name))), names.where(~F.col("collection").eqNullSafe(F.lit(name)))
+
+
+def totals(chunks: DataFrame, collection: str, filename: str) -> DataFrame:
+    """One row: collections, files and chunks of the whole store; a file in two collections counts in both."""
+    return chunks.groupBy(collection).agg(F.countDistinct(filename).alias("f"), F.count("*").alias("n")).agg(
+        F.count("*").alias("collections"), F.coalesce(F.sum("f"), F.lit(0)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks")
+    )
+
+
+def recent(rows: DataFrame, by: str, key: str, k: int = 50) -> DataFrame:
+    """The ``k`` latest rows; equal times go by key."""
+    return rows.orderBy(F.desc(by), key).limit(k)
