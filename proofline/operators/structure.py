@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +57,98 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed patterns: a section number within a heading, and an appendix by its word and letter.
+_NUMBER_WITHIN = re.compile(r"(?<!\S)(\d+(?:\.\d+)*)[.)]?\s+")
+_APPENDIX_LETTER, _APPENDIX_ROOTS = re.compile(r"^Appendix\s+([A-Z](?:\.\d+)*)[.):]?\s+\S", re.I), ("appendix", "appendices", "appendix overview")
+
+
+def merged_headings(text: str | None) -> list[str]:
+    """The headings that one line has run together: it is cut before each number that can follow the one before.
+
+    After 2.1 come 2.2 and 2.1.x. A line that doesn't begin with a number is one heading; an empty one is none.
+    """
+    line = (text or "").strip()
+    numbers = [(m.start(), tuple(map(int, m[1].split(".")))) for m in _NUMBER_WITHIN.finditer(line)]
+    if not numbers or numbers[0][0] > 0:
+        return [line] if line else []
+    cuts, last = [0], numbers[0][1]
+    for at, number in numbers[1:]:
+        if number[:-1] == last or number == (*last[:-1], last[-1] + 1):
+            cuts.append(at)
+            last = number
+    return [line[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(line)])]
+
+
+def split_headings(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (type, text) with a row for each heading that was run together, as ``part`` from 0; other blocks stay."""
+
+    @F.arrow_udf("array<string>")
+    def parts(column: pa.Array) -> pa.Array:
+        return pa.array([merged_headings(text.as_py()) for text in column], pa.list_(pa.string()))
+
+    names = [c for c in blocks.columns if c != "text"]
+    several = F.when(F.col("type") == "heading", parts(F.col("text"))).otherwise(F.array("text"))
+    return blocks.select(*names, F.posexplode_outer(several).alias("part", "text")).withColumn("part", F.coalesce("part", F.lit(0)))
+
+
+def title_blocks(blocks: DataFrame) -> DataFrame:
+    """(paper_id, ord) of each paper's title: its title block, else the first of several headings, unless that is
+    numbered or names a usual section. Papers without either have none."""
+    first = blocks.groupBy("paper_id").agg(
+        F.min(F.when(F.col("type") == "title", F.col("ord"))).alias("title"), F.count_if(F.col("type") == "heading").alias("headings"),
+        F.min(F.when(F.col("type") == "heading", F.struct("ord", F.trim("text").alias("text")))).alias("h"),
+    )
+    name = F.lower(F.trim(F.regexp_replace("h.text", "[.:]+$", "")))
+    usual = name.isin(*sorted(TOP_HEADINGS)) | F.col("h.text").rlike(_NUMBERED.pattern)
+    ord_ = F.coalesce("title", F.when((F.col("headings") >= 2) & ~usual, F.col("h.ord")))
+    return first.select("paper_id", ord_.alias("ord")).where("ord is not null")
+
+
+def special_sections(paths: DataFrame) -> DataFrame:
+    """``paths`` (section_path, ...) with section_kind: abstract or appendix by the innermost such section, else null."""
+    bare = lambda title: F.lower(F.trim(F.regexp_replace(title, "[.:]+$", "")))
+    kinds = F.transform(
+        "section_path",
+        lambda title: F.when(bare(title) == "abstract", "abstract")
+        .when(bare(title).isin(*_APPENDIX_ROOTS) | title.rlike(f"(?i){_APPENDIX_LETTER.pattern}") | title.rlike(_LETTERED.pattern), "appendix"),
+    )
+    return paths.withColumn("section_kind", F.get(F.reverse(F.array_compact(kinds)), F.lit(0)))
+
+
+def figure_claims(blocks: DataFrame) -> DataFrame:
+    """(paper_id, caption_ord, figure_ord): captions in order, each with the nearest figure of its page that no caption before has.
+
+    Figures that carry the caption's number themselves come first, of equally near ones the one before. A caption
+    that names no figure claims none. Which figure is left depends on the captions before, so each paper is folded
+    by itself; captions without a free figure are left out.
+    """
+    told = blocks.withColumn("number", label_number(F.col("text"), "figure")).where((F.col("type") == "figure") | ((F.col("type") == "caption") & F.col("number").isNotNull()))
+
+    def fold(paper: pd.DataFrame) -> pd.DataFrame:
+        paper = paper.sort_values("ord", kind="stable")
+        free = paper[paper["type"] == "figure"]
+        found = []
+        for caption in paper[paper["type"] == "caption"].itertuples():
+            here = free[free["page"] == caption.page]
+            named = here[here["number"] == caption.number]
+            pool = here if named.empty else named
+            if not pool.empty:
+                nearest = pool.assign(_away=(pool["ord"] - caption.ord).abs(), _after=pool["ord"] > caption.ord).sort_values(["_away", "_after"], kind="stable").iloc[0]
+                found.append((caption.paper_id, caption.ord, nearest["ord"]))
+                free = free[free["ord"] != nearest["ord"]]
+        return pd.DataFrame(found, columns=["paper_id", "caption_ord", "figure_ord"])
+
+    return told.groupBy("paper_id").applyInPandas(fold, "paper_id long, caption_ord int, figure_ord int")
+
+
 def heading_level(text: str, ancestors: list[tuple[int, str]]) -> int:
     """The level of a heading: by its number, its letter or its name, else one below the nearest known one."""
     title = text.strip()
     if title.lower().rstrip(":") in TOP_HEADINGS:
         return 1
-    number = _NUMBERED.match(title) or _LETTERED.match(title)
+    if title.lower().rstrip(".:").strip() in _APPENDIX_ROOTS:
+        return 1
+    number = _APPENDIX_LETTER.match(title) or _NUMBERED.match(title) or _LETTERED.match(title)
     if number:
         return number[1].count(".") + 1
     return ancestors[-1][0] + 1 if ancestors else 1

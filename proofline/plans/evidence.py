@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions import boxes
+from proofline.functions.markup import html_blocks_sql
 from proofline.functions.text import identifiers, normal_name, query_id, target_identity, token_budget, written_language
 from proofline.operators import claims, evidence, fusion, metrics, papers, structure, tables
 from proofline.sources.collections import read_table, upload_rows
@@ -397,6 +398,33 @@ j AS (SELECT c.o AS paper_id, c.n AS caption_ord, f.n AS target_ord, row_number(
       FROM kinds c JOIN kinds f USING (o, page) WHERE c.type = 'caption' AND f.type = 'figure')
 SELECT paper_id, caption_ord, target_ord FROM j WHERE i = 1"""
 
+def paper_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles of pages, by their blocks."""
+    from proofline.plans.corpus import _page_blocks
+
+    return structure.title_blocks(_page_blocks(spark, sf_dir).withColumn("text", F.when(F.col("paper_id") % 3 == 0, F.concat(F.lit("2. "), "text")).otherwise(F.col("text"))).withColumn("type", F.when(F.col("ord") % 4 == 1, "heading").otherwise(F.col("type"))))
+
+
+PAPER_TITLES = f"""
+WITH b AS (SELECT page_id, {html_blocks_sql('html')} AS blocks FROM pages),
+u AS (SELECT page_id, unnest(blocks) AS b, CAST(generate_subscripts(blocks, 1) - 1 AS INT) AS ord FROM b),
+h AS (SELECT page_id AS paper_id, min(ord) AS ord, count(*) AS n FROM u WHERE ord % 4 = 1 OR regexp_matches(b.tag, '^h[1-6]$') GROUP BY ALL)
+SELECT paper_id, ord FROM h WHERE n >= 2 AND paper_id % 3 <> 0"""
+
+
+def special_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sections under the abstract, an appendix or neither."""
+    events = read_table(spark, sf_dir, "events")
+    names = F.array(*map(F.lit, ("Abstract", "2 Method", "Appendix A. Data", "Appendix:", "B.1 More", "Results")))
+    outer, inner = names[(F.col("event_id") % 6).cast("int")], names[(F.col("user_id") % 6).cast("int")]
+    return structure.special_sections(events.select("event_id", F.array(outer, inner).alias("section_path"))).select("event_id", "section_kind")
+
+
+SPECIAL_SECTIONS = """
+WITH e AS (SELECT event_id, [NULL, 'abstract', NULL, 'appendix', 'appendix', 'appendix', NULL] AS kinds, event_id % 6 AS a, user_id % 6 AS b FROM events)
+SELECT event_id, coalesce(kinds[b + 2], kinds[a + 2]) AS section_kind FROM e"""
+
+
 #: Sections, types and heads by turns, and the questions of the sources, for the section rerank.
 _SECTIONS, _TYPES = ("2 Method", "4 Results", "References", "3.1 Model Architecture", "Appendix"), ("paragraph", "table", "method", "reference")
 _ASKED = ("Which method is used?", "What is the conclusion?", "Compare method and results", "Who wrote it?")
@@ -481,6 +509,8 @@ QUERIES = {
     "figure_mentions": (figure_mentions, FIGURE_MENTIONS),
     "formula_context": (formula_context, FORMULA_CONTEXT),
     "figure_captions": (figure_captions, FIGURE_CAPTIONS),
+    "paper_titles": (paper_titles, PAPER_TITLES),
+    "special_sections": (special_page_sections, SPECIAL_SECTIONS),
     "section_rerank": (section_rerank, SECTION_RERANK),
     "uploaded_chunks": (uploaded_chunks, UPLOADED_CHUNKS),
     "chunk_sizes": (chunk_sizes, CHUNK_SIZES),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofline.functions import display
-from proofline.operators import audits, catalog, requests
+from proofline.operators import audits, catalog, requests, structure
 
 
 def rows(df, *names):
@@ -64,3 +64,27 @@ def test_displays(spark):
 def test_order_invariants(spark):
     table = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 2, 2), (2, 1, 1, 1), (2, 1, 1, 2), (3, 1, 1, 1), (3, 1, 2, 3)], "paper_id long, page int, ord int, reading_index int")
     assert rows(audits.order_invariants(table), "paper_id", "kept", "counted") == [(1, True, True), (2, False, True), (3, True, False)]
+
+
+def test_merged_headings(spark):
+    cut = structure.merged_headings
+    assert cut("2 Method 2.1 Data 2.2 Model 3 End") == ["2 Method", "2.1 Data", "2.2 Model 3 End"] and cut("2 Method 3 End 4. Last") == ["2 Method", "3 End", "4. Last"]
+    assert cut("1 Of 3 kinds") == ["1 Of 3 kinds"] and cut("On 2 Things") == ["On 2 Things"] and cut(None) == cut(" ") == [] and cut("A 1 x 2 y") == ["A 1 x 2 y"]
+    blocks = spark.createDataFrame([(1, 1, "heading", "1 One 2 Two"), (1, 2, "paragraph", "1 One 2 Two"), (1, 3, "heading", None)], "paper_id long, ord int, type string, text string")
+    assert rows(structure.split_headings(blocks), "ord", "part", "text") == [(1, 0, "1 One"), (1, 1, "2 Two"), (2, 0, "1 One 2 Two"), (3, 0, None)]
+
+
+def test_titles_and_special_sections(spark):
+    given = [(1, "heading", "A Paper"), (1, "heading", "1 Intro"), (2, "heading", "Abstract"), (2, "heading", "x"), (3, "heading", "1 One"), (3, "heading", "x"), (4, "heading", "alone"), (5, "heading", "x"), (5, "title", "T"), (5, "heading", "y")]
+    blocks = spark.createDataFrame([(p, i, k, t) for i, (p, k, t) in enumerate(given)], "paper_id long, ord int, type string, text string")
+    assert rows(structure.title_blocks(blocks), "paper_id", "ord") == [(1, 0), (5, 8)]
+    paths = spark.createDataFrame([(1, ["Abstract"]), (2, ["2 Method"]), (3, ["Appendix", "A.1 More", "Details"]), (4, []), (5, None), (6, ["Appendix B: Rest"])], "ord int, section_path array<string>")
+    assert rows(structure.special_sections(paths), "ord", "section_kind") == [(1, "abstract"), (2, None), (3, "appendix"), (4, None), (5, None), (6, "appendix")]
+    assert [structure.heading_level(t, [(2, "x")]) for t in ("Appendix", "Appendix B.1 Rest", "A.1.2 More", "3.4 y", "z")] == [1, 2, 3, 2, 3]
+
+
+def test_figures_are_claimed_once(spark):
+    given = [(1, "figure", ""), (2, "caption", "Figure 1"), (3, "caption", "Fig. 2"), (4, "figure", ""), (6, "figure", "Figure 3"), (7, "figure", ""), (8, "caption", "Figure 3: x"), (9, "caption", "no label"), (10, "caption", "Figure 4"), (11, "caption", "Figure 5")]
+    blocks = spark.createDataFrame([(1, 1, *g) for g in given], "paper_id long, page int, ord int, type string, text string")
+    assert rows(structure.figure_claims(blocks), "caption_ord", "figure_ord") == [(10, 7), (2, 1), (3, 4), (8, 6)]
+    assert structure.figure_claims(blocks.limit(0)).count() == 0
