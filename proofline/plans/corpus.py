@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions.markup import html_blocks, html_blocks_sql
-from proofline.functions.text import cited_numbers, normal_name
+from proofline.functions.text import cited_numbers, normal_name, token_budget
 from proofline.operators import catalog, chunking, claims, context, metrics, papers, sampling, structure
 from proofline.sources.collections import read_table
 from proofline.streaming.ingest import event_windows, sessions
@@ -231,19 +231,27 @@ SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, rege
 
 def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document, packed into chunks of 600 to 900 tokens."""
-    docs = read_table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.lit("").alias("section"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
-    return chunking.pack_paragraphs(lines)
+    lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
+    items = F.transform(lines, lambda line: F.struct(F.lit("").alias("section"), line.alias("text"), token_budget(line).alias("n")))
+    return chunking.pack_documents(read_table(spark, sf_dir, "documents").select("doc_id", items.alias("items")))
+
+
+PACKED_LINES = r"""
+WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS all_lines FROM documents),
+u AS (SELECT doc_id, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS i FROM s),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, len(regexp_extract_all(line, '[\x{3400}-\x{9fff}]|[A-Za-z0-9_]+|[^\s]')) AS n FROM u WHERE trim(line) <> ''),
+f AS (SELECT doc_id, pos, CAST(1 AS BIGINT) AS chunk, n AS total FROM l WHERE pos = 1
+      UNION ALL SELECT l.doc_id, l.pos, chunk + CAST(total >= 600 OR total + n > 900 AS INT), CASE WHEN total >= 600 OR total + n > 900 THEN n ELSE total + n END
+      FROM f JOIN l ON l.doc_id = f.doc_id AND l.pos = f.pos + 1)
+SELECT doc_id, CAST(chunk AS INT) AS chunk_index, '' AS section, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS text, max(total) AS token_count FROM f JOIN l USING (doc_id, pos) GROUP BY doc_id, chunk"""
 
 
 def stitched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose every eight lines are a page, split and stitched."""
-    docs = read_table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    pages = lines.groupBy("doc_id", (F.floor(F.col("i") / 8) + 1).cast("int").alias("page")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text")
-    )
-    return chunking.chunk_pages(pages)
+    lines = F.split("text", "\n")
+    numbers = F.sequence(F.lit(1), F.ceil(F.size(lines) / 8).cast("int"))
+    pages = F.transform(numbers, lambda page: F.struct(page.alias("page"), F.array_join(F.slice(lines, (page - 1) * 8 + 1, F.lit(8)), "\n").alias("text")))
+    return chunking.chunk_documents(read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", pages.alias("pages")))
 
 
 def sentence_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +415,7 @@ QUERIES = {
     "reply_overlap": (reply_overlap, REPLY_OVERLAP),
     "page_bridges": (page_bridges, PAGE_BRIDGES),
     "page_titles": (page_titles, PAGE_TITLES),
-    "packed_lines": (packed_lines, None),
+    "packed_lines": (packed_lines, PACKED_LINES),
     "stitched_pages": (stitched_pages, None),
     "sentence_anchors": (sentence_anchors, None),
     "sentence_units": (sentence_units, None),
