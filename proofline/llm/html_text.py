@@ -6,6 +6,7 @@ import html
 import re
 from collections import defaultdict
 from math import sqrt
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ LEFT_OUT = frozenset(
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class, id or role that name what an article page carries beside the article.
+#: Words of a class, id or role that often name what an article page carries beside the article; a prior of a path's ratios.
 BESIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline captcha comment comments"
     " complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr header login masthead menu menubar modal nav navbar"
@@ -36,8 +37,17 @@ BESIDE = frozenset(
     " related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toc"
     " toolbar topbar widget widgets".split()
 )
-#: Elements that are never left out for their class or role, and those in which a header belongs to the article.
-NEVER_BESIDE, OF_ARTICLE = frozenset("html body article main".split()), frozenset("article main".split())
+#: Words that may stand before and after those in a name that means the same.
+_BEFORE = frozenset("site page main top bottom left right global primary secondary user".split())
+_AFTER = frozenset("area bar block body box container content count feed group holder inner item items left link links list panel right section slot thread unit wrap wrapper".split())
+#: First and last words of a name that tells how a page is laid out, and not what the element is.
+_LAYOUT_FIRST, _LAYOUT_LAST = frozenset("has have with without no not hide is".split()), frozenset("free none off hidden disabled open".split())
+#: A path with such a name counts this much of its ratio.
+PRIOR = 1 / 8
+#: Elements in which a header belongs to the article.
+OF_ARTICLE = frozenset("article main".split())
+#: Without such an element the text is the innermost element with this share of the page's ratios.
+MOST_OF_PAGE = 0.9
 #: An element of the key is ended by the start of one of the value, unless one of the last lies between.
 _ENDED_BY = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
@@ -51,215 +61,262 @@ _ENDED_BY = {
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)>?", re.S)
 _attribute = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_heading = re.compile(r"h[1-6](?:\.|$)")
+_heading = re.compile(r"h[1-6]$")
 _name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: First and last words of a class that tells how a page is laid out, and not what the element is.
-_LAYOUT_FIRST, _LAYOUT_LAST = frozenset("has have with without no not hide is".split()), frozenset("free none off hidden disabled".split())
+#: Elements that may hold a whole article.
+_CONTAINERS = frozenset("html body div section center td blockquote".split())
 #: Elements of lists, tables and captions, which stay with the text around them.
 _PARTS = frozenset("li dt dd td th caption figcaption pre blockquote summary".split())
 
 
-def _left_out(tag: str, inside_article: bool) -> bool:
-    return tag in LEFT_OUT or (tag == "header" and not inside_article)
-
-
-def _named_beside(tag: str, attributes: str) -> bool:
-    """If a class, id or role has a word of BESIDE and doesn't only tell the layout."""
-    if tag in NEVER_BESIDE or not attributes:
-        return False
+def _named_beside(attributes: str) -> bool:
+    """If a class, id or role is named by words of BESIDE, with nothing but words that don't change the meaning."""
     for value in " ".join(a or b or c for _, a, b, c in _attribute.findall(attributes)).split():
         named = [word.lower() for word in _name_words.findall(value)]
-        if any(word in BESIDE for word in named) and not (named[0] in _LAYOUT_FIRST or named[-1] in _LAYOUT_LAST):
-            return True
+        at = [i for i, word in enumerate(named) if word in BESIDE]
+        if at and _BEFORE.issuperset(named[: at[0]]) and all(word in BESIDE or word in _AFTER for word in named[at[0] :]):
+            if named[0] not in _LAYOUT_FIRST and named[-1] not in _LAYOUT_LAST:
+                return True
     return False
 
 
-def _label(tag: str, attributes: str) -> str:
-    named = next((a or b or c for name, a, b, c in _attribute.findall(attributes) if name.lower() == "class"), "") if attributes else ""
-    return f"{tag}.{named}" if named else tag
+class Block(NamedTuple):
+    """A block of text: its tag path, its innermost element, and how many of its characters are in links."""
 
+    path: int
+    element: int
+    text: str
+    linked: int
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block outside what is left out, in page order.
 
-    The path has the block elements from the root down, with their classes. Tags may be unclosed: a paragraph
-    ends where a block begins, an item where the next begins, and an end tag ends what is open within.
+class Page:
+    """The blocks of a page outside what is left out, in page order, with their tag paths and elements.
 
-    An element that is named as beside the article is left out unless it is around the article: it holds the
-    largest article (or main) of the page, or, within an article, an h1; in a page without these, nine tenths of
-    the text.
+    Paths are nodes of a trie (block elements from the root down, with their classes) and elements a tree, both by
+    number in the order of their first tags, so a parent comes before its children; number 0 is the page itself.
+    Tags may be unclosed: a paragraph ends where a block begins, an item where the next begins, and an end tag
+    ends what is open within.
     """
-    found: list[tuple[tuple[str, ...], str, int, tuple[int, ...], tuple[int, ...]]] = []
-    open_: list[tuple[str, str, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, label, left out, named beside, articles
-    articles: list[tuple[str, tuple[int, ...]]] = []  # tag, named beside around it
-    around: set[int] = set()
-    n_named = 0
-    parts: list[str] = []
-    linked = in_link = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
+
+    def __init__(self, markup: str) -> None:
+        self.blocks: list[Block] = []
+        self.above, self.named = [-1], [False]  # of each path: its parent, and if its last element is named as beside
+        self.parent, self.tag, self.path_of, self.last = [-1], [""], [0], [0]  # of each element; last is its last descendant
+        self._paths: dict[tuple[int, str], int] = {}
+        self._open, self._of_tag, self._hidden, self._articles = [0], defaultdict(int), [], 0
+        self._parts: list[str] = []
+        self._linked = 0
+        self._read(markup)
+        self._flush()
+        self._end(1)
+        self.last[0] = len(self.parent) - 1
+
+    def _flush(self) -> None:
+        if self._parts:
+            text = " ".join("".join(self._parts).split())
             if text:
-                found.append((tuple(o[1] for o in open_), text, linked, *(open_[-1][3:] if open_ else ((), ()))))
-            parts.clear()
-        linked = 0
-
-    def close(tag: str, barrier: frozenset[str] = frozenset()) -> None:
-        for i in range(len(open_) - 1, -1, -1):
-            if open_[i][0] == tag:
-                flush()
-                del open_[i:]
-                return
-            if open_[i][0] in barrier:
-                return
-
-    at, size = 0, len(page)
-    while at < size:
-        match = _token.search(page, at)
-        stop = match.start() if match else size
-        if stop > at and not (open_ and open_[-1][2]):
-            text = html.unescape(page[at:stop])
-            parts.append(text)
-            if in_link:
-                linked += len(text)
-        if not match:
-            break
-        at = match.end()
-        tag = (match[2] or "").lower()
-        if not tag:
-            continue
-        if match[1]:
-            if tag == "a":
-                in_link = 0
-            elif tag in BLOCKS or tag in LEFT_OUT:
-                close(tag)
-            elif tag == "br":
-                parts.append(" ")
-            continue
-        attributes = match[3]
-        if tag == "a":
-            in_link = 1
-        elif tag == "br":
-            parts.append("\n")
-        if tag in VOID and tag != "hr":
-            continue
-        inside_article = any(o[0] in OF_ARTICLE for o in open_)
+                element = next(e for e in reversed(self._open) if e == 0 or self.tag[e] in BLOCKS)
+                self.blocks.append(Block(self.path_of[element], element, text, self._linked))
+            self._parts.clear()
+        self._linked = 0
+
+    def _begin(self, tag: str, attributes: str, left_out: bool) -> None:
+        values = {name.lower(): a or b or c for name, a, b, c in _attribute.findall(attributes)} if attributes else {}
+        beside = bool(values) and tag not in ("html", "body", *OF_ARTICLE) and _named_beside(attributes)
+        step = (self.path_of[self._open[-1]], f"{tag}.{values.get('class', '')}{'#' * beside}")
+        path = self._paths.get(step)
+        if path is None:
+            path = self._paths[step] = len(self.above)
+            self.above.append(step[0])
+            self.named.append(beside)
+        element = len(self.parent)
+        self.parent.append(self._open[-1])
+        self.tag.append(tag)
+        self.path_of.append(path)
+        self.last.append(element)
+        self._open.append(element)
+        self._of_tag[tag] += 1
+        self._articles += tag in OF_ARTICLE
+        if left_out:
+            self._hidden.append(element)
+
+    def _end(self, depth: int) -> None:
+        """End the open elements from this depth on."""
+        if any(self.tag[element] in BLOCKS for element in self._open[depth:]):
+            self._flush()
+        newest = len(self.parent) - 1
+        for element in self._open[depth:]:
+            self.last[element] = newest
+            self._of_tag[self.tag[element]] -= 1
+            self._articles -= self.tag[element] in OF_ARTICLE
+        while self._hidden and depth < len(self._open) and self._hidden[-1] >= self._open[depth]:
+            self._hidden.pop()
+        del self._open[depth:]
+
+    def _close(self, tag: str, barrier: frozenset[str] = frozenset()) -> None:
+        if self._of_tag[tag]:
+            for depth in range(len(self._open) - 1, 0, -1):
+                found = self.tag[self._open[depth]]
+                if found == tag:
+                    return self._end(depth)
+                if found in barrier:
+                    return None
+        return None
+
+    def _read(self, markup: str) -> None:
+        at, size, in_link = 0, len(markup), False
+        while at < size:
+            match = _token.search(markup, at)
+            stop = match.start() if match else size
+            if stop > at and not self._hidden:
+                text = html.unescape(markup[at:stop])
+                self._parts.append(text)
+                self._linked += len(text) * in_link
+            if not match:
+                break
+            at = match.end()
+            tag = (match[2] or "").lower()
+            if match[1]:
+                if tag in BLOCKS or tag in LEFT_OUT:
+                    self._close(tag)
+                in_link = in_link and tag != "a"
+            elif tag:
+                in_link = in_link or tag == "a"
+                self._start(tag, match[3])
+            if tag == "br":
+                self._parts.append(" ")
+            if tag in RAW and not match[1] and not match[3].endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(markup, at)
+                if tag in LEFT_OUT:
+                    self._close(tag)
+                at = end.end() if end else size
+
+    def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
-            flush()
-            close("p", frozenset(["table", "td", "th", "button"]))
+            self._flush()
+            self._close("p", frozenset(["table", "td", "th", "button"]))
             for inner, (starts, barrier) in _ENDED_BY.items():
                 if tag in starts:
-                    close(inner, barrier)
-            left_out = bool(open_ and open_[-1][2]) or _left_out(tag, inside_article)
-            named, within = open_[-1][3:] if open_ else ((), ())
-            if _named_beside(tag, attributes):
-                named, n_named = (*named, n_named), n_named + 1
-            if tag in OF_ARTICLE and not left_out:
-                within = (*within, len(articles))
-                articles.append((tag, named))
-            elif tag == "h1" and within:
-                around.update(set(named[:-1] if _named_beside(tag, attributes) else named) - set(articles[within[-1]][1]))
+                    self._close(inner, barrier)
             if tag != "hr":
-                open_.append((tag, _label(tag, attributes), left_out, named, within))
-        elif tag in LEFT_OUT:
-            open_.append((tag, tag, True, *(open_[-1][3:] if open_ else ((), ()))))
-        if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            if tag in BLOCKS or tag in LEFT_OUT:
-                close(tag)
-            at = end.end() if end else size
-    flush()
-    if n_named:
-        total, of_named, of_article = 0, defaultdict(int), defaultdict(int)
-        for _, text, _, named, within in found:
-            total += len(text)
-            for i in named:
-                of_named[i] += len(text)
-            for i in within:
-                of_article[i] += len(text)
-        largest = max(of_article, key=lambda i: (articles[i][0] == "article", of_article[i]), default=None)
-        around.update(articles[largest][1] if largest is not None else [i for i, n in of_named.items() if 10 * n >= 9 * total])
-    return [block[:3] for block in found if around.issuperset(block[3])]
-
-
-def selected(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:
-    """The paths whose smoothed and fused ratios reach the threshold.
-
-    A path's text ratio is its characters outside links for each block, its punctuation ratio the marks for
-    each block. Both are smoothed over the page's paths, weighted by the share of their elements from the root
-    that two paths have in common, squared, so that a heading or short item beside paragraphs is lifted and a
-    lone block elsewhere isn't. The fused ratio is text x (1 + punctuation); the threshold is the standard
-    deviation of all fused ratios, at most their mean.
+                self._begin(tag, attributes, tag in LEFT_OUT or (tag == "header" and not self._articles))
+        elif tag in LEFT_OUT and tag not in VOID:
+            self._begin(tag, "", True)
+
+    def within(self, element: int, outer: int) -> bool:
+        return outer <= element <= self.last[outer]
+
+
+def _smoothed(page: Page, sums: list[float], counts: list[int]) -> list[float]:
+    """A ratio of each path, smoothed along the trie: its own mean, then those of all below it and below each of its
+    ancestors, each with half the weight of the one before. Linear in the number of paths."""
+    below, n = list(sums), list(counts)
+    for path in range(len(sums) - 1, 0, -1):
+        below[page.above[path]] += below[path]
+        n[page.above[path]] += n[path]
+    found, around, weight = [0.0] * len(sums), [0.0] * len(sums), [0.0] * len(sums)
+    for path in range(len(sums)):
+        mean = below[path] / max(1, n[path])
+        above = page.above[path]
+        around[path] = mean + (around[above] / 2 if path else 0.0)
+        weight[path] = 1 + (weight[above] / 2 if path else 0.0)
+        found[path] = (sums[path] / max(1, counts[path]) + around[path] / 2) / (1 + weight[path] / 2)
+    return found
+
+
+def ratios(page: Page) -> tuple[list[float], float]:
+    """The fused ratio of each path, and the threshold of the page.
+
+    A path's text ratio is its characters outside links for each block, its punctuation ratio the marks for each
+    block. Both are smoothed over the tree of paths and fused as text x (1 + punctuation), times PRIOR for each
+    element on the path that is named as beside the article. The threshold is the standard deviation of the
+    fused ratios of all paths with text, at most their mean.
     """
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, linked in found:
-        length[path] += max(0, len(text) - linked)
-        marks[path] += len(_PUNCTUATION.findall(text))
-        count[path] += 1
-    paths = list(count)
-    text_ratio = [length[p] / count[p] for p in paths]
-    mark_ratio = [marks[p] / count[p] for p in paths]
-    fused = []
-    for p in paths:
-        weights = []
-        for q in paths:
-            common = 0
-            for a, b in zip(p, q):
-                if a != b:
-                    break
-                common += 1
-            weights.append((common / max(len(p), len(q), 1)) ** 2 if p != q else 1.0)
-        total = sum(weights)
-        smooth = lambda ratio: sum(w * r for w, r in zip(weights, ratio)) / total  # noqa: B023, E731
-        fused.append(smooth(text_ratio) * (1 + smooth(mark_ratio)))
-    mean = sum(fused) / max(1, len(fused))
-    threshold = min(sqrt(sum((v - mean) ** 2 for v in fused) / max(1, len(fused))), mean)
-    return {p for p, v in zip(paths, fused) if v >= threshold}
-
-
-def _within_content(found: list[tuple[tuple[str, ...], str, int]], chosen: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """The paths that belong to the selected text although they are below the threshold.
-
-    All within the article (or main) of selected text; without one, within the element around most of it: all if
-    they are not mostly links, and of the body itself only lists, tables and captions.
+    n = len(page.above)
+    length, marks, count = [0.0] * n, [0.0] * n, [0] * n
+    for block in page.blocks:
+        length[block.path] += max(0, len(block.text) - block.linked)
+        marks[block.path] += len(_PUNCTUATION.findall(block.text))
+        count[block.path] += 1
+    prior = [1.0] * n
+    for path in range(1, n):
+        prior[path] = prior[page.above[path]] * (PRIOR if page.named[path] else 1.0)
+    fused = [text * (1 + mark) * p for text, mark, p in zip(_smoothed(page, length, count), _smoothed(page, marks, count), prior)]
+    present = [v for v, c in zip(fused, count) if c]
+    mean = sum(present) / max(1, len(present))
+    return fused, min(sqrt(sum((v - mean) ** 2 for v in present) / max(1, len(present))), mean)
+
+
+def content_root(page: Page, fused: list[float]) -> int:
+    """The element of the article: by the fused ratios of its blocks, which elements add up from the inside out.
+
+    It is the largest ``article``, unless a ``main`` has over twice as much; in a page without these the innermost
+    element that has MOST_OF_PAGE of all.
     """
-    tags = lambda path: [label.split(".", 1)[0] for label in path]
-    length, linked, around = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, n in found:
-        length[path] += len(text)
-        linked[path] += n
-        if path in chosen:
-            named = tags(path)
-            at = next((named.index(t) for t in ("article", "main") if t in named), None)
-            around[path[: at + 1] if at is not None else path[:-1], at is not None] += len(text)
-    articles = [root for root, is_article in around if is_article]
-    if articles:
-        return {p for p in length if any(p[: len(root)] == root for root in articles)}
-    root = max(around, key=around.get)[0] if around else ()
-    inner = {p for p in length if p[: len(root)] == root and 2 * linked[p] <= length[p]}
-    return inner if set(tags(root)) - {"html", "body"} else {p for p in inner if _PARTS & set(tags(p))}
-
-
-def main_text(page: str | None) -> str:
-    """The article of a whole page: the blocks of the selected paths in page order, joined by line feeds.
-
-    A heading also stays if the text that it stands above, beside it or one element further out, is selected.
-    Empty for null, an empty page, or one with nothing but what is left out.
+    mass = [0.0] * len(page.parent)
+    for block in page.blocks:
+        mass[block.element] += fused[block.path]
+    for element in range(len(mass) - 1, 0, -1):
+        mass[page.parent[element]] += mass[element]
+    largest = {}
+    for element, tag in enumerate(page.tag):
+        if tag in OF_ARTICLE and (tag not in largest or mass[element] > mass[largest[tag]]):
+            largest[tag] = element
+    if largest:
+        article, main = largest.get("article"), largest.get("main")
+        return article if main is None or (article is not None and 2 * mass[article] >= mass[main]) else main
+    root = 0
+    for element in range(1, len(mass)):
+        if page.tag[element] in _CONTAINERS and page.within(element, root) and mass[element] >= MOST_OF_PAGE * mass[0] > 0:
+            root = element
+    return root
+
+
+def main_text(markup: str | None) -> str:
+    """The article of a whole page: the kept blocks in page order, joined by line feeds.
+
+    Kept is what lies in the content root, but for paths that are named as beside the article and whose ratio is
+    below the threshold; outside an ``article`` or ``main`` also but for paths of links. If the page itself or its
+    body is the root, a path must reach the threshold or be part of a list, a table or a caption. A heading also
+    stays if the text that it stands above, beside it or one element further out, is kept. Empty for null, an
+    empty page, or one with nothing but what is left out. Linear in the length of the page and its number of paths.
     """
-    found = blocks(page or "")
-    paths = selected(found)
-    paths |= _within_content(found, paths)
-    kept, following = [], None  # the last block behind that is no heading
-    for path, text, _ in reversed(found):
-        if path and _heading.match(path[-1]):
-            around = len(path) - 2
-            taken = path in paths or (following in paths and following[:around] == path[:around])
+    page = Page(markup or "")
+    fused, threshold = ratios(page)
+    root = content_root(page, fused)
+    is_article, is_page = page.tag[root] in OF_ARTICLE, page.tag[root] in ("", "html", "body")
+    n = len(page.above)
+    length, linked = [0] * n, [0] * n
+    for block in page.blocks:
+        length[block.path] += len(block.text)
+        linked[block.path] += block.linked
+    beside, part, top = [False] * n, [False] * n, page.path_of[root]
+    for path in range(1, n):  # what lies between the root and a path
+        beside[path] = path != top and (page.named[path] or beside[page.above[path]])
+    for element in range(1, len(page.tag)):
+        path = page.path_of[element]
+        part[path] = page.tag[element] in _PARTS or part[page.above[path]]
+
+    def stays(block: Block) -> bool:
+        path = block.path
+        if not page.within(block.element, root):
+            return False
+        if fused[path] >= threshold:
+            return True
+        if beside[path] or (not is_article and 2 * linked[path] > length[path]):
+            return False
+        return part[path] or not is_page
+
+    kept, following, taken_before = [], 0, False  # the element of the last block behind that is no heading, and if it stays
+    for block in reversed(page.blocks):
+        taken = stays(block)
+        if _heading.match(page.tag[block.element]):
+            outer = page.parent[page.parent[block.element]] if page.parent[block.element] > 0 else 0
+            taken = taken or (taken_before and page.within(following, outer))
         else:
-            following, taken = path, path in paths
+            following, taken_before = block.element, taken
         if taken:
-            kept.append(text)
+            kept.append(block.text)
     return "\n".join(reversed(kept))
 
 
