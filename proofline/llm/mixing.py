@@ -11,8 +11,8 @@ from proofline.llm.common import WORD, cut
 
 #: (time from 0 to 1, weight) knots, joined by straight lines; times ascend from 0 to 1.
 Schedule = Sequence[tuple[float, float]]
-#: Weights of the sources by turns: constant, 1, 2 and 3.
-CONSTANT: tuple[Schedule, ...] = tuple(((0.0, w), (1.0, w)) for w in (1.0, 2.0, 3.0))
+#: Weights of the sources by turns over the training: one fades, one peaks half way, one grows; their areas are 1, 2 and 3.
+CURRICULUM: tuple[Schedule, ...] = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (0.5, 3.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 5.0)))
 #: No source gives more than so many times its size.
 MOST = 3
 
@@ -54,7 +54,7 @@ def _by_turns(values: Sequence[Column], rank: Column) -> Column:
     return found
 
 
-def source_targets(sized: DataFrame, schedules: Sequence[Schedule] = CONSTANT, most: int = MOST) -> DataFrame:
+def source_targets(sized: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, most: int = MOST) -> DataFrame:
     """_absent, _source, source_size, _rank and target of each source of ``sized`` (KEY and _size).
 
     Sources are ranked by code point, null last, and take the schedules by turns. The total size is shared by
@@ -90,7 +90,7 @@ def source_targets(sized: DataFrame, schedules: Sequence[Schedule] = CONSTANT, m
 
 def mix(
     docs: DataFrame,
-    schedules: Sequence[Schedule] = CONSTANT,
+    schedules: Sequence[Schedule] = CURRICULUM,
     most: int = MOST,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -99,27 +99,27 @@ def mix(
     """``docs`` with size, source_size, target, taken, position and positions.
 
     ``size`` counts the words of the whole text (null: 0). Each source passes its documents in an order drawn
-    by md5 of doc_id, again from the first after the last, until the words taken reach its target to the nearest
-    word; ``taken`` is what the mix takes of the document, repeats counted, at most ``most`` times its size. The
-    last one may be taken in part. ``position`` (0 to 1, null if nothing is taken) is the time of training at
+    by md5 of doc_id and text, again from the first after the last, until the words taken reach its target to the
+    nearest word; ``taken`` is what the mix takes of the document, repeats counted, at most ``most`` times its size.
+    The last one may be taken in part. ``position`` (0 to 1, null if nothing is taken) is the time of training at
     which the document first comes: the time by which its source's schedule has asked for the words before it.
     ``positions`` has those of all its whole copies; a part of half the document or more counts as a whole one.
 
     A source's running sums are taken within slices of md5, which hold a 4096th of it each, and then over the
-    slices, so that a source with most of the rows is spread. A null source is a source; null and repeated
-    doc_id are kept, and rows equal in doc_id and size are interchangeable. An empty table gives no rows. Of
-    ``docs`` columns with the names of added ones are replaced; the others stay.
+    slices, so that a source with most of the rows is spread, and rows that share a doc_id, or have none, are too.
+    A null source is a source; null and repeated doc_id are kept, and rows equal in doc_id and text are
+    interchangeable. An empty table gives no rows. Of ``docs`` columns with the names of added ones are replaced;
+    all others stay, whatever their names: while the sums are taken they are fields of one column.
     """
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.withColumns(
-        {
-            "_absent": F.col(source).isNull(),
-            "_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
-            "_size": words(F.col(text)),
-            "_digest": digest,
-            "_slice": F.substring(digest, 1, 3),
-        }
-    )
+    added = ["size", "source_size", "target", "taken", "position", "positions"]
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(source).isNull().alias("_absent"),
+        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
+        words(F.col(text)).alias("_size"),
+        digest.alias("_digest"),
+    ).withColumn("_slice", F.substring("_digest", 1, 3))
     slices = cut(keyed.groupBy(*KEY, "_slice").agg(F.sum("_size").alias("_size")))
     targets = source_targets(slices, schedules, most)
     before_slice = Window.partitionBy(*KEY).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,56 +129,65 @@ def mix(
         .join(targets, KEY)
         .withColumn("_due", F.floor(F.col("target") + 0.5))
     )
-    before = Window.partitionBy(*KEY, "_slice").orderBy("_digest", doc_id, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_inside", F.coalesce(F.sum("_size").over(before), F.lit(0))).join(
-        starts.withColumnsRenamed({c: f"_{c}" for c in ("source_size", "target")}), [*KEY, "_slice"]
-    )
-    size, full = F.col("_size"), F.greatest(F.col("_source_size"), F.lit(1))
+    before = Window.partitionBy(*KEY, "_slice").orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("_inside", F.coalesce(F.sum("_size").over(before), F.lit(0))).join(starts, [*KEY, "_slice"])
+    size, full = F.col("_size"), F.greatest(F.col("source_size"), F.lit(1))
     start = F.col("_start") + F.col("_inside")
     passes = F.floor(F.col("_due") / full)
     rest = F.least(F.greatest(F.col("_due") - passes * full - start, F.lit(0)), size)
     taken = (passes * size + rest).cast("long")
 
     def time(nth: Column) -> Column:
-        share = F.least((nth * full + start) / F.nullif(F.col("_target"), F.lit(0.0)), F.lit(1.0))
+        share = F.least((nth * full + start) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0))
         return _by_turns([_time_of(share, s) for s in schedules], F.col("_rank"))
 
     copies = F.when(size > 0, passes + F.when(2 * rest >= size, 1).otherwise(0)).otherwise(0).cast("int")
     positions = F.when(copies > 0, F.transform(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1), time)).otherwise(F.array().cast("array<double>"))
-    return placed.withColumns(
-        {
-            "size": size,
-            "source_size": F.col("_source_size"),
-            "target": F.col("_target"),
-            "taken": taken,
-            "position": F.when(taken > 0, time(F.lit(0))),
-            "positions": positions,
-        }
-    ).drop(*KEY, "_size", "_digest", "_slice", "_start", "_inside", "_source_size", "_target", "_due", "_rank")
+    new = placed.select(
+        "_row",
+        F.struct(
+            size.alias("size"), "source_size", "target", taken.alias("taken"), F.when(taken > 0, time(F.lit(0))).alias("position"), positions.alias("positions")
+        ).alias("_new"),
+    )
+    return new.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in added], "_new.*")
 
 
 def in_training_order(
-    docs: DataFrame, schedules: Sequence[Schedule] = CONSTANT, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
     """The copies of ``docs`` that the mix takes, range-sorted by their positions; the columns are those of ``docs``.
 
     Whole documents only: one that is taken in part comes once more if the part is at least half of it. What has
     no words, or isn't taken, is left out. Ties go by doc_id and a hash of the text; a text itself is no sort key, as
-    Spark samples the keys to find the ranges.
+    Spark samples the keys to find the ranges. Null and repeated doc_id and a null source are kept as in ``mix``.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), doc_id, text, source)
-    placed = mix(whole, schedules, most, doc_id, text, source).select("_row", F.explode("positions").alias("_position"))
-    return placed.orderBy("_position", f"_row.{doc_id}", F.xxhash64(f"_row.{text}")).select("_row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(row.alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_of"))
+    placed = mix(whole, schedules, most, "_id", "_text", "_of").select("_row", F.explode("positions").alias("_position"))
+    return placed.orderBy("_position", F.col(f"_row.`{doc_id}`"), F.xxhash64(F.col(f"_row.`{text}`"))).select("_row.*")
+
+
+def _time_sql(share: str, schedule: Schedule) -> str:
+    """``_time_of`` in SQL."""
+    area, before, found = f"({share} * {integral(schedule)!r})", 0.0, ""
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+        rest, slope = f"greatest({area} - {before!r}, 0.0::DOUBLE)", (w1 - w0) / (t1 - t0)
+        root = f"sqrt(greatest({w0 * w0!r}::DOUBLE + {2 * slope!r}::DOUBLE * {rest}, 0.0::DOUBLE))"
+        time = f"({t0!r}::DOUBLE + coalesce(2 * {rest} / nullif({w0!r}::DOUBLE + {root}, 0), 0.0::DOUBLE))"
+        found = f"CASE WHEN {area} >= {before!r} THEN {time} ELSE {found} END" if found else time
+        before += (t1 - t0) * (w0 + w1) / 2
+    return found
 
 
 #: DuckDB SQL for ``mix`` with the default schedules.
-ORACLE = """
+_SHARE = "least(CAST(start AS DOUBLE) / target, 1.0::DOUBLE)"
+ORACLE = f"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS absent, coalesce(source, '') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source IS NULL AS absent, coalesce(source, '') AS src, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))) AS digest,
+         CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT absent, src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
-r AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY absent, src) - 1) % 3 AS DOUBLE) AS weight FROM s),
+r AS (SELECT *, CAST(1 + turn AS DOUBLE) AS weight FROM (SELECT *, (row_number() OVER (ORDER BY absent, src) - 1) % 3 AS turn FROM s)),
 c AS (
   SELECT *, 3 * source_size / weight AS ratio,
          sum(source_size) OVER () AS total,
@@ -187,11 +196,11 @@ c AS (
   FROM r WINDOW o AS (ORDER BY 3 * source_size / weight, absent, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT CAST(total - held AS DOUBLE) / free AS level FROM c WHERE ratio >= CAST(total - held AS DOUBLE) / free
       ORDER BY ratio, absent, src LIMIT 1),
-t AS (SELECT absent, src, source_size, weight, CASE WHEN 3 * source_size < level * weight THEN CAST(3 * source_size AS DOUBLE)
+t AS (SELECT absent, src, source_size, weight, turn, CASE WHEN 3 * source_size < level * weight THEN CAST(3 * source_size AS DOUBLE)
              ELSE level * weight END AS target FROM r, l),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.weight, CAST(floor(t.target + 0.5) AS BIGINT) AS due,
-         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.absent, d.src ORDER BY d.digest, d.doc_id, d.size
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.weight, t.turn, CAST(floor(t.target + 0.5) AS BIGINT) AS due,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.absent, d.src ORDER BY d.digest
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM d JOIN t USING (absent, src)),
 k AS (
@@ -199,6 +208,7 @@ k AS (
                  + least(greatest(due - due // greatest(source_size, 1) * greatest(source_size, 1) - start, 0), size) AS BIGINT) AS taken
   FROM p)
 SELECT doc_id, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN 2 * (least(start / target, 1.0) * weight) / (weight + weight) END AS position
+       CASE WHEN taken = 0 THEN NULL WHEN turn = 0 THEN {_time_sql(_SHARE, CURRICULUM[0])}
+            WHEN turn = 1 THEN {_time_sql(_SHARE, CURRICULUM[1])} ELSE {_time_sql(_SHARE, CURRICULUM[2])} END AS position
 FROM k
 """
