@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute
 import tiktoken
@@ -21,17 +23,21 @@ CHUNK = 1 << 16
 #: A run of white space from this length on is one match that is encoded without the pattern.
 LONG_RUN = 1 << 12
 
+#: The pattern of which all of a text is one match.
+AS_ONE = r"[\s\S]+"
+
 _run = re.compile(r"\s+")
-_loaded: dict[tuple[int, str], tiktoken.Encoding] = {}
-_tables: dict[int, np.ndarray] = {}
+_loaded: dict[tuple[bytes, str], tiktoken.Encoding] = {}
+_tables: dict[bytes, np.ndarray] = {}
 
 
 def encoding(rank_file: bytes, pattern: str) -> tiktoken.Encoding:
-    """The tokenizer of a rank file; built once in each Python worker."""
-    key = (hash(rank_file), pattern)
+    """The tokenizer of a rank file and a pattern; built once in each Python worker, which keeps those of one file."""
+    key = (hashlib.sha256(rank_file).digest(), pattern)
     if key not in _loaded:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, rank_file.splitlines())}
-        _loaded.clear()
+        for other in [k for k in _loaded if k[0] != key[0]]:
+            del _loaded[other]
         _loaded[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _loaded[key]
 
@@ -60,7 +66,7 @@ def safe_chunks(text: str, size: int = CHUNK) -> Iterator[tuple[str, bool]]:
 
 def token_bytes(rank_file: bytes) -> np.ndarray:
     """The bytes of each id, None where there is none; built once in each Python worker."""
-    key = hash(rank_file)
+    key = hashlib.sha256(rank_file).digest()
     if key not in _tables:
         ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, rank_file.splitlines())}
         table = np.empty(max(ranks) + 1, object)
@@ -71,12 +77,13 @@ def token_bytes(rank_file: bytes) -> np.ndarray:
     return _tables[key]
 
 
-def encode_text(tokenizer: tiktoken.Encoding, text: str | None) -> np.ndarray:
-    """Token ids of one text; none for null or empty."""
-    found = [
-        np.array(tokenizer._encode_single_piece(chunk) if whole else tokenizer.encode_ordinary(chunk), dtype=np.uint32)
-        for chunk, whole in safe_chunks(text or "")
-    ]
+def encode_text(tokenizer: tiktoken.Encoding, text: str | None, as_one: tiktoken.Encoding | None = None) -> np.ndarray:
+    """Token ids of one text; none for null or empty.
+
+    ``as_one`` has the same ranks and takes all it is given for one match; without it the text stays whole.
+    """
+    chunks = [(text, False)] if text and as_one is None else safe_chunks(text or "")
+    found = [np.array((as_one if whole else tokenizer).encode_ordinary(chunk), dtype=np.uint32) for chunk, whole in chunks]
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint32)
 
 
@@ -91,16 +98,18 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
 
     Each match of ``pattern`` is encoded by itself, as tiktoken does. A null or empty text has no ids.
     Texts that spell special tokens are ordinary text. Other columns and repeated rows are kept as they
-    are; an existing column ``ids`` is replaced. Rows are independent, so nothing is shuffled.
+    are; an existing column ``ids`` is replaced. Rows are independent, so nothing is shuffled. Long texts are split
+    at boundaries that are safe for the tokenizers' common pattern; with another pattern they stay whole.
     """
     shipped = _shipped(df, rank_path)
 
     @F.arrow_udf("array<int>")
     def token_ids(column: pa.Array) -> pa.Array:
         tokenizer, found, ends = encoding(shipped.value, pattern), [], [0]
+        as_one = encoding(shipped.value, AS_ONE) if pattern == public_tokenizers.PATTERN else None
         for part in pieces(column):
             for value in part:
-                found.append(encode_text(tokenizer, value))
+                found.append(encode_text(tokenizer, value, as_one))
                 ends.append(ends[-1] + len(found[-1]))
         flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,14 +17,15 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable.
 
-    The cluster's ``spark.checkpoint.dir`` is used; only where it is unset (tests, a laptop)
-    a temporary folder takes its place.
+    The cluster's ``spark.checkpoint.dir`` is used. Where it is unset a temporary folder takes its place if all
+    tasks run on this machine (tests, a laptop); on a cluster, whose executors would not share it, that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,16 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _bytes(size: str) -> int:
+    """The bytes of a size as Spark's settings have it, such as 64m or 4MB; a bare number counts bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit.rstrip("ib") or " ")
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that sends Python workers at most 4 MB of rows at once.
+    """``df``, in a session that sends Python workers at most 1,024 rows and 4 MB at once.
 
-    Spark's default of 64 MB multiplies in a worker (decoded texts, results), whatever the executor has.
-    A smaller setting of the session's own is left.
+    Spark's default of 64 MB multiplies in a worker (decoded texts, results), whatever the executor has. These are
+    settings of the session, so they hold for its later queries too; smaller ones of the session's own are left.
     """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1024:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    rows, size = (f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(conf.get(rows)) <= 1024:
+        conf.set(rows, "1024")
+    if not 0 < _bytes(conf.get(size)) <= 4 << 20:
+        conf.set(size, "4m")
     return df
 
 

@@ -17,8 +17,8 @@ DIMENSIONS = 1024
 SEED = 20177
 #: Language of a text without letters.
 UNDETERMINED = "und"
-#: Documents whose trigram counts are multiplied at once, and trigram vectors that a worker keeps.
-TOGETHER, KEPT = 64, 1 << 15
+#: Documents and trigrams that are multiplied at once, and trigram vectors that a worker keeps.
+TOGETHER, AT_ONCE, KEPT = 64, 1 << 12, 1 << 15
 
 _others = re.compile(r"[\W\d_]+")
 _spaces: dict[tuple[int, int], "LetterSpace"] = {}
@@ -48,10 +48,7 @@ class LetterSpace:
         return found
 
     def bound(self, trigrams: np.ndarray) -> np.ndarray:
-        """One vector for each trigram code."""
-        if len(trigrams) > KEPT:
-            half = len(trigrams) // 2
-            return np.concatenate([self.bound(trigrams[:half]), self.bound(trigrams[half:])])
+        """One vector for each of up to KEPT trigram codes."""
         if len(self.rows) + len(trigrams) > KEPT:
             self.forget()
         at = np.empty(len(trigrams), np.int64)
@@ -62,7 +59,7 @@ class LetterSpace:
                 a, b, c = gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF
                 self.vectors[row] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
             at[i] = row
-        return self.vectors[at].astype(np.float32)
+        return self.vectors[at]
 
     def bundled(self, texts: list[str | None]) -> np.ndarray:
         """The sum of the trigram vectors of each text; zeros for a text without letters."""
@@ -73,15 +70,20 @@ class LetterSpace:
         for i, (g, n) in enumerate(counted):
             counts[i, place[at : at + len(g)]] = n
             at += len(g)
-        return counts @ self.bound(grams) if len(grams) else np.zeros((len(texts), self.dimensions), np.float32)
+        bundles = np.zeros((len(texts), self.dimensions), np.float32)
+        for start in range(0, len(grams), AT_ONCE):  # whole numbers, so the sum is the same in any order
+            bundles += counts[:, start : start + AT_ONCE] @ self.bound(grams[start : start + AT_ONCE]).astype(np.float32)
+        return bundles
 
 
 def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the distinct trigrams of a text and how often each occurs.
 
-    Letters are lower-cased; whatever lies between words is one space, and so is each end.
+    Letters (``str.isalpha``) are lower-cased; whatever lies between words is one space, and so is each end.
     """
-    words = _others.sub(" ", (text or "").lower()).strip()
+    text = (text or "").lower()
+    numerals = {ord(c): " " for c in set(text) if c.isalnum() and not c.isalpha()}  # such as a superscript two
+    words = _others.sub(" ", text.translate(numerals) if numerals else text).strip()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32)
     codes = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
 from math import inf
@@ -24,7 +25,7 @@ REMEMBERED = 300_000
 _between = re.compile(f"[^{SPACE}]{SPACE}")
 _words = re.compile(f"{SPACE}+[^{SPACE}]*")
 _words_in_lines = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-_built: dict[int, "CountOnlyViterbi"] = {}
+_built: dict[str, "CountOnlyViterbi"] = {}
 
 
 def read_vocabulary(model_path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -57,7 +58,7 @@ class CountOnlyViterbi:
         for piece, score in known.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.unknown = min(known.values()) - UNKNOWN_PENALTY
+        self.unknown = min(known.values(), default=0.0) - UNKNOWN_PENALTY
         self.segments = _words if any("\n" in piece and len(piece) > 1 for piece in known) else _words_in_lines
         # no piece may cross from text into the next word, else words aren't independent
         self.by_word = (byte_fallback or {SPACE, "\n"} <= set(known)) and not any(_between.search(piece) for piece in known)
@@ -92,7 +93,7 @@ class CountOnlyViterbi:
         size = len(segment)
         score, count = [-inf] * (size + 1), [0] * (size + 1)
         score[0] = 0.0
-        if self.characters.issuperset(segment):
+        if self.characters and self.characters.issuperset(segment):
             for last, (length, value) in self.automaton.iter(segment):
                 start = last + 1 - length
                 candidate = score[start] + value
@@ -100,7 +101,7 @@ class CountOnlyViterbi:
                     score[last + 1] = candidate
                     count[last + 1] = count[start] + 1
             return count[size]
-        matches = self.automaton.iter(segment)
+        matches = self.automaton.iter(segment) if self.characters or len(self.automaton) else iter(())
         last, match = next(matches, (size, None))
         in_unknown = [False] * (size + 1)
         for end in range(1, size + 1):
@@ -116,12 +117,12 @@ class CountOnlyViterbi:
         return count[size]
 
 
-def counter(vocabulary: list[tuple[str, float]], byte_fallback: bool) -> CountOnlyViterbi:
-    key = hash((len(vocabulary), vocabulary[0], vocabulary[-1], byte_fallback))
-    if key not in _built:
+def counter(name: str, vocabulary: list[tuple[str, float]], byte_fallback: bool) -> CountOnlyViterbi:
+    """The counter of a vocabulary, which ``name`` tells from all others; built once in each Python worker."""
+    if name not in _built:
         _built.clear()
-        _built[key] = CountOnlyViterbi(vocabulary, byte_fallback)
-    return _built[key]
+        _built[name] = CountOnlyViterbi(vocabulary, byte_fallback)
+    return _built[name]
 
 
 def count_tokens(df: DataFrame, model_path: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
@@ -132,7 +133,8 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", n_tokens: s
     precision. Other columns and repeated rows stay; an existing ``n_tokens`` is replaced. No shuffle; the
     vocabulary that is broadcast has the size of its file.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
+    vocabulary = read_vocabulary(model_path)
+    shipped = df.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(vocabulary).encode()).hexdigest(), *vocabulary))
 
     @F.arrow_udf("long")
     def counts(column: pa.Array) -> pa.Array:
