@@ -83,7 +83,9 @@ def links(fingerprints: DataFrame, bits: str = "bits") -> DataFrame:
     the Hamming distance. A larger bucket would make many pairs, so there each fingerprint is joined to its 33
     neighbours at one differing bit of the segments that aren't in the key, and each neighbour links those who
     share it to the least of them: two fingerprints within two bits share such a neighbour, and those who share
-    one are within two bits. That is as exact, and grows with the bucket, not with its square.
+    one are within two bits. That is as exact, and grows with the bucket, not with its square. It is the rest of the
+    chain as a key: with two segments equal, the other two may differ by two bits in all, and no narrower key of
+    whole segments has all such pairs.
     """
     key = F.array(
         *[
@@ -141,23 +143,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_shingles: bool = False) -> DataFrame:
-    """doc_id, bits (long), fingerprint (16 hex digits), root, component_id and group_size of each row.
+    """doc_id, key, bits (long), fingerprint (16 hex digits), root, component_id and group_size of each row.
 
     Texts with one fingerprint are one class; only classes are compared. ``component_id`` is the smallest doc_id
     of the component, null only if all of them are null; ``root`` is its least fingerprint as a long and names it,
-    ``group_size`` counts its rows. Null and empty texts
-    have fingerprint zero and link like any other. Repeated rows stay. An empty table gives no rows.
+    ``group_size`` counts its rows and ``key`` is xxhash64 of the text. Null and empty texts have fingerprint zero and link
+    like any other. Repeated rows stay. An empty table gives no rows.
 
     With ``by_shingles`` texts with a Jaccard similarity of 0.8 or more by five words link too, however many bits
     they differ by: no radius of 64 bits that still has selective segments has all of them.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = cut(with_fingerprint(source, "text", "bits").select("doc_id", "bits"))
+    signed = with_fingerprint(source, "text", "bits").withColumn("key", F.xxhash64("text"))
+    if by_shingles:
+        signed = signed.withColumn("s", similar.sign(F.col("text")))
+    known = cut(signed.drop("text"))
     classes = known.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     edges = links(classes.select("bits"))
     if by_shingles:
         edges = cut(edges)
-        edges = edges.union(similar.links(with_fingerprint(source.select("text"), "text", "bits"), edges, components)).distinct()
+        edges = edges.union(similar.links(known.select("key", "bits", "s.*"), source.select("text"), edges, components)).distinct()
     rooted = (
         classes.join(components(edges).withColumnRenamed("node", "bits"), "bits", "left")
         .withColumn("root", F.coalesce("root", "bits"))
@@ -165,7 +170,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_
     groups = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
     by_class = rooted.join(groups, "root").select("bits", "root", "component_id", "group_size")
     return known.join(by_class, "bits").select(
-        "doc_id", "bits", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "root", "component_id", "group_size"
+        "doc_id", "key", "bits", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "root", "component_id", "group_size"
     )
 
 
@@ -173,16 +178,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_shi
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Of repeated rows with that doc_id one stays, as of rows that share it with different texts. A component in
-    which all ids are null keeps one of them. Whole texts move once, to meet the list of those that stay.
+    which all ids are null keeps one of them. Other columns stay; an empty table gives no rows. Whole texts move once, to meet
+    the list of those that stay.
     """
-    bits, none, id_, nth = (fresh(docs, name) for name in ("_bits", "_none", "_id", "_nth"))
+    key, none, id_, nth = (fresh(docs, name) for name in ("_key", "_none", "_id", "_nth"))
     stays = (
         near_groups(docs, doc_id, text, by_shingles)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root")
-        .agg(F.min("doc_id").alias("kept"), F.min("bits").alias(bits))
-        .select(F.col("kept").isNull().alias(none), F.coalesce("kept", F.lit(0)).alias(id_), bits)
+        .agg(F.min("doc_id").alias("kept"), F.min("key").alias(key), F.count("*").alias("n"))
+        .select(F.col("kept").isNull().alias(none), F.coalesce("kept", F.lit(0)).alias(id_), key, "n")
     )
-    keyed = with_fingerprint(docs, text, bits).withColumns({none: F.col(doc_id).isNull(), id_: F.coalesce(F.col(doc_id), F.lit(0))})
-    first = F.row_number().over(Window.partitionBy(none, id_, bits).orderBy(text))
-    return keyed.join(stays, [none, id_, bits], "left_semi").withColumn(nth, first).where(F.col(nth) == 1).drop(none, id_, bits, nth)
+    stays = cut(stays)
+    keyed = docs.withColumns({key: F.xxhash64(F.col(text)), none: F.col(doc_id).isNull(), id_: F.coalesce(F.col(doc_id), F.lit(0))})
+    kept = keyed.join(stays.drop("n").hint("shuffle_hash"), [none, id_, key], "left_semi")  # texts pass by a hash table of ids
+    if stays.where("n > 1").limit(1).count():  # rows that share an id: one of each text is left
+        first = F.row_number().over(Window.partitionBy(none, id_, key).orderBy(F.length(text)))
+        kept = kept.withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
+    return kept.drop(none, id_, key)

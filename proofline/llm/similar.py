@@ -1,4 +1,4 @@
-"""Exact similarity join of word shingles: all pairs of texts with a Jaccard similarity of 0.8 or more."""
+"""Similarity join of word shingles: pairs of texts with a Jaccard similarity of 0.8 or more, checked exactly."""
 
 from __future__ import annotations
 
@@ -14,24 +14,29 @@ from proofline.llm.common import bounded_batches, cut, pieces
 
 #: Words of a shingle, and the similarity from which texts link, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
-#: Texts from which common shingles are learnt, the number of them that have a common one, and most common ones.
-SAMPLE, COMMON, MOST_COMMON = 8192, 4, 20_000
-#: Bits of the filter that keeps texts without a pair out of a shuffle; more pairs than that only weaken it.
-FILTER_BITS = 1 << 24
+#: Shingles of a text's sketch, the least by hash, and those of them at which it meets other texts. Two texts of the
+#: least similarity share none of the least m shingles of both with a probability of 0.2^m at most: 7e-12 for 16.
+SKETCH, MEETS = 32, 16
+#: A shingle of more texts than these is met only together with the next one, by texts with too few others; and where
+#: even that has more, texts are compared with so many of those who meet instead of each with each.
+MANY, PIVOTS = 64, 8
+#: Bits of a text's SimHash by the same shingles, and the most that differ. Of pairs at the least similarity, which
+#: differ by 19 bits on average, one in 50 million differs by more; texts of fewer shingles are not filtered.
+NEAR_BITS, MOST_APART, LEAST_FILTERED = 128, 44, 64
+#: Bits of the filter that keeps texts without a pair out of a shuffle, for each text with one, and most bits (16 MB).
+FILTER_SHARE, FILTER_BITS = 8, 1 << 27
+
+#: Longs of a text's bits: two of its SimHash, and four of the parity of its shingles by the first byte of their hashes.
+_BITS = ["low", "high", "p0", "p1", "p2", "p3"]
+SIGNATURE = f"struct<h:long,n:int,near:struct<{','.join(f'{b}:long' for b in _BITS)}>,sketch:array<long>>"
+_kind = pa.struct([("h", pa.int64()), ("n", pa.int32()), ("near", pa.struct([(b, pa.int64()) for b in _BITS])), ("sketch", pa.list_(pa.int64()))])
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # as simhash.fingerprint
 
 
-def name(text: str | None) -> int:
-    """The signed 64 bits that stand for a text's words."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words(text)))).astype(np.int64))
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes (signed, 64 bits) of a text's shingles; one for a shorter text, none without words."""
-    found = words(text)
+def _shingles(found: list[bytes]) -> np.ndarray:
     if not found:
         return np.empty(0, np.int64)
     each = np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)
@@ -43,65 +48,92 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed.view(np.int64))
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes (signed, 64 bits) of a text's shingles; one for a shorter text, none without words."""
+    return _shingles(words(text))
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared * LEAST[1] >= LEAST[0] * (len(a) + len(b) - shared)
 
 
-def _common(texts: DataFrame) -> dict[int, int]:
-    """Shingles that many of a bounded sample of distinct texts have, with their count."""
-
-    @F.arrow_udf("array<long>")
-    def all_of(column: pa.Array) -> pa.Array:
-        return pa.array([shingles(value) for part in pieces(column) for value in part], pa.list_(pa.int64()))
-
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
-    counted = bounded_batches(sample).select(F.explode(all_of("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rows = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()
-    return {r["token"]: r["n"] for r in rows}
-
+def _majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if over half of the hashes have it; signed."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        part = hashes[start : start + (1 << 14)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
-def _signed(texts: DataFrame, common: dict[int, int]) -> DataFrame:
-    """bits, and h (the text's name), n (its shingles) and prefix, the first shingles in one order for all texts.
 
-    Common shingles come last. Two texts that are alike share a shingle among the first n - ceil(0.8 n) + 1 of
-    each, whatever the order is; the order only says how many others share it.
-    """
-    known = np.array(sorted(common), np.int64)
-    counts = np.array([common[t] for t in known.tolist()], np.int64)
-    kind = pa.struct([("h", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-
-    def signature(text: str | None) -> dict:
-        tokens = shingles(text)
-        n = len(tokens)
-        if len(known) and n:
-            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-            tokens = tokens[np.lexsort((tokens, np.where(known[at] == tokens, counts[at], 0)))]
-        return {"h": name(text), "n": n, "prefix": tokens[: n - -(-n * LEAST[0] // LEAST[1]) + 1] if n else []}
-
-    @F.arrow_udf("struct<h:long,n:int,prefix:array<long>>")
+def signature(text: str | None) -> dict:
+    """h, the signed 64 bits that stand for a text's words; n, its shingles; near, their SimHash; and their sketch."""
+    found = words(text)
+    tokens = _shingles(found)
+    again = tokens.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # a second hash of each shingle
+    again ^= again >> np.uint64(32)
+    odd = np.bincount(tokens.view(np.uint64) >> np.uint64(56), minlength=256) & 1
+    parity = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+    return {
+        "h": int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(found))).astype(np.int64)),
+        "n": len(tokens),
+        "near": dict(zip(_BITS, [_majority(tokens), _majority(again * np.uint64(0xD6E8FEB86659FD93)), *parity])),
+        "sketch": tokens[:SKETCH],
+    }
+
+
+def sign(text: Column) -> Column:
+    """``signature`` of each whole text."""
+
+    @F.arrow_udf(SIGNATURE)
     def of(column: pa.Array) -> pa.Array:
-        return pa.array([signature(value) for part in pieces(column) for value in part], kind)
+        return pa.array([signature(value) for part in pieces(column) for value in part], _kind)
 
-    return bounded_batches(texts).withColumn("s", of("text")).select("bits", "s.*")
+    return of(text)
 
 
 def _may_be_alike() -> Column:
-    """By their sizes, and by what is left of both from the shared shingle on (it is the first for some shingle)."""
-    part, whole = LEAST
-    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    sizes = whole * F.least("x.n", "y.n") >= part * F.greatest("x.n", "y.n")
-    return sizes & (left * (part + whole) >= part * (F.col("x.n") + F.col("y.n")))
+    """By the sizes of x and y, the parity of their shingles, and their SimHash.
 
+    At a similarity of 0.8 the sets differ by a ninth of their sizes' sum at most, and so do their parities.
+    """
+    part, whole = LEAST
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs of x and y (h, bits) the bits (a, b) of those whose texts are alike."""
+    def apart(names: list[str]) -> Column:
+        return sum((F.bit_count(F.col(f"x.near.{b}").bitwiseXOR(F.col(f"y.near.{b}"))) for b in names[1:]), F.bit_count(F.col(f"x.near.{names[0]}").bitwiseXOR(F.col(f"y.near.{names[0]}"))))
 
-    @F.arrow_udf("long")
-    def name_of(column: pa.Array) -> pa.Array:
-        found = (name(value) for part in pieces(column) for value in part)
-        return pa.array([h if marked[h % FILTER_BITS >> 3] >> (h & 7) & 1 else None for h in found], pa.int64())
+    both = F.col("x.n") + F.col("y.n")
+    sizes = whole * F.least("x.n", "y.n") >= part * F.greatest("x.n", "y.n")
+    few_differ = (part + whole) * apart(_BITS[2:]) <= (whole - part) * both
+    return sizes & few_differ & ((F.least("x.n", "y.n") < LEAST_FILTERED) | (apart(_BITS[:2]) <= MOST_APART))
+
+
+def _filter_of(keys: DataFrame) -> bytes:
+    """A filter of the column ``key`` with a power of two of bits, at most FILTER_BITS; fuller ones pass more."""
+    bits = 1 << 15
+    wanted = FILTER_SHARE * keys.count()
+    while bits < min(wanted, FILTER_BITS):
+        bits *= 2
+    value = F.pmod("key", F.lit(bits)) + 1  # Spark's bitmaps count from 1
+    maps = (
+        keys.select(value.alias("value"))
+        .groupBy(F.bitmap_bucket_number("value").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("value")).alias("map"))
+    )
+    filled = np.zeros(bits // 8, np.uint8)
+    for row in maps.toLocalIterator():
+        start = (row["bucket"] - 1) * 4096
+        filled[start : start + 4096] = np.frombuffer(row["map"], np.uint8)
+    return filled.tobytes()
+
+
+def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs of x and y (h, bits) the bits (a, b) of those whose texts are alike.
+
+    Each text that has a pair is fetched once, by a hash of the whole text; a filter of bounded size keeps the
+    others where they are.
+    """
 
     @F.arrow_udf("boolean")
     def are_alike(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -115,42 +147,85 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     ordered = F.col("x.h") < F.col("y.h")
     low, high = F.when(ordered, F.col("x")).otherwise(F.col("y")), F.when(ordered, F.col("y")).otherwise(F.col("x"))
-    once = pairs.select(low.alias("x"), high.alias("y"))
-    once = cut(once.select(F.col("x.h").alias("p"), F.col("y.h").alias("q"), F.col("x.bits").alias("a"), F.col("y.bits").alias("b")).distinct())
-    needed = once.select(F.col("p").alias("h")).union(once.select("q")).distinct()
-    place = F.pmod("h", F.lit(FILTER_BITS))
-    bytes_ = needed.groupBy(F.shiftright(place, 3).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2), F.pmod("h", F.lit(8))).cast("int")).alias("b"))
-    filled = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for batch in bytes_.toLocalIterator():
-        filled[batch["at"]] = batch["b"]
-    marked = filled.tobytes()
-    named = bounded_batches(texts.select("text")).withColumn("h", name_of("text")).where("h is not null").join(needed, "h", "left_semi")
-    named = cut(named.groupBy("h").agg(F.min("text").alias("text")))
-    sided = once.join(named.select(F.col("h").alias("p"), F.col("text").alias("left")), "p").join(named.select(F.col("h").alias("q"), F.col("text").alias("right")), "q")
+    sides = pairs.select(low.alias("x"), high.alias("y"))
+    sides = cut(sides.select(F.col("x.h").alias("p"), F.col("y.h").alias("q"), F.col("x.bits").alias("a"), F.col("y.bits").alias("b")).distinct())
+    needed = sides.select(F.col("p").alias("h")).union(sides.select("q")).distinct()
+    needed = cut(needed.join(once.select("h", "key"), "h"))
+    shipped = texts.sparkSession.sparkContext.broadcast(_filter_of(needed.select("key")))
+
+    @F.arrow_udf("boolean")
+    def may_be_needed(keys: pa.Array) -> pa.Array:
+        filled = np.frombuffer(shipped.value, np.uint8)
+        at = keys.to_numpy(zero_copy_only=False) % (8 * len(filled))
+        return pa.array((filled[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    wanted = bounded_batches(texts).select("text", F.xxhash64("text").alias("key")).where(may_be_needed("key"))
+    named = wanted.join(needed, "key").groupBy("h").agg(F.min("text").alias("text"))
+    named = cut(named)
+    sided = sides.join(named.select(F.col("h").alias("p"), F.col("text").alias("left")), "p").join(
+        named.select(F.col("h").alias("q"), F.col("text").alias("right")), "q"
+    )
     return cut(sided.where(are_alike("left", "right")).select("a", "b").distinct())
 
 
-def links(texts: DataFrame, known_links: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Pairs (a, b) of bits that connect, with ``known_links``, every two texts (text, bits) that are alike.
+def _meetings(once: DataFrame) -> DataFrame:
+    """key, many (if over MANY texts meet), and y (h, bits, n, near, weight) of the texts that meet at a key.
 
-    Texts meet at each shingle of their prefixes. First one of those who meet, another for each shingle, is
-    compared with the others; then, where those who meet are not yet all connected, all pairs from different
-    components are. So a large group of near copies makes pairs in proportion to its size, and no pair that would
-    connect more is left out. Equal words are one text, and bits are a function of the words.
+    A key is a shingle of the sketch that MANY texts at most have, the first MEETS of a text by hash. A text with
+    fewer of these also meets others at pairs of shingles that follow each other in its sketch and that more texts
+    have; two alike share such a pair, or a rarer shingle, but for one in a billion. ``weight`` adds up how many texts
+    have the shingles of a text's sketch: the most central one of near copies has most. Counts are group sums, and a
+    text's own keys are windows of 32 rows.
+    """
+    posted = once.select("h", F.size("sketch").alias("held"), F.posexplode("sketch").alias("at", "token"))
+    counted = posted.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
+    met = posted.join(counted, "token").withColumn("many", F.when(F.col("texts") > MANY, 1).otherwise(0))
+    of_text = Window.partitionBy("h")
+    in_order = of_text.orderBy("at")
+    before = F.coalesce(F.sum("many").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    follows = (F.lead("at").over(in_order) == F.col("at") + 1) & (F.lead("many").over(in_order) == 1)
+    met = met.withColumns(
+        {
+            "rank": F.col("at") - before,
+            "others": F.col("held") - F.sum("many").over(of_text),
+            "following": F.when(F.col("held") == 1, F.col("token")).when(follows, F.lead("token").over(in_order)),
+            "weight": F.sum("texts").over(of_text),
+        }
+    )
+    single = F.when((F.col("many") == 0) & (F.col("rank") < MEETS), F.col("token"))
+    double = F.when((F.col("many") == 1) & (F.col("others") < MEETS) & F.col("following").isNotNull(), F.xxhash64("token", "following"))
+    keyed = cut(met.select(F.coalesce(single, double).alias("key"), "h", "weight").where("key is not null"))
+    shared = keyed.groupBy("key").agg((F.count("*") > MANY).alias("many"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    described = once.select("h", "bits", "n", "near")
+    return cut(keyed.join(shared, "key").join(described, "h").select("key", "many", F.struct("h", "bits", "n", "near", "weight").alias("y")))
+
+
+def links(signed: DataFrame, texts: DataFrame, known_links: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of bits that connect, with ``known_links``, the texts that are alike.
+
+    ``signed`` has key (xxhash64 of the text), bits (a function of its words) and the fields of ``signature``.
+    Texts meet at keys of their sketches. First the most central of those who meet is compared with the others.
+    Then, where those who meet are not yet all connected, all pairs from different components are; so of up to MANY
+    texts no link is lost. More texts meet only where each of two neighbouring shingles is that common: they are
+    many edited copies of some text. There the most central texts of the PIVOTS most central components are compared
+    with all others. Two copies that share no rarer shingle differ from the common text by less than from each
+    other, so they are linked through it if it is there. The work grows with the texts who meet, not with their square. Sizes, parities and
+    SimHash bits thin the pairs out; the words of the rest are compared. Equal words are one text.
     """
-    signed = cut(_signed(texts, _common(texts.select("text"))))
-    posted = signed.select("h", F.posexplode("prefix").alias("at", "token"))
-    here = Window.partitionBy("token")  # one shuffle of three numbers for each shingle of the prefixes
-    met = posted.withColumns({"low": F.min("h").over(here), "high": F.max("h").over(here)}).where("low <> high").select("token", "h", "at").distinct()
-    members = cut(met.join(signed.select("h", "bits", "n").distinct(), "h")).select("token", F.struct("h", "bits", "n", "at").alias("y"))
-
-    pivots = members.groupBy("token").agg(F.min_by("y", F.xxhash64("token", "y.h")).alias("x"))
-    first = _verified(members.join(pivots, "token").where((F.col("x.bits") != F.col("y.bits")) & _may_be_alike()), texts)
+    once = cut(signed.groupBy("h").agg(F.any_value(F.struct("key", "bits", "n", "near", "sketch")).alias("s")).select("h", "s.*"))
+    members = _meetings(once)
+    pivots = members.groupBy("key").agg(F.max_by("y", F.struct("y.weight", "y.h")).alias("x"))
+    first = _verified(members.join(pivots, "key").where((F.col("x.bits") != F.col("y.bits")) & _may_be_alike()), once, texts)
     now = known_links.union(first)
 
     rooted = members.join(components(now).withColumnRenamed("node", "bits"), F.col("y.bits") == F.col("bits"), "left")
-    rooted = cut(rooted.select("token", "y", F.coalesce("root", "y.bits").alias("root")))
-    apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    rooted = cut(rooted.join(apart, "token"))
-    pairs = rooted.select("token", F.col("y").alias("x"), F.col("root").alias("of")).join(rooted, "token").where((F.col("of") < F.col("root")) & _may_be_alike())
-    return first.union(_verified(pairs, texts))
+    rooted = cut(rooted.select("key", "many", "y", F.coalesce("root", "y.bits").alias("root")))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rooted = cut(rooted.join(apart, "key"))
+    few, many = rooted.where("not many"), rooted.where("many")
+    pairs = few.select("key", F.col("y").alias("x"), F.col("root").alias("of")).join(few, "key").where((F.col("of") < F.col("root")) & _may_be_alike())
+    central = many.groupBy("key", "root").agg(F.max_by("y", F.struct("y.weight", "y.h")).alias("x")).withColumnRenamed("root", "of")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("x.weight"), "x.h"))
+    central = central.withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
+    crossed = many.join(central, "key").where((F.col("of") != F.col("root")) & _may_be_alike())
+    return first.union(_verified(pairs.select("x", "y").union(crossed.select("x", "y")), once, texts))

@@ -59,9 +59,9 @@ def made():
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("sample", [0, 8192])
-def test_near_copies_by_five_words_go(spark, monkeypatch, sample):
-    monkeypatch.setattr(similar, "SAMPLE", sample)
+@pytest.mark.parametrize("many", [1, 64])
+def test_near_copies_by_five_words_go(spark, monkeypatch, many):
+    monkeypatch.setattr(similar, "MANY", many)
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == plain_kept(rows)
