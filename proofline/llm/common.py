@@ -34,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a small table that one task reads, and the least number of tasks.
+ROWS_OF_TASK, LEAST_TASKS = 20_000, 4
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut``, and then read in no more tasks than its rows need: what is left of many partitions is often little."""
+    written = cut(df)
+    return written.coalesce(max(LEAST_TASKS, -(-written.count() // ROWS_OF_TASK)))
+
+
 def _bytes(size: str) -> int:
     """The bytes of a size as Spark's settings have it, such as 64m or 4MB; a bare number counts bytes."""
     number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", size.lower()).groups()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.llm import similar
-from proofline.llm.common import bounded_batches, cut, fresh, pieces
+from proofline.llm.common import bounded_batches, cut, cut_small, fresh, pieces
 
 #: Words of a shingle, and seed of its hash.
 SHINGLE, SEED = 3, 42
@@ -95,7 +95,7 @@ def links(fingerprints: DataFrame, bits: str = "bits") -> DataFrame:
     )
     keyed = fingerprints.select(F.col(bits).alias("bits"), F.explode(key).alias("key")).select("bits", "key.start", "key.value")
     counted = keyed.groupBy("start", "value").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(keyed.join(counted, ["start", "value"]))
+    members = cut_small(keyed.join(counted, ["start", "value"]))
     few = members.where(F.col("n") <= PAIRED).drop("n")
     pairs = few.withColumnRenamed("bits", "a").join(few.withColumnRenamed("bits", "b"), ["start", "value"])
     pairs = pairs.where(
@@ -127,7 +127,7 @@ def components(edges: DataFrame) -> DataFrame:
     its smaller ones. Each step is a group minimum and a join, written to the shared folder, so neither links
     nor components ever meet in one place, and a chain of n nodes takes about log n rounds.
     """
-    now = cut(edges.select("a", "b").where("a <> b"))
+    now = cut_small(edges.select("a", "b").where("a <> b"))
     state = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -136,7 +136,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         joined = large.join(least, "a")
         small = joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        now = cut(small.union(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct())
+        now = cut_small(small.union(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct())
         before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -161,7 +161,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_
     classes = known.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     edges = links(classes.select("bits"))
     if by_shingles:
-        edges = cut(edges)
+        edges = cut_small(edges)
         edges = edges.union(similar.links(known.select("key", "bits", "s.*"), source.select("text"), edges, components)).distinct()
     rooted = (
         classes.join(components(edges).withColumnRenamed("node", "bits"), "bits", "left")

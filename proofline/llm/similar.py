@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.common import bounded_batches, cut, pieces
+from proofline.llm.common import bounded_batches, cut, cut_small, pieces
 
 #: Words of a shingle, and the similarity from which texts link, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -148,9 +148,9 @@ def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
     ordered = F.col("x.h") < F.col("y.h")
     low, high = F.when(ordered, F.col("x")).otherwise(F.col("y")), F.when(ordered, F.col("y")).otherwise(F.col("x"))
     sides = pairs.select(low.alias("x"), high.alias("y"))
-    sides = cut(sides.select(F.col("x.h").alias("p"), F.col("y.h").alias("q"), F.col("x.bits").alias("a"), F.col("y.bits").alias("b")).distinct())
+    sides = cut_small(sides.select(F.col("x.h").alias("p"), F.col("y.h").alias("q"), F.col("x.bits").alias("a"), F.col("y.bits").alias("b")).distinct())
     needed = sides.select(F.col("p").alias("h")).union(sides.select("q")).distinct()
-    needed = cut(needed.join(once.select("h", "key"), "h"))
+    needed = cut_small(needed.join(once.select("h", "key"), "h"))
     shipped = texts.sparkSession.sparkContext.broadcast(_filter_of(needed.select("key")))
 
     @F.arrow_udf("boolean")
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
     sided = sides.join(named.select(F.col("h").alias("p"), F.col("text").alias("left")), "p").join(
         named.select(F.col("h").alias("q"), F.col("text").alias("right")), "q"
     )
-    return cut(sided.where(are_alike("left", "right")).select("a", "b").distinct())
+    return cut_small(sided.where(are_alike("left", "right")).select("a", "b").distinct())
 
 
 def _meetings(once: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _meetings(once: DataFrame) -> DataFrame:
     text's own keys are windows of 32 rows.
     """
     posted = once.select("h", F.size("sketch").alias("held"), F.posexplode("sketch").alias("at", "token"))
-    counted = posted.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
+    counted = cut_small(posted.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1"))
     met = posted.join(counted, "token").withColumn("many", F.when(F.col("texts") > MANY, 1).otherwise(0))
     of_text = Window.partitionBy("h")
     in_order = of_text.orderBy("at")
@@ -194,10 +194,11 @@ def _meetings(once: DataFrame) -> DataFrame:
     )
     single = F.when((F.col("many") == 0) & (F.col("rank") < MEETS), F.col("token"))
     double = F.when((F.col("many") == 1) & (F.col("others") < MEETS) & F.col("following").isNotNull(), F.xxhash64("token", "following"))
-    keyed = cut(met.select(F.coalesce(single, double).alias("key"), "h", "weight").where("key is not null"))
+    keyed = cut_small(met.select(F.coalesce(single, double).alias("key"), "h", "weight").where("key is not null"))
     shared = keyed.groupBy("key").agg((F.count("*") > MANY).alias("many"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    shared = cut_small(shared)
     described = once.select("h", "bits", "n", "near")
-    return cut(keyed.join(shared, "key").join(described, "h").select("key", "many", F.struct("h", "bits", "n", "near", "weight").alias("y")))
+    return cut_small(keyed.join(shared, "key").join(described, "h").select("key", "many", F.struct("h", "bits", "n", "near", "weight").alias("y")))
 
 
 def links(signed: DataFrame, texts: DataFrame, known_links: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -214,18 +215,18 @@ def links(signed: DataFrame, texts: DataFrame, known_links: DataFrame, component
     """
     once = cut(signed.groupBy("h").agg(F.any_value(F.struct("key", "bits", "n", "near", "sketch")).alias("s")).select("h", "s.*"))
     members = _meetings(once)
-    pivots = members.groupBy("key").agg(F.max_by("y", F.struct("y.weight", "y.h")).alias("x"))
+    pivots = cut_small(members.groupBy("key").agg(F.max_by("y", F.struct("y.weight", "y.h")).alias("x")))  # a table, so that a key of many is split in the join
     first = _verified(members.join(pivots, "key").where((F.col("x.bits") != F.col("y.bits")) & _may_be_alike()), once, texts)
     now = known_links.union(first)
 
     rooted = members.join(components(now).withColumnRenamed("node", "bits"), F.col("y.bits") == F.col("bits"), "left")
     rooted = cut(rooted.select("key", "many", "y", F.coalesce("root", "y.bits").alias("root")))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rooted = cut(rooted.join(apart, "key"))
+    apart = cut_small(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+    rooted = cut_small(rooted.join(apart, "key"))
     few, many = rooted.where("not many"), rooted.where("many")
     pairs = few.select("key", F.col("y").alias("x"), F.col("root").alias("of")).join(few, "key").where((F.col("of") < F.col("root")) & _may_be_alike())
     central = many.groupBy("key", "root").agg(F.max_by("y", F.struct("y.weight", "y.h")).alias("x")).withColumnRenamed("root", "of")
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("x.weight"), "x.h"))
-    central = central.withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
+    central = cut_small(central.withColumn("nth", nth).where(F.col("nth") <= PIVOTS))
     crossed = many.join(central, "key").where((F.col("of") != F.col("root")) & _may_be_alike())
     return first.union(_verified(pairs.select("x", "y").union(crossed.select("x", "y")), once, texts))

@@ -489,7 +489,7 @@ def test_equal_hashes_of_edited_texts_part(spark):
         quarter = len(text) // 4
         names.setdefault(digests.canonical(text), set()).add(r["fingerprint"])
         names.setdefault(digests.canonical(text[: len(text) - quarter] + after[:quarter]), set()).add(r["edited_fingerprint"])
-    assert len(names) > 90 and all(len(n) == 1 for n in names.values()) and len(set.union(*names.values())) == len(names)
+    assert len(names) > 75 and all(len(n) == 1 for n in names.values()) and len(set.union(*names.values())) == len(names)
     few = spark.createDataFrame([(1, "aaaa bbbb"), (2, "cc")], "doc_id long, text string")
     assert len({r[c] for r in digests.fingerprints_and_edits(few, bits=1).collect() for c in ("fingerprint", "edited_fingerprint")}) == 3
 
