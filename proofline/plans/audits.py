@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofline.functions import display
 from proofline.functions.text import token_budget
 from proofline.operators import audits, catalog, requests
-from proofline.sources.collections import read_table
+from proofline.sources.collections import parse_quality, read_table
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +208,27 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISPLAY_NAMES = "SELECT n_name AS collection, CASE WHEN n_nationkey % 4 = 0 THEN 'new ' ELSE '' END || lower(n_name) AS display_name FROM nation WHERE n_name <> 'NATION_3'"
 
 
+def parse_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as parsed papers of seven pages, whose lines are blocks; some lack their text, box or type."""
+    lines = read_table(spark, sf_dir, "lineitem").withColumn("paper_id", F.col("l_orderkey") % 200)
+    blocks = lines.select(
+        "paper_id", F.when(F.col("l_tax") > 0.07, "unknown").otherwise(F.col("l_returnflag")).alias("type"), F.when(F.col("l_discount") > 0.08, " ").otherwise("x").alias("text"),
+        F.col("l_linenumber").alias("page"), F.when(F.col("l_quantity") > 5, F.array(F.lit(0.0))).alias("bbox"),
+    )
+    found = parse_quality(blocks, lines.select("paper_id").distinct().withColumn("total_pages", F.lit(8)))
+    return found.select(
+        "paper_id", "total_blocks", "parsed_pages", F.round("provenance_coverage", 6).alias("provenance_coverage"), "empty_block_count",
+        F.array_join(F.col("empty_page_numbers").cast("array<string>"), ",").alias("empty_pages"), F.coalesce(F.col("block_counts")["R"], F.lit(0)).alias("returned"),
+    )
+
+
+PARSE_REPORTS = """
+WITH b AS (SELECT l_orderkey % 200 AS paper_id, CASE WHEN l_tax > 0.07 THEN 'unknown' ELSE l_returnflag END AS type, l_discount <= 0.08 AS has, l_linenumber AS page, l_quantity > 5 AS boxed FROM lineitem),
+e AS (SELECT paper_id, string_agg(page, ',' ORDER BY page) AS empty_pages FROM (SELECT DISTINCT paper_id, unnest(range(1, 9)) AS page FROM b) ANTI JOIN (SELECT DISTINCT paper_id, page FROM b WHERE has) USING (paper_id, page) GROUP BY ALL)
+SELECT paper_id, count(*) AS total_blocks, count(DISTINCT page) FILTER (has) AS parsed_pages, round(coalesce(avg(CAST(boxed AS INT)) FILTER (type <> 'unknown'), 0), 6) AS provenance_coverage,
+       count(*) FILTER (NOT has) AS empty_block_count, coalesce(any_value(empty_pages), '') AS empty_pages, count(*) FILTER (type = 'R') AS returned FROM b LEFT JOIN e USING (paper_id) GROUP BY ALL"""
+
+
 def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.totals(catalog.searched(read_table(spark, sf_dir, "documents"), "SRC1", "source"), "lang", "source")
 
@@ -237,6 +258,7 @@ QUERIES = {
     "chat_selection": (chat_selection, _chat_sql()),
     "named_gate": (named_gate, NAMED_GATE),
     "display_names": (display_names, DISPLAY_NAMES),
+    "parse_reports": (parse_reports, PARSE_REPORTS),
     "store_totals": (store_totals, STORE_TOTALS),
     "file_names": (file_names, FILE_NAMES),
 }

@@ -61,3 +61,52 @@ def check_embeddings(rows: DataFrame, item: str, index: str, vector: str) -> Dat
     order = (F.col("n") > 0) & ((F.col("indexes") != F.col("n")) | (F.col("low") != 0) | (F.col("high") != F.col("n") - 1))
     reasons = F.array_compact(F.array(F.when(order, "indexes"), F.when(F.col("bad") == 1, "not finite"), F.when(F.col("widths") > 1, "widths")))
     return facts.select(F.explode(reasons).alias("reason"))
+
+
+#: A stored paper: its metadata, sections, blocks in order and the report of its parsing. What varies by block stays JSON text.
+PAPER = (
+    "schema_version string, paper_id string, file_id string, filename string,"
+    "metadata struct<title:string,authors:array<string>,abstract:string,year:int,doi:string,arxiv_id:string,language:string>,"
+    "sections array<struct<section_id:string,title:string,level:int,parent_id:string,page:int,kind:string>>,"
+    "blocks array<struct<block_id:string,`order`:int,type:string,text:string,page:int,bbox:array<double>,section_path:array<string>,"
+    "confidence:double,source_label:string,relations:string,table_structure:string>>,"
+    "quality struct<total_pages:int,parsed_pages:int,total_blocks:int,block_counts:map<string,int>,provenance_coverage:double,"
+    "empty_page_numbers:array<int>,empty_block_count:int,warnings:array<string>>"
+)
+
+
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    """All papers that are stored as document.json anywhere under ``path``, as typed rows with the file they are from.
+
+    Missing fields are null. A file that is no JSON object fails the read, as a paper left out would go unseen.
+    """
+    reader = spark.read.schema(PAPER).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "document.json")
+    return reader.json(path).withColumn("path", F.input_file_name())
+
+
+def paper_blocks(papers: DataFrame) -> DataFrame:
+    """A row for each block of the papers: paper_id, file_id, filename and the block's fields, its order as ``ord``."""
+    blocks = papers.select("paper_id", "file_id", "filename", F.explode("blocks").alias("b"))
+    return blocks.select("paper_id", "file_id", "filename", "b.*").withColumnRenamed("order", "ord")
+
+
+def parse_quality(blocks: DataFrame, total_pages: DataFrame) -> DataFrame:
+    """A row for each paper of its blocks (paper_id, type, text, page, bbox) and pages (paper_id, total_pages).
+
+    total_blocks, block_counts (by type), parsed_pages (with a block with text), provenance_coverage (blocks of a known type
+    that have page and box; 0 of none), empty_block_count and empty_page_numbers. A paper without blocks has zeros and all its
+    pages empty.
+    """
+    has_text, known = F.coalesce(F.trim("text") != "", F.lit(False)), F.col("type") != "unknown"
+    found = blocks.groupBy("paper_id").agg(
+        F.count("*").alias("total_blocks"), F.countDistinct(F.when(has_text, F.col("page"))).alias("parsed_pages"),
+        F.avg(F.when(known, (F.col("page").isNotNull() & F.col("bbox").isNotNull()).cast("double"))).alias("provenance_coverage"),
+        F.count_if(~has_text).alias("empty_block_count"), F.collect_set(F.when(has_text, F.col("page"))).alias("_pages"),
+    )
+    each = blocks.groupBy("paper_id", "type").agg(F.count("*").alias("n"))
+    counts = each.groupBy("paper_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("block_counts"))
+    zero = {"total_blocks": 0, "parsed_pages": 0, "provenance_coverage": 0.0, "empty_block_count": 0}
+    joined = total_pages.join(found, "paper_id", "left").join(counts, "paper_id", "left").fillna(zero)
+    all_pages = F.when(F.col("total_pages") > 0, F.sequence(F.lit(1), F.col("total_pages"))).otherwise(F.array().cast("array<int>"))
+    empty = F.array_except(all_pages, F.coalesce("_pages", F.array().cast("array<int>")))
+    return joined.withColumn("empty_page_numbers", empty).drop("_pages")
