@@ -109,12 +109,13 @@ def mix(
     slices, so that a source with most of the rows is spread, and rows that share a doc_id, or have none, are too.
     A null source is a source; null and repeated doc_id are kept, and rows equal in doc_id and text are
     interchangeable. An empty table gives no rows. Of ``docs`` columns with the names of added ones are replaced;
-    all others stay, whatever their names: while the sums are taken they are fields of one column.
+    all others stay, whatever their names.
     """
     added = ["size", "source_size", "target", "taken", "position", "positions"]
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    own = {f"_c{i}": c for i, c in enumerate(docs.columns)}  # numbered, so that no name clashes and what nobody asks for is pruned
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        *[F.col(f"`{c}`").alias(n) for n, c in own.items()],
         F.col(source).isNull().alias("_absent"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
         words(F.col(text)).alias("_size"),
@@ -143,13 +144,10 @@ def mix(
 
     copies = F.when(size > 0, passes + F.when(2 * rest >= size, 1).otherwise(0)).otherwise(0).cast("int")
     positions = F.when(copies > 0, F.transform(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1), time)).otherwise(F.array().cast("array<double>"))
-    new = placed.select(
-        "_row",
-        F.struct(
-            size.alias("size"), "source_size", "target", taken.alias("taken"), F.when(taken > 0, time(F.lit(0))).alias("position"), positions.alias("positions")
-        ).alias("_new"),
-    )
-    return new.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in added], "_new.*")
+    position = F.when(taken > 0, time(F.lit(0)))
+    made = [size, F.col("source_size"), F.col("target"), taken, position, positions]
+    new = placed.select(*own, *[value.alias(f"_new_{name}") for name, value in zip(added, made)])
+    return new.select(*[F.col(n).alias(c) for n, c in own.items() if c.lower() not in added], *[F.col(f"_new_{name}").alias(name) for name in added])
 
 
 def in_training_order(
