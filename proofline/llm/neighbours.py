@@ -15,7 +15,7 @@ from proofline.llm.common import bounded_batches, cut
 #: Curves, projected dimensions and bits of each on a curve, and the seed of projections and shifts.
 CURVES, DIMENSIONS, BITS, SEED = 8, 3, 16, 6007
 #: Share of the true nearest that the windows are made for, queries on which that is measured, and quantiles of a curve.
-RECALL, SAMPLE, QUANTILES = 0.95, 128, 4096
+RECALL, SAMPLE, QUANTILES = 0.93, 128, 4096
 #: Blocks in half a window, the least number of blocks on a curve, and rows of a task's group.
 BLOCKS_OF_WINDOW, LEAST_BLOCKS, GROUP_ROWS = 4, 16, 8192
 #: Queries that meet a group at once.
