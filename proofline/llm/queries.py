@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, digests, html_text, language, lines, mixing, neighbours, quality, simhash, token_count
+from proofline.llm import bpe, digests, html_text, language, lines, manifest, mixing, neighbours, quality, simhash, token_count
 from proofline.llm.common import held_out
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +64,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, hit = F.col("text"), held_out(F.col("doc_id"), 5, 0)
+    return manifest.audit(table(spark, sf_dir, "documents"), {"text": F.when(hit, manifest.lower_ascii(text)).otherwise(text)})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -75,9 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_fingerprint": op8_exact_fingerprint,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_neighbours": op10_neighbours,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": lines.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": manifest.oracle(),
 }
