@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, digests, html_text, language, lines, manifest, mixing, neighbours, quality, simhash, token_count
+from proofline.llm import bpe, conversations, digests, html_text, language, lines, manifest, mixing, neighbours, quality, simhash, token_count
 from proofline.llm.common import held_out
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"), {"text": F.when(hit, manifest.lower_ascii(text)).otherwise(text)})
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_neighbours": op10_neighbours,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
