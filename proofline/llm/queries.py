@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, conversations, digests, html_text, language, lines, manifest, mixing, neighbours, quality, simhash, token_count
+from proofline.llm import bpe, conversations, digests, divergence, html_text, language, lines, manifest, mixing, neighbours, quality, simhash, token_count
 from proofline.llm.common import held_out
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
