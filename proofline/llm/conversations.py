@@ -486,3 +486,60 @@ def repair_damaged(rows: DataFrame, slice_records: int = SLICE) -> DataFrame:
         "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+def _steps_sql() -> str:
+    """(symbol, state, cost, piece, after): up to three inserts and then the edit of a row, from each state."""
+    rows = []
+    for symbol in (GONE, *SYMBOLS.values()):
+        for start in range(4):
+            state = start
+            for inserts in range(4):
+                rows += [f"({symbol}, {start}, {INSERT * inserts + cost}, '{'I' * inserts + edit}', {after})" for edit, cost, after in choices(symbol)[state]]
+                state = WRITTEN[state]
+    return ", ".join(rows)
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(len(name)), lambda i: ascii(substr(name, i + 1, 1))::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+#: DuckDB SQL for ``repair_damaged`` over conversations: the same edits by a table that grows row by row.
+ORACLE = f"""
+WITH RECURSIVE
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+f AS (SELECT *, {_CRC} % 20 AS fault FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM f WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), md5(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+  regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS mark FROM d),
+t AS (SELECT *, CASE WHEN mark = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN mark NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS told FROM o),
+y AS (SELECT *, left(role, 1) AS initial, CASE WHEN told IN ('blank', 'duplicate') THEN {GONE}
+  ELSE 1 + 2 * CASE left(role, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END + CAST(told = 'truncated' AS INT) END AS symbol FROM t),
+steps(symbol, state, cost, piece, after) AS (VALUES {_steps_sql()}),
+r AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': ''}} AS best FROM y
+  UNION ALL
+  SELECT r.conv_id, y.i, s.after, min({{'cost': r.best.cost + s.cost, 'audit': r.best.audit || s.piece}})
+  FROM r JOIN y ON r.conv_id IS NOT DISTINCT FROM y.conv_id AND y.i = r.i + 1 JOIN steps s ON s.symbol = y.symbol AND s.state = r.state
+  GROUP BY r.conv_id, y.i, s.after),
+n AS (SELECT conv_id, max(i) AS i, greatest(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0), 0) AS gaps,
+  count(*) FILTER (told = 'blank') AS blank, count(*) FILTER (told = 'duplicate') AS duplicate, count(*) FILTER (told = 'truncated') AS truncated FROM y GROUP BY conv_id),
+g AS (SELECT conv_id, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM y) GROUP BY conv_id),
+e AS (SELECT r.conv_id, min({{'cost': r.best.cost + {INSERT} * z.tail, 'audit': r.best.audit || repeat('I', z.tail)}}) AS best
+  FROM r JOIN n ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.i JOIN (VALUES ({START}, 0), ({SYSTEM}, 2), ({ASKED}, 1), ({ANSWERED}, 0)) z(state, tail) ON z.state = r.state
+  GROUP BY r.conv_id),
+a AS (SELECT conv_id, p, substr(audit, p, 1) AS edit FROM (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS p FROM e)),
+b AS (SELECT *, sum(CAST(edit <> 'I' AS INT)) OVER w AS i, sum(CAST(edit <> 'D' AS INT)) OVER w AS place FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+c AS (SELECT b.*, y.role, y.text, max(CASE WHEN place = 1 AND edit = 'K' AND y.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY b.conv_id) AS systems
+  FROM b JOIN y ON b.conv_id IS NOT DISTINCT FROM y.conv_id AND y.i = greatest(b.i, 1) WHERE edit <> 'D'),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - systems) % 2 = 1 THEN 'user' ELSE 'assistant' END
+  || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS hash FROM c GROUP BY conv_id)
+SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN n ON v.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN g ON v.conv_id IS NOT DISTINCT FROM g.conv_id
+  LEFT JOIN e ON v.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN h ON v.conv_id IS NOT DISTINCT FROM h.conv_id
+"""

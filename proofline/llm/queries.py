@@ -97,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": lines.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op11_merkle_manifest": manifest.oracle(),
+    "op12_conversation_repair": conversations.ORACLE,
 }

@@ -4,6 +4,7 @@ import random
 from hashlib import md5, sha256
 from zlib import crc32
 
+import duckdb
 import pytest
 
 from proofline.llm import conversations, queries
@@ -196,6 +197,15 @@ def test_equal_rows_are_counted_before_they_move(spark):
     assert [(r["role"], r["text"]) for r in rows.orderBy("place").collect()] == [("user", "Again."), ("assistant", "")]
 
 
+def test_sql_equals_a_plain_one(odd, sf_dir):
+    """The SQL of the query, on the given table and on odd rows, but for the long conversation, over which it would recurse."""
+    rows = [r for r in odd[1] if r[0] != 77]
+    duck = duckdb.connect()
+    duck.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    duck.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(duck.sql(queries.ORACLES["op12_conversation_repair"]).fetchall(), key=repr) == plain_query(rows)
+
+
 def test_registered_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, queries.op12_conversation_repair(spark, sf_dir).collect()), key=repr) == plain_query(rows)
