@@ -44,10 +44,13 @@ _AFTER = frozenset("area bar block body box container content count feed group h
 _LAYOUT_FIRST, _LAYOUT_LAST = frozenset("has have with without no not hide is".split()), frozenset("free none off hidden disabled open".split())
 #: A path with such a name counts this much of its ratio.
 PRIOR = 1 / 8
-#: Elements in which a header belongs to the article.
+#: Elements that often hold the article, and in which a header belongs to it.
 OF_ARTICLE = frozenset("article main".split())
-#: Without such an element the text is the innermost element with this share of the page's ratios.
+#: A path within one counts so much more, and the article is the innermost element with this share of the page's ratios.
+ARTICLE_PRIOR = 8
 MOST_OF_PAGE = 0.9
+#: A block straight within the article, or within a part of it that has text at the threshold, stays from this share of it on.
+OF_THRESHOLD = 1 / 6
 #: An element of the key is ended by the start of one of the value, unless one of the last lies between.
 _ENDED_BY = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
@@ -64,7 +67,9 @@ _attribute = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _heading = re.compile(r"h[1-6]$")
 _name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements that may hold a whole article.
-_CONTAINERS = frozenset("html body div section center td blockquote".split())
+_CONTAINERS = frozenset("article main html body div section center td blockquote".split())
+#: Elements that hold blocks of several kinds; lists and tables do not.
+_ENCLOSING = frozenset("address article body center details div fieldset hgroup html legend main section".split())
 #: Elements of lists, tables and captions, which stay with the text around them.
 _PARTS = frozenset("li dt dd td th caption figcaption pre blockquote summary".split())
 
@@ -100,7 +105,7 @@ class Page:
 
     def __init__(self, markup: str) -> None:
         self.blocks: list[Block] = []
-        self.above, self.named = [-1], [False]  # of each path: its parent, and if its last element is named as beside
+        self.above, self.named, self.of_article = [-1], [False], [False]  # of each path: its parent, and if its last element is named as beside, or the first of OF_ARTICLE
         self.parent, self.tag, self.path_of, self.last = [-1], [""], [0], [0]  # of each element; last is its last descendant
         self._paths: dict[tuple[int, str], int] = {}
         self._open, self._of_tag, self._hidden, self._articles = [0], defaultdict(int), [], 0
@@ -129,6 +134,7 @@ class Page:
             path = self._paths[step] = len(self.above)
             self.above.append(step[0])
             self.named.append(beside)
+            self.of_article.append(tag in OF_ARTICLE and not self._articles)
         element = len(self.parent)
         self.parent.append(self._open[-1])
         self.tag.append(tag)
@@ -229,8 +235,8 @@ def ratios(page: Page) -> tuple[list[float], float]:
 
     A path's text ratio is its characters outside links for each block, its punctuation ratio the marks for each
     block. Both are smoothed over the tree of paths and fused as text x (1 + punctuation), times PRIOR for each
-    element on the path that is named as beside the article. The threshold is the standard deviation of the
-    fused ratios of all paths with text, at most their mean.
+    element on the path that is named as beside the article, and ARTICLE_PRIOR within one of OF_ARTICLE. The threshold is
+    the standard deviation of the fused ratios of all paths with text, at most their mean.
     """
     n = len(page.above)
     length, marks, count = [0.0] * n, [0.0] * n, [0] * n
@@ -240,7 +246,7 @@ def ratios(page: Page) -> tuple[list[float], float]:
         count[block.path] += 1
     prior = [1.0] * n
     for path in range(1, n):
-        prior[path] = prior[page.above[path]] * (PRIOR if page.named[path] else 1.0)
+        prior[path] = prior[page.above[path]] * (PRIOR if page.named[path] else 1.0) * (ARTICLE_PRIOR if page.of_article[path] else 1)
     fused = [text * (1 + mark) * p for text, mark, p in zip(_smoothed(page, length, count), _smoothed(page, marks, count), prior)]
     present = [v for v, c in zip(fused, count) if c]
     mean = sum(present) / max(1, len(present))
@@ -250,69 +256,72 @@ def ratios(page: Page) -> tuple[list[float], float]:
 def content_root(page: Page, fused: list[float]) -> int:
     """The element of the article: by the fused ratios of its blocks, which elements add up from the inside out.
 
-    It is the largest ``article``, unless a ``main`` has over twice as much; in a page without these the innermost
-    element that has MOST_OF_PAGE of all.
+    It is the innermost element that has MOST_OF_PAGE of all, or the outermost ``article``, or else ``main``, around that one; the
+    page itself if there is none.
     """
     mass = [0.0] * len(page.parent)
     for block in page.blocks:
         mass[block.element] += fused[block.path]
     for element in range(len(mass) - 1, 0, -1):
         mass[page.parent[element]] += mass[element]
-    largest = {}
-    for element, tag in enumerate(page.tag):
-        if tag in OF_ARTICLE and (tag not in largest or mass[element] > mass[largest[tag]]):
-            largest[tag] = element
-    if largest:
-        article, main = largest.get("article"), largest.get("main")
-        return article if main is None or (article is not None and 2 * mass[article] >= mass[main]) else main
     root = 0
     for element in range(1, len(mass)):
         if page.tag[element] in _CONTAINERS and page.within(element, root) and mass[element] >= MOST_OF_PAGE * mass[0] > 0:
             root = element
+    for tag in ("article", "main"):
+        around = [element for element in range(1, root + 1) if page.tag[element] == tag and page.within(root, element)]
+        if around:
+            return around[0]
     return root
 
 
 def main_text(markup: str | None) -> str:
     """The article of a whole page: the kept blocks in page order, joined by line feeds.
 
-    Kept is what lies in the content root, but for paths that are named as beside the article and whose ratio is
-    below the threshold; outside an ``article`` or ``main`` also but for paths of links. If the page itself or its
-    body is the root, a path must reach the threshold or be part of a list, a table or a caption. A heading also
-    stays if the text that it stands above, beside it or one element further out, is kept. Empty for null, an
-    empty page, or one with nothing but what is left out. Linear in the length of the page and its number of paths.
+    Kept is what lies in the content root and on a path whose ratio reaches the threshold. Of the other paths the short blocks of the
+    article stay: those straight within the root or within an element of it that has a kept path, if they reach
+    OF_THRESHOLD of the threshold; and lists, tables and captions there, but not if most of a path are links. An element
+    all of whose paths are below the threshold goes with what it holds. If the page itself or its body is the root, only kept
+    paths and lists, tables and captions stay. A heading stays if the text that it stands above, beside it or one
+    element further out, is kept. Empty for null, an empty page, or one with nothing but what is left out. Linear in the
+    length of the page and its number of paths.
     """
     page = Page(markup or "")
     fused, threshold = ratios(page)
     root = content_root(page, fused)
-    is_article, is_page = page.tag[root] in OF_ARTICLE, page.tag[root] in ("", "html", "body")
+    is_page = page.tag[root] in ("", "html", "body")
     n = len(page.above)
     length, linked = [0] * n, [0] * n
+    most = [0.0] * len(page.tag)  # of each element: the greatest ratio of a block in it
     for block in page.blocks:
         length[block.path] += len(block.text)
         linked[block.path] += block.linked
-    beside, part, top = [False] * n, [False] * n, page.path_of[root]
-    for path in range(1, n):  # what lies between the root and a path
-        beside[path] = path != top and (page.named[path] or beside[page.above[path]])
-    for element in range(1, len(page.tag)):
-        path = page.path_of[element]
-        part[path] = page.tag[element] in _PARTS or part[page.above[path]]
+        most[block.element] = max(most[block.element], fused[block.path])
+    for element in range(len(most) - 1, 0, -1):
+        most[page.parent[element]] = max(most[page.parent[element]], most[element])
+    low, part = [False] * len(page.tag), [False] * len(page.tag)
+    for element in range(1, len(page.tag)):  # what lies between the root and an element
+        inner, above = element != root and page.within(element, root), page.parent[element]
+        low[element] = inner and (low[above] or (page.tag[element] in _ENCLOSING and most[element] < threshold))
+        part[element] = page.tag[element] in _PARTS or part[above]
 
     def stays(block: Block) -> bool:
-        path = block.path
-        if not page.within(block.element, root):
+        path, element = block.path, block.element
+        if not page.within(element, root):
             return False
         if fused[path] >= threshold:
             return True
-        if beside[path] or (not is_article and 2 * linked[path] > length[path]):
+        around = element if block.element == root or part[element] else page.parent[element]
+        if (low[around] and around != root) or 2 * linked[path] > length[path]:
             return False
-        return part[path] or not is_page
+        return part[element] or (not is_page and fused[path] >= OF_THRESHOLD * threshold)
 
     kept, following, taken_before = [], 0, False  # the element of the last block behind that is no heading, and if it stays
     for block in reversed(page.blocks):
         taken = stays(block)
         if _heading.match(page.tag[block.element]):
             outer = page.parent[page.parent[block.element]] if page.parent[block.element] > 0 else 0
-            taken = taken or (taken_before and page.within(following, outer))
+            taken = taken_before and page.within(following, outer) or (taken and fused[block.path] >= threshold)
         else:
             following, taken_before = block.element, taken
         if taken:

@@ -88,3 +88,34 @@ def test_many_paths_take_linear_time():
         began = time.perf_counter()
         assert html_text.main_text(page).count("\n") >= 40_000  # of nested ones the outermost go
         assert time.perf_counter() - began < 30
+
+
+def test_ratios_decide_on_the_given_pages(monkeypatch):
+    """With the same ratio everywhere half of the given pages come out otherwise: the article's tag alone finds nothing."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    right = [html_text.main_text(page) for page in pages]
+    assert right == [of_article(page) for page in pages]
+    monkeypatch.setattr(html_text, "ratios", lambda page: ([1.0] * len(page.above), 1.0))
+    assert sum(html_text.main_text(page) != text for page, text in zip(pages, right)) >= 0.5 * len(pages)
+
+
+def test_an_embedded_article_is_not_the_page():
+    inner = "<article class=q><p>An embedded post.</p></article>"
+    found = html_text.main_text(f"<body><div class=story><p>{PARAGRAPH}</p>{inner}<p>{PARAGRAPH}</p></div></body>")
+    assert [line for line in found.split("\n") if line != "An embedded post."] == [PARAGRAPH.strip()] * 2
+
+
+def test_teasers_are_not_the_page():
+    teasers = "".join(f"<article><h2>T{i}</h2><p>Teaser {i}, read on.</p></article>" for i in range(3))
+    assert html_text.main_text(f"<body><div class=text>{ARTICLE}</div>{teasers}</body>") == TEXT
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_unnamed_comments_inside_an_article_go(outer):
+    comments = "<section class=x1><h3>Ann</h3><p>Nice read, thanks.</p></section>" * 3
+    assert html_text.main_text(f"<body><{outer}>{ARTICLE}{comments}</{outer}></body>") == TEXT
+
+
+def test_short_blocks_of_an_article_stay():
+    page = f"<article><h1>Title</h1><p class=lead>In short, it is so.</p>{ARTICLE}<h2>More</h2><p>A line, and more.</p><ul><li>one<li>two</ul></article>"
+    assert html_text.main_text(page) == f"Title\nIn short, it is so.\n{TEXT}\nMore\nA line, and more.\none\ntwo"
