@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,8 +40,16 @@ ROWS_OF_TASK, LEAST_TASKS = 20_000, 4
 
 
 def cut_small(df: DataFrame) -> DataFrame:
-    """``cut``, and then read in no more tasks than its rows need: what is left of many partitions is often little."""
-    written = cut(df)
+    """``df`` as a table in the shared checkpoint folder, read in no more tasks than its rows need.
+
+    What is left of many partitions is often little. A checkpoint keeps the plan's estimate of its size, which every join
+    multiplies, so in loops of joins it grows without bound and planning never ends; a table has the size of its files.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
     return written.coalesce(max(LEAST_TASKS, -(-written.count() // ROWS_OF_TASK)))
 
 

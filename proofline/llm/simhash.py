@@ -156,13 +156,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = with_fingerprint(source, "text", "bits").withColumn("key", F.xxhash64("text"))
     if by_shingles:
-        signed = signed.withColumn("s", similar.sign(F.col("text")))
+        signed = signed.withColumns({"s": similar.sign(F.col("text")), "mark": similar.mark_of(F.col("text"))})
     known = cut(signed.drop("text"))
     classes = known.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     edges = links(classes.select("bits"))
     if by_shingles:
         edges = cut_small(edges)
-        edges = edges.union(similar.links(known.select("key", "bits", "s.*"), source.select("text"), edges, components)).distinct()
+        edges = edges.union(similar.links(known.select("key", "mark", "bits", "s.*"), source.select("text"), edges, components)).distinct()
     rooted = (
         classes.join(components(edges).withColumnRenamed("node", "bits"), "bits", "left")
         .withColumn("root", F.coalesce("root", "bits"))

@@ -18,18 +18,17 @@ SHINGLE, LEAST = 5, (4, 5)
 #: least similarity share none of the least m shingles of both with a probability of 0.2^m at most: 7e-12 for 16.
 SKETCH, MEETS = 32, 16
 #: A shingle of more texts than these is met only together with the next one, by texts with too few others; and where
-#: even that has more, texts are compared with so many of those who meet instead of each with each.
+#: even that has more, so many of the most central texts are compared with the others before the rest is.
 MANY, PIVOTS = 64, 8
-#: Bits of a text's SimHash by the same shingles, and the most that differ. Of pairs at the least similarity, which
-#: differ by 19 bits on average, one in 50 million differs by more; texts of fewer shingles are not filtered.
-NEAR_BITS, MOST_APART, LEAST_FILTERED = 128, 44, 64
+#: Texts of fewer shingles than these are not filtered by their SimHash, where that is asked for.
+LEAST_FILTERED = 64
 #: Bits of the filter that keeps texts without a pair out of a shuffle, for each text with one, and most bits (16 MB).
 FILTER_SHARE, FILTER_BITS = 8, 1 << 27
 
 #: Longs of a text's bits: two of its SimHash, and four of the parity of its shingles by the first byte of their hashes.
 _BITS = ["low", "high", "p0", "p1", "p2", "p3"]
-SIGNATURE = f"struct<h:long,n:int,near:struct<{','.join(f'{b}:long' for b in _BITS)}>,sketch:array<long>>"
-_kind = pa.struct([("h", pa.int64()), ("n", pa.int32()), ("near", pa.struct([(b, pa.int64()) for b in _BITS])), ("sketch", pa.list_(pa.int64()))])
+SIGNATURE = f"struct<h:binary,n:int,near:struct<{','.join(f'{b}:long' for b in _BITS)}>,sketch:array<long>>"
+_kind = pa.struct([("h", pa.binary()), ("n", pa.int32()), ("near", pa.struct([(b, pa.int64()) for b in _BITS])), ("sketch", pa.list_(pa.int64()))])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -68,7 +67,7 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def signature(text: str | None) -> dict:
-    """h, the signed 64 bits that stand for a text's words; n, its shingles; near, their SimHash; and their sketch."""
+    """h, the 128 bits that stand for a text's words; n, its shingles; near, their SimHash; and their sketch."""
     found = words(text)
     tokens = _shingles(found)
     again = tokens.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # a second hash of each shingle
@@ -76,13 +75,18 @@ def signature(text: str | None) -> dict:
     odd = np.bincount(tokens.view(np.uint64) >> np.uint64(56), minlength=256) & 1
     parity = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
     return {
-        "h": int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(found))).astype(np.int64)),
+        "h": xxhash.xxh3_128_digest(b" ".join(found)),
         "n": len(tokens),
         "near": dict(zip(_BITS, [_majority(tokens), _majority(again * np.uint64(0xD6E8FEB86659FD93)), *parity])),
         "sketch": tokens[:SKETCH],
     }
 
 
+def mark_of(text: Column) -> Column:
+    """The 128 bits by which a whole text is fetched."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def sign(text: Column) -> Column:
     """``signature`` of each whole text."""
 
@@ -93,10 +97,11 @@ def sign(text: Column) -> Column:
     return of(text)
 
 
-def _may_be_alike() -> Column:
-    """By the sizes of x and y, the parity of their shingles, and their SimHash.
+def _may_be_alike(most_apart: int | None) -> Column:
+    """By the sizes of x and y, the parity of their shingles, and, if ``most_apart`` is given, their SimHash.
 
-    At a similarity of 0.8 the sets differ by a ninth of their sizes' sum at most, and so do their parities.
+    At a similarity of 0.8 the sets differ by a ninth of their sizes' sum at most, and so do their parities. That loses nothing;
+    a bound on the differing bits of the SimHash does: pairs at 0.8 differ by 19 of 128 on average, one in 50 million by over 44.
     """
     part, whole = LEAST
 
@@ -106,7 +111,9 @@ def _may_be_alike() -> Column:
     both = F.col("x.n") + F.col("y.n")
     sizes = whole * F.least("x.n", "y.n") >= part * F.greatest("x.n", "y.n")
     few_differ = (part + whole) * apart(_BITS[2:]) <= (whole - part) * both
-    return sizes & few_differ & ((F.least("x.n", "y.n") < LEAST_FILTERED) | (apart(_BITS[:2]) <= MOST_APART))
+    if most_apart is None:
+        return sizes & few_differ
+    return sizes & few_differ & ((F.least("x.n", "y.n") < LEAST_FILTERED) | (apart(_BITS[:2]) <= most_apart))
 
 
 def _filter_of(keys: DataFrame) -> bytes:
@@ -131,7 +138,7 @@ def _filter_of(keys: DataFrame) -> bytes:
 def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs of x and y (h, bits) the bits (a, b) of those whose texts are alike.
 
-    Each text that has a pair is fetched once, by a hash of the whole text; a filter of bounded size keeps the
+    Each text that has a pair is fetched once, by digests of the whole text; a filter of bounded size keeps the
     others where they are.
     """
 
@@ -150,7 +157,7 @@ def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
     sides = pairs.select(low.alias("x"), high.alias("y"))
     sides = cut_small(sides.select(F.col("x.h").alias("p"), F.col("y.h").alias("q"), F.col("x.bits").alias("a"), F.col("y.bits").alias("b")).distinct())
     needed = sides.select(F.col("p").alias("h")).union(sides.select("q")).distinct()
-    needed = cut_small(needed.join(once.select("h", "key"), "h"))
+    needed = cut_small(needed.join(once.select("h", "key", "mark"), "h"))
     shipped = texts.sparkSession.sparkContext.broadcast(_filter_of(needed.select("key")))
 
     @F.arrow_udf("boolean")
@@ -160,7 +167,7 @@ def _verified(pairs: DataFrame, once: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.array((filled[at >> 3] >> (at & 7) & 1).astype(bool))
 
     wanted = bounded_batches(texts).select("text", F.xxhash64("text").alias("key")).where(may_be_needed("key"))
-    named = wanted.join(needed, "key").groupBy("h").agg(F.min("text").alias("text"))
+    named = wanted.withColumn("mark", mark_of(F.col("text"))).join(needed, ["key", "mark"]).groupBy("h").agg(F.min("text").alias("text"))
     named = cut(named)
     sided = sides.join(named.select(F.col("h").alias("p"), F.col("text").alias("left")), "p").join(
         named.select(F.col("h").alias("q"), F.col("text").alias("right")), "q"
@@ -201,32 +208,54 @@ def _meetings(once: DataFrame) -> DataFrame:
     return cut_small(keyed.join(shared, "key").join(described, "h").select("key", "many", F.struct("h", "bits", "n", "near", "weight").alias("y")))
 
 
-def links(signed: DataFrame, texts: DataFrame, known_links: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links(
+    signed: DataFrame, texts: DataFrame, known_links: DataFrame, components: Callable[[DataFrame], DataFrame], most_apart: int | None = None
+) -> DataFrame:
     """Pairs (a, b) of bits that connect, with ``known_links``, the texts that are alike.
 
-    ``signed`` has key (xxhash64 of the text), bits (a function of its words) and the fields of ``signature``.
-    Texts meet at keys of their sketches. First the most central of those who meet is compared with the others.
-    Then, where those who meet are not yet all connected, all pairs from different components are; so of up to MANY
-    texts no link is lost. More texts meet only where each of two neighbouring shingles is that common: they are
-    many edited copies of some text. There the most central texts of the PIVOTS most central components are compared
-    with all others. Two copies that share no rarer shingle differ from the common text by less than from each
-    other, so they are linked through it if it is there. The work grows with the texts who meet, not with their square. Sizes, parities and
-    SimHash bits thin the pairs out; the words of the rest are compared. Equal words are one text.
+    ``signed`` has key (xxhash64 of the text), mark (``mark_of`` it), bits (a function of its words) and the fields of
+    ``signature``. Texts meet at keys of their sketches, and every two texts that meet are compared unless they are connected
+    already, so no link is lost; the order of comparisons keeps their number down. First the most central of those who meet is
+    compared with the others. Then, where up to MANY meet, all pairs from different components are. Where more meet, each of two
+    neighbouring shingles is that common: they are many edited copies of some text, and nearly all of them are connected through
+    the most central ones. So there the most central texts of the PIVOTS most central components are compared with all others,
+    again and again while that halves the components at such keys; in the end each text outside the largest component of a
+    key is compared with all texts of other components. Sizes and parities of shingles (and with ``most_apart`` SimHash
+    bits) thin the pairs out; the words of the rest are compared. Equal words are one text.
     """
-    once = cut(signed.groupBy("h").agg(F.any_value(F.struct("key", "bits", "n", "near", "sketch")).alias("s")).select("h", "s.*"))
+    may_be = _may_be_alike(most_apart)
+    once = cut(signed.groupBy("h").agg(F.any_value(F.struct("key", "mark", "bits", "n", "near", "sketch")).alias("s")).select("h", "s.*"))
     members = _meetings(once)
     pivots = cut_small(members.groupBy("key").agg(F.max_by("y", F.struct("y.weight", "y.h")).alias("x")))  # a table, so that a key of many is split in the join
-    first = _verified(members.join(pivots, "key").where((F.col("x.bits") != F.col("y.bits")) & _may_be_alike()), once, texts)
-    now = known_links.union(first)
+    found = _verified(members.join(pivots, "key").where((F.col("x.bits") != F.col("y.bits")) & may_be), once, texts)
+
+    def still_apart(among: DataFrame) -> DataFrame:
+        """key, y and root of the members of keys at which several components meet."""
+        rooted = among.select("key", "many", "y").join(components(known_links.union(found)).withColumnRenamed("node", "bits"), F.col("y.bits") == F.col("bits"), "left")
+        rooted = cut(rooted.select("key", "many", "y", F.coalesce("root", "y.bits").alias("root")))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        return cut_small(rooted.join(cut_small(apart), "key"))
 
-    rooted = members.join(components(now).withColumnRenamed("node", "bits"), F.col("y.bits") == F.col("bits"), "left")
-    rooted = cut(rooted.select("key", "many", "y", F.coalesce("root", "y.bits").alias("root")))
-    apart = cut_small(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-    rooted = cut_small(rooted.join(apart, "key"))
+    rooted = still_apart(members)
     few, many = rooted.where("not many"), rooted.where("many")
-    pairs = few.select("key", F.col("y").alias("x"), F.col("root").alias("of")).join(few, "key").where((F.col("of") < F.col("root")) & _may_be_alike())
-    central = many.groupBy("key", "root").agg(F.max_by("y", F.struct("y.weight", "y.h")).alias("x")).withColumnRenamed("root", "of")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("x.weight"), "x.h"))
-    central = cut_small(central.withColumn("nth", nth).where(F.col("nth") <= PIVOTS))
-    crossed = many.join(central, "key").where((F.col("of") != F.col("root")) & _may_be_alike())
-    return first.union(_verified(pairs.select("x", "y").union(crossed.select("x", "y")), once, texts))
+    pairs = few.select("key", F.col("y").alias("x"), F.col("root").alias("of")).join(few, "key").where((F.col("of") < F.col("root")) & may_be).select("x", "y")
+    held = many.select("key", "root").distinct().count()
+    while True:
+        central = many.groupBy("key", "root").agg(F.max_by("y", F.struct("y.weight", "y.h")).alias("x")).withColumnRenamed("root", "of")
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("x.weight"), "x.h"))
+        central = cut_small(central.withColumn("nth", nth).where(F.col("nth") <= PIVOTS))
+        crossed = many.join(central, "key").where((F.col("of") != F.col("root")) & may_be).select("x", "y")
+        found = found.union(_verified(pairs.union(crossed), once, texts))
+        if not held:
+            return found
+        many, before = still_apart(many), held
+        held, pairs = many.select("key", "root").distinct().count(), crossed.limit(0)
+        if not held:
+            return found
+        if 2 * held > before:
+            break
+    sizes = many.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = cut_small(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest")))
+    outside = cut_small(many.join(largest, "key").where("root <> largest").select("key", F.col("y").alias("x"), F.col("root").alias("of")))
+    rest = many.join(largest, "key").join(outside, "key").where((F.col("of") != F.col("root")) & ((F.col("root") == F.col("largest")) | (F.col("of") < F.col("root"))) & may_be)
+    return found.union(_verified(rest.select("x", "y"), once, texts))

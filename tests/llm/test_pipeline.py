@@ -101,8 +101,8 @@ def test_run_of_an_empty_table(spark, tmp_path):
 
 def test_every_number_is_registered():
     names = list(__spark_entry__.queries())
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == [n for n in names if n.startswith("op")]
-    assert sum(n.startswith("op") for n in names) == 10 and "pipeline" in names
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == [n for n in names if n.startswith("op")]
+    assert sum(n.startswith("op") for n in names) == 13 and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", ["op4_line_dedup", "op6_mixing"])

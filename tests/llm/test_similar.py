@@ -72,3 +72,17 @@ def test_near_copies_of_the_given_documents_go(spark, sf_dir):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
     assert sorted(kept) == plain_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert not {145, 177} & kept  # alike, but 7 and 11 bits apart
+
+
+def test_a_large_family_without_a_centre_is_not_torn_apart(spark):
+    """Ten places with one of twelve words each: more components than are compared at once, and links off the centre."""
+    chance = random.Random(5)
+    rows = []
+    for i in range(900):
+        found = [f"b{k}" for k in range(300)]
+        for k in range(10):
+            found[15 + 28 * k] = f"v{15 + 28 * k}_{chance.randrange(12)}"
+        rows.append((i, " ".join(found)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert len(kept) == 3 and kept == plain_kept(rows)
