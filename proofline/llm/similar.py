@@ -254,8 +254,13 @@ def links(
             return found
         if 2 * held > before:
             break
+    # a pair is compared at the least of the keys that both have, and so once
+    keys = cut_small(many.groupBy(F.col("y.h").alias("h")).agg(F.collect_set("key").alias("keys")))
+    many = cut_small(many.join(keys, F.col("y.h") == F.col("h")).drop("h"))
     sizes = many.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = cut_small(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest")))
-    outside = cut_small(many.join(largest, "key").where("root <> largest").select("key", F.col("y").alias("x"), F.col("root").alias("of")))
-    rest = many.join(largest, "key").join(outside, "key").where((F.col("of") != F.col("root")) & ((F.col("root") == F.col("largest")) | (F.col("of") < F.col("root"))) & may_be)
+    outside = many.join(largest, "key").where("root <> largest").select("key", F.col("y").alias("x"), F.col("root").alias("of"), F.col("keys").alias("other_keys"))
+    apart = (F.col("of") != F.col("root")) & ((F.col("root") == F.col("largest")) | (F.col("of") < F.col("root")))
+    first_key = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
+    rest = many.join(largest, "key").join(cut_small(outside), "key").where(apart & may_be & first_key)
     return found.union(_verified(rest.select("x", "y"), once, texts))
