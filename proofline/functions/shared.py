@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint, so that its plan is neither run again nor lost with an executor.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
-    The folder is that of ``spark.checkpoint.dir``. Where it is unset a temporary one takes its place if all tasks run
-    on this machine; on a cluster that is an error.
+    Where it is unset a temporary one takes its place if all tasks run on this machine; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name for a folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, so that its plan is neither run again nor lost with an executor."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()

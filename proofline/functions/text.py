@@ -48,14 +48,17 @@ def tokens(text: Column) -> Column:
     """
     plainly = text.rlike(_FOLDED_PLAINLY)
     folded = F.when(plainly, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(fold_compatibility(F.when(~plainly, text)))
-    runs = F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(1))
 
     def parts(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
-    plain = F.regexp_extract_all(folded, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))  # much cheaper, and the same without Han
-    return F.when(folded.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, parts))).otherwise(plain)
+    def split(once: Column) -> Column:
+        plain = F.regexp_extract_all(once, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))  # much cheaper, and the same without Han
+        runs = F.regexp_extract_all(once, F.lit(TOKEN), F.lit(1))
+        return F.when(once.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, parts))).otherwise(plain)
+
+    return F.transform(F.array(folded), split)[0]  # a variable of a lambda is computed once, however often it is named
 
 
 def fold_compatibility(text: Column) -> Column:

@@ -47,6 +47,38 @@ def cosine_top_k(
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def scoped_cosine_top_k(corpus: DataFrame, queries: DataFrame, scopes: DataFrame, k: int, part_of: str, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """The ``k`` rows of each query's own scope most similar to it: query_id, vec_id, score, rank.
+
+    ``scopes`` (query_id, scope) names the values of ``part_of`` that a query (query_id, query_vector) may search; a query without a
+    scope finds nothing, and null is in no scope. Candidates meet queries by part, in blocks of a part, so no vector is scored
+    for a query whose scope it is outside of, and rows of parts that nobody names don't move. Ties go to the smaller id;
+    null and zero vectors take no part. Only ``k`` rows for each query leave a block.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    scope = scopes.select("query_id", F.col("scope").alias("part")).where("part is not null").distinct()
+    asked = queries.select("query_id", F.col("query_vector").alias("v")).where("v is not null").join(scope, "query_id")
+    rows = corpus.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), F.col(part_of).alias("part")).where("v is not null")
+    rows = rows.join(scope.select("part").distinct(), "part", "left_semi")
+    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    left = rows.join(sizes, "part").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    asks = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("query_blocks"))
+    left = left.join(asks, "part").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
+    right = asked.join(sizes, "part").join(asks, "part").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")))
+    right = right.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def search(mine: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
+        if not (len(mine) and len(those)):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return _best(_unit(mine["v"], 0, None), mine["vec_id"].to_numpy(), _unit(those["v"], 0, None), those["query_id"].tolist(), k)
+
+    keys, columns = ["part", "b", "q"], lambda df, id_: df.select("part", "b", "q", id_, "v")
+    met = columns(left, "vec_id").groupBy(*keys).cogroup(columns(right, "query_id").groupBy(*keys)).applyInPandas(search, HITS)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 HITS = "query_id long, vec_id long, score double"
 
 

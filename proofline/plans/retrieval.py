@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.shared import written
+from proofline.functions.shared import shared_folder, written
 from proofline.functions.text import reference_penalty, token_budget, tokens
-from proofline.operators import fusion, lexical, metrics, vector
+from proofline.operators import fusion, lexical, metrics, postings, vector
 from proofline.sources.collections import read_table
 
 TOP = 10
@@ -44,6 +44,49 @@ WITH docs AS (SELECT doc_id, text FROM documents), queries AS (SELECT item_id AS
 SELECT query_id, doc_id, CAST(rank AS INT) AS rank, round(s, 6) AS bm25_score FROM ranked"""
 
 
+def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item may search the sources whose number is its id by three, so scopes differ and overlap."""
+    sources = read_table(spark, sf_dir, "documents").select(F.col("source").alias("scope")).where("scope is not null").distinct()
+    number = F.regexp_extract("scope", "[0-9]+", 0).cast("int")
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("third"))
+    return sources.withColumn("third", number % 3).join(items, "third").select("query_id", "scope")
+
+
+def scoped_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.scoped_bm25(read_table(spark, sf_dir, "documents"), _questions(spark, sf_dir), _scopes(spark, sf_dir), TOP)
+    return found.select("query_id", "doc_id", "rank", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+SCOPED_BM25 = f"""
+WITH words AS (SELECT doc_id, CAST(regexp_extract(source, '[0-9]+') AS INT) % 3 AS third, coalesce({_TOKENS.format('text')}, []) AS toks FROM documents WHERE source IS NOT NULL),
+totals AS (SELECT third, count(*) AS n, avg(len(toks)) AS mean FROM words GROUP BY third),
+asked AS (SELECT DISTINCT item_id AS query_id, item_id % 3 AS third, unnest({_TOKENS.format('text')}) AS token FROM benchmark),
+postings AS (SELECT third, doc_id, length, token, count(*) AS tf FROM (SELECT third, doc_id, len(toks) AS length, unnest(toks) AS token FROM words)
+             WHERE token IN (SELECT token FROM asked) GROUP BY ALL),
+weights AS (SELECT third, token, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, mean FROM (SELECT third, token, count(*) AS df FROM postings GROUP BY ALL) JOIN totals USING (third)),
+scored AS (SELECT query_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS s
+           FROM postings JOIN weights USING (third, token) JOIN asked USING (third, token) GROUP BY ALL)
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, CAST(doc_id AS VARCHAR)) AS INT) AS rank, round(s, 6) AS bm25_score
+FROM scored WHERE s > 0 QUALIFY rank <= {TOP}"""
+
+
+def stored_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index is built in the shared folder and then asked; the result is that of ``bm25_topk``."""
+    folder = shared_folder(spark, "postings")
+    postings.build(read_table(spark, sf_dir, "documents"), folder)
+    found = postings.search(spark, folder, _questions(spark, sf_dir), TOP)
+    return found.select("query_id", "doc_id", "rank", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+def scoped_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each asking vector searches the labels that leave the same remainder by three as its id."""
+    found, asking = _asking(spark, sf_dir)
+    labels = found.select(F.col("label").alias("scope")).where("scope is not null").distinct().withColumn("third", F.col("scope") % 3)
+    scopes = asking.select("query_id", (F.col("query_id") % 3).alias("third")).join(labels, "third").select("query_id", "scope")
+    hits = vector.scoped_cosine_top_k(found, asking, scopes, TOP, "label")
+    return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 def token_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.document_frequencies(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("token", "df", F.round("idf", 6).alias("idf"))
@@ -91,6 +134,12 @@ SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 FROM scores QUALIFY rank <= {TOP}"""
 
 
+SCOPED_COSINE = f"""
+WITH {_COSINES.format(part='')}
+SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INT) AS rank, round(s, 6) AS score
+FROM scores JOIN (SELECT vec_id, label FROM embeddings) l USING (vec_id) WHERE label % 3 = query_id % 3 QUALIFY rank <= {TOP}"""
+
+
 def dense_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector.cosine_top_k(*_asking(spark, sf_dir), 50, threshold=0.3)
     return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
@@ -281,9 +330,12 @@ FROM documents"""
 
 QUERIES = {
     "bm25_topk": (bm25_topk, BM25_TOPK),
+    "scoped_bm25": (scoped_bm25, SCOPED_BM25),
+    "stored_bm25": (stored_bm25, BM25_TOPK),
     "token_document_frequency": (token_document_frequency, TOKEN_DF),
     "doc_length_stats": (doc_length_stats, DOC_LENGTH_STATS),
     "dense_cosine_topk": (dense_cosine_topk, DENSE_TOPK),
+    "scoped_cosine": (scoped_cosine, SCOPED_COSINE),
     "dense_threshold": (dense_threshold, DENSE_THRESHOLD),
     "hybrid_rrf": (hybrid_rrf, HYBRID_RRF),
     "weighted_rrf": (weighted_rrf, WEIGHTED_RRF),
