@@ -184,15 +184,15 @@ def guard_answer(answer: str | None, source_count: int | None) -> tuple[str, str
     """
     text = normalize_citations(answer or "", source_count or 0)
     cited = [int(n) for n in _CITED.findall(text or "")]
-    checks = {
-        "no_evidence": not source_count,
-        "empty_answer": not (answer or "").strip(),
-        "malformed_citation": text is None,
-        "insufficient_evidence": text is not None and refuses(text),
-        "malformed_citation ": text is not None and bool(_LOOKS_CITED.search(_CITED.sub("", text))),
-        "invalid_or_missing_citation": not cited or max(cited) > (source_count or 0),
-    }
-    failed = next((name.strip() for name, holds in checks.items() if holds), None)
+    checks = [
+        ("no_evidence", not source_count),
+        ("empty_answer", not (answer or "").strip()),
+        ("malformed_citation", text is None),
+        ("insufficient_evidence", text is not None and refuses(text)),
+        ("malformed_citation", text is not None and bool(_LOOKS_CITED.search(_CITED.sub("", text)))),
+        ("invalid_or_missing_citation", not cited or max(cited) > (source_count or 0)),
+    ]
+    failed = next((name for name, holds in checks if holds), None)
     return (NO_EVIDENCE, failed) if failed else (text, "passed" if text == answer else "normalized_citations")
 
 

@@ -25,15 +25,20 @@ def tokens(text: str) -> int:
 
 
 def parts_of(text: str, most: int) -> list[str]:
-    """A text in parts of at most ``most`` tokens, by sentences, and by words where a sentence is longer."""
+    """A text whole if it has ``most`` tokens at most, else in such parts, by sentences, and by words where a sentence is longer."""
+    text = text.strip()
+    if tokens(text) <= most:
+        return [text] if text else []
+    sentences = list(filter(None, map(str.strip, _SENTENCE_END.split(text))))
+    pieces = [piece for sentence in sentences for piece in ([sentence] if tokens(sentence) <= most else _by_words(sentence, most))]
+    if len(sentences) == 1:
+        return pieces
     parts: list[str] = []
-    for sentence in filter(None, map(str.strip, _SENTENCE_END.split(text))):
-        pieces = [sentence] if tokens(sentence) <= most else _by_words(sentence, most)
-        for piece in pieces:
-            if parts and len(pieces) == 1 and tokens(f"{parts[-1]} {piece}") <= most:
-                parts[-1] = f"{parts[-1]} {piece}"
-            else:
-                parts.append(piece)
+    for piece in pieces:
+        if parts and tokens(f"{parts[-1]} {piece}") <= most:
+            parts[-1] = f"{parts[-1]} {piece}"
+        else:
+            parts.append(piece)
     return parts
 
 
@@ -101,12 +106,12 @@ def paper_chunks(blocks: list[dict], title: str, authors: list[str], target: int
     by_id = {b["block_id"]: b for b in blocks}
     drafts: list[dict] = []
 
-    def add(kind: str, text: str, sources: list[str], at: int, part: int, count: int, context: list[str] = (), rows: tuple = (None, None), warning: str | None = None) -> None:
+    def add(kind: str, text: str, sources: list[str], at: int, part: int, count: int, context: list[str] = (), rows: tuple = (None, None), warning: str | None = None, path: list[str] | None = None) -> None:
         pages = [by_id[i]["page"] for i in sources if by_id[i]["page"] is not None]
         drafts.append(
             {
                 "content_type": kind, "text": text, "source_block_ids": list(dict.fromkeys(sources)), "context_block_ids": list(dict.fromkeys(context)), "at": at,
-                "part_index": part, "part_count": count, "section_path": list(by_id[sources[0]]["section_path"] or []), "page_start": min(pages, default=None),
+                "part_index": part, "part_count": count, "section_path": path or list(by_id[sources[0]]["section_path"] or []), "page_start": min(pages, default=None),
                 "page_end": max(pages, default=None), "row_start": rows[0], "row_end": rows[1], "warnings": [warning] if warning else [], "token_count": tokens(text),
             }
         )
@@ -115,13 +120,18 @@ def paper_chunks(blocks: list[dict], title: str, authors: list[str], target: int
         return any(str(s).strip().lower().startswith(names) for s in block["section_path"] or [])
 
     prose = [b for b in blocks if b["type"] in ("paragraph", "list_item") and (b["text"] or "").strip()]
-    abstract = [b for b in prose if in_section(b, "abstract")]
-    if abstract:
-        head = "\n".join(filter(None, [title, ", ".join(authors)]))
-        units = [(b["block_id"], part) for b in abstract for part in parts_of(b["text"], max(1, most - tokens(head)))]
-        groups = packed(units, max(1, target - tokens(head)), max(1, most - tokens(head)))
-        for n, group in enumerate(groups, 1):
-            add("abstract", "\n\n".join(filter(None, [head, *[t for _, t in group]])), [i for i, _ in group], by_id[group[0][0]]["ord"], n, len(groups))
+    def is_abstract(block: dict) -> bool:
+        return any(str(s).strip().lower() == "abstract" for s in block["section_path"] or [])
+
+    abstract = [b for b in prose if is_abstract(b)]
+    if abstract:  # title, authors and the word come with every part; the title's block is a source too
+        head = "\n".join(filter(None, [title, ", ".join(authors), "Abstract"]))
+        sources = [b for b in blocks if b["type"] == "title"] + abstract
+        units = parts_of("\n\n".join(b["text"] for b in abstract), max(1, most - tokens(head)))
+        for n, unit in enumerate(units, 1):
+            text = f"{head}\n\n{unit}"
+            over = "oversized_atomic_unit" if tokens(text) > most else None
+            add("abstract", text, [b["block_id"] for b in sources], min(b["ord"] for b in sources), n, len(units), warning=over, path=["Abstract"])
 
     captions: dict[str, list[dict]] = {}
     for b in blocks:
@@ -148,7 +158,7 @@ def paper_chunks(blocks: list[dict], title: str, authors: list[str], target: int
 
     run: list[dict] = []
     for b in [*blocks, None]:
-        candidate = b is not None and b["type"] in ("paragraph", "list_item") and (b["text"] or "").strip() and b["block_id"] not in special and not in_section(b, "abstract", "reference")
+        candidate = b is not None and b["type"] in ("paragraph", "list_item") and (b["text"] or "").strip() and b["block_id"] not in special and not is_abstract(b) and not in_section(b, "reference")
         if run and (not candidate or list(b["section_path"] or []) != list(run[0]["section_path"] or [])):
             groups = packed([(x["block_id"], part) for x in run for part in parts_of(x["text"], most)], target, most)
             for n, group in enumerate(groups, 1):
@@ -194,7 +204,7 @@ def structure_chunks(blocks: DataFrame, papers: DataFrame, target: int = 600, mo
             out.append({"paper_id": paper, "chunk_index": n, **d})
         return pd.DataFrame(out, columns=[column.split()[0] for column in re.split(r",\s*", CHUNK)])
 
-    return joined.groupBy("paper_id").applyInPandas(fold, CHUNK)
+    return joined.groupBy("paper_id").applyInPandas(fold, CHUNK.replace("paper_id long", f"paper_id {blocks.schema['paper_id'].dataType.simpleString()}"))
 
 
 def chunk_stats(chunks: DataFrame, most: int = 900) -> DataFrame:

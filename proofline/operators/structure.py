@@ -15,9 +15,12 @@ from proofline.functions import boxes
 SPANNING_WIDTH, GUTTER, COLUMN_GAP = 0.72, 0.04, 0.015
 #: Headings of the first level, and the numbered and lettered forms.
 TOP_HEADINGS = frozenset(
-    "abstract introduction background method methods methodology experiments results discussion conclusion conclusions acknowledgements"
-    " acknowledgments references bibliography appendix".split()
-)
+    (
+        "abstract", "references", "bibliography", "acknowledgment", "acknowledgments", "acknowledgement", "acknowledgements", "limitations",
+        "ethics statement", "appendix", "introduction", "related work", "background", "method", "methods", "results", "discussion", "conclusion",
+        "conclusions",
+    )
+)
 _NUMBERED, _LETTERED = re.compile(r"^(\d+(?:\.\d+)*)[.)]?\s+\S"), re.compile(r"^([A-Z](?:\.\d+)*)[.)]?\s+\S")
 
 
@@ -115,6 +118,11 @@ def special_sections(paths: DataFrame) -> DataFrame:
     return paths.withColumn("section_kind", F.get(F.reverse(F.array_compact(kinds)), F.lit(0)))
 
 
+def _typed(blocks: DataFrame) -> str:
+    """The paper's id as it is in ``blocks``: stored papers have strings."""
+    return f"paper_id {blocks.schema['paper_id'].dataType.simpleString()}"
+
+
 def figure_claims(blocks: DataFrame) -> DataFrame:
     """(paper_id, caption_ord, figure_ord): captions in order, each with the nearest figure of its page that no caption before has.
 
@@ -138,7 +146,7 @@ def figure_claims(blocks: DataFrame) -> DataFrame:
                 free = free[free["ord"] != nearest["ord"]]
         return pd.DataFrame(found, columns=["paper_id", "caption_ord", "figure_ord"])
 
-    return told.groupBy("paper_id").applyInPandas(fold, "paper_id long, caption_ord int, figure_ord int")
+    return told.groupBy("paper_id").applyInPandas(fold, f"{_typed(blocks)}, caption_ord int, figure_ord int")
 
 
 def heading_level(text: str, ancestors: list[tuple[int, str]]) -> int:
@@ -173,7 +181,7 @@ def section_paths(blocks: DataFrame) -> DataFrame:
             rows.append((paper["paper_id"].iloc[0], ord_, level, [title for _, title in stack]))
         return pd.DataFrame(rows, columns=["paper_id", "ord", "level", "section_path"])
 
-    return blocks.groupBy("paper_id").applyInPandas(fold, "paper_id long, ord int, level int, section_path array<string>")
+    return blocks.groupBy("paper_id").applyInPandas(fold, f"{_typed(blocks)}, ord int, level int, section_path array<string>")
 
 
 def label_number(text: Column, kind: str) -> Column:

@@ -76,6 +76,12 @@ def test_table_cells(spark):
     for raw in bad:
         with pytest.raises(ValueError):
             tables.table_cells(raw)
+    assert tables.table_cells(f"<html><body class=x>{GOOD.replace('<b>2</b>', '<span style=y>2</span>')}</body></html>") == cells
+    for raw in (GOOD.replace("<td>c", "<td onclick=x>c"), GOOD.replace("<table>", "<table onload=x>"), GOOD.replace("<b>2</b>", "<b>2</i>"), GOOD.replace("rowspan=2", "rowspan=501"),
+                "<table>" + "<tr><td>x</td></tr>" * 501 + "</table>", GOOD.replace("<br>", "<b/>")):
+        with pytest.raises(ValueError):
+            tables.table_cells(raw)
+    assert len(tables.table_cells("<table>" + "<tr><td>x</td></tr>" * 500 + "</table>")) == 500
     frame = tables.explode_cells(spark.createDataFrame([(1, GOOD), (2, "x"), (3, None)], "id long, html string"), "id", "html")
     assert frame.where("error is null").count() == 7 and values(frame.where("error is not null"), "table_id") == [(2,), (3,)]
     assert values(tables.header_paths(frame), "table_id", "col", "path") == [(1, 0, ["Head"]), (1, 1, ["Head"]), (1, 2, ["x"])]

@@ -391,6 +391,16 @@ def test_section_paths(spark):
     assert paths[1] == ["Abstract"] and paths[4] == ["1 Introduction", "1.2 Scope"] and paths[7] == ["2. Method", "Details"] and paths[8] == ["References"]
 
 
+def test_sections_of_stored_papers(spark):
+    """Ids of stored papers are strings; an unnumbered Related Work is of the first level."""
+    heads = [("heading", "1 Introduction"), ("heading", "1.1 Scope"), ("heading", "Related Work"), ("text", "a"), ("heading", "Experiments"), ("text", "b")]
+    rows = spark.createDataFrame([("p1", 1, i, k, t) for i, (k, t) in enumerate(heads)], "paper_id string, page int, ord int, type string, text string")
+    paths = [r["section_path"] for r in structure.section_paths(rows).orderBy("ord").collect()]
+    assert paths[3] == ["Related Work"] and paths[5] == ["Related Work", "Experiments"]
+    blocks = spark.createDataFrame([("p1", 1, 0, "figure", ""), ("p1", 1, 1, "caption", "Figure 1: x")], rows.schema)
+    assert values(structure.figure_claims(blocks), "paper_id", "figure_ord") == [("p1", 0)]
+
+
 def test_captions_and_boxes(spark):
     rows = [(1, 1, 1, "table", ""), (1, 1, 2, "caption", "Table 1: x"), (1, 1, 3, "table", ""), (1, 1, 4, "caption", "Figure 2"), (1, 1, 9, "figure", "")]
     blocks = spark.createDataFrame(rows, "paper_id long, page int, ord int, type string, text string")
@@ -414,6 +424,10 @@ def test_claim_replies():
                 reply(claims=claim("Two. Sentences here.")), reply(claims=claim("- item")), reply(claims=claim("cited [S1]")), reply(claims=claim() * 2), reply(claims=claim("x" * 1201)),
                 '{"status": "answered", "status": "answered", "claims": []}', '{"status": NaN, "claims": []}'):
         assert claims.read_claims(bad, known) == ("invalid", []), bad
+    for text in ("code `x` here", "a <a href=x> tag", "a <h1> tag", "［S1］ cited", "【 s1】 cited", "two\nlines", "two\u2028lines", "# head", "甲。乙", "It is. So (there)"):
+        assert claims.read_claims(reply(claims=claim(text)), known) == ("invalid", []), text
+    for text in ("It is 3.5 of Fig. 2, e.g. so.", "Let $a. b$ be it!”", "中文。", "No stop", "A; b"):
+        assert claims.read_claims(reply(claims=claim(text)), known)[0] == "answered", text
 
 
 def test_verdicts_of_all_states(spark):
@@ -540,11 +554,12 @@ def test_identifiers_and_language(spark):
 
 def test_claim_units(spark):
     answer = "# Title\nThe findings:\nOne thing holds. [S1][S2] Another one! [S3]\nOk.\n中文结论。[S1]"
-    assert claims.claim_units(answer) == ["One thing holds. [S1][S2]", "Another one! [S3]", "中文结论。 [S1]"]
+    assert claims.claim_units(answer) == ["One thing holds.", "[S1][S2] Another one!", "中文结论。[S1]"]
+    assert claims.claim_units("甲是乙。丙是丁。结束了。") == ["甲是乙。丙是丁。结束了。"]
     more = "## Head\n1. **Part**:\nAs Fig. 2 of Lee et al. shows, it is so. But e.g. not here: it fails.\nShort lead:\nIn a sentence. Then this:\n"
     assert claims.claim_units(more) == ["As Fig. 2 of Lee et al. shows, it is so.", "But e.g. not here: it fails.", "In a sentence.", "Then this:"]
     rows = claims.claims_of_answers(spark.createDataFrame([(1, answer), (2, None)], "answer_id long, answer string"))
-    assert values(rows, "position", "citations") == [(0, [1, 2]), (1, [3]), (2, [1])]
+    assert values(rows, "position", "citations") == [(0, []), (1, [1, 2]), (2, [1])]
     judged = spark.createDataFrame([([1], True), ([], True)], "citations array<int>, supported boolean")
     assert values(claims.no_evidence_no_support(judged), "supported") == [(False,), (True,)]
 

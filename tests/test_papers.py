@@ -39,7 +39,8 @@ def test_kinds_and_order(chunks):
     rows = chunks.where("paper_id = 1").orderBy("chunk_index").collect()
     assert [r["content_type"] for r in rows] == ["abstract", "paragraph", "table", "table", "paragraph", "paragraph", "figure", "formula"]
     assert all(r["token_count"] <= 28 and r["token_count"] == papers.tokens(r["text"]) for r in rows)
-    assert rows[0]["text"].startswith("The Paper\nA B, C D\n\nabs0") and rows[0]["retrieval_text"].startswith("The Paper\nAbstract\n")
+    assert rows[0]["text"].startswith("The Paper\nA B, C D\nAbstract\n\nabs0") and rows[0]["retrieval_text"].startswith("The Paper\nAbstract\n")
+    assert rows[0]["source_block_ids"] == ["b0", "b1"] and rows[0]["section_path"] == ["Abstract"]
     assert rows[1]["source_block_ids"] == ["b2", "b3"] and (rows[1]["page_start"], rows[1]["page_end"]) == (1, 2)
     assert [(r["row_start"], r["row_end"]) for r in rows[2:4]] == [(1, 2), (3, 4)] or rows[2]["row_start"] == 1
     assert all(r["text"].startswith("Table 1: numbers\n| a | b |\n| --- | --- |") for r in rows if r["content_type"] == "table")
@@ -49,7 +50,7 @@ def test_kinds_and_order(chunks):
 
 def test_a_paper_without_anything_but_text(chunks):
     row = chunks.where("paper_id = 2").first()
-    assert row["text"] == "Only this. And 中文。 再来" and row["retrieval_text"].startswith("two.pdf\n") and row["page_start"] is None and row["section_path"] == []
+    assert row["text"] == "Only this. And 中文。再来" and row["retrieval_text"].startswith("two.pdf\n") and row["page_start"] is None and row["section_path"] == []
 
 
 def test_stats(chunks):
