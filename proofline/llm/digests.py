@@ -18,8 +18,8 @@ from proofline.llm.common import bounded_batches, cut, fresh, pieces
 BITS = 128
 #: log2 of the bits of the filter of hashes that occur more than once: 2 MB whatever the corpus.
 FILTER_BITS = 24
-#: Rows of one slice of the order by doc_id, where there are partitions enough.
-SLICE_ROWS = 4096
+#: Rows of one slice of the order by doc_id, and the most slices, which are as many quantiles.
+SLICE_ROWS, MOST_SLICES = 4096, 1 << 16
 
 
 def canonical(text: str | None) -> bytes:
@@ -114,9 +114,8 @@ def in_order_with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Whole texts move once, and are no sort key.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, first, nulls = source.agg(F.count("*"), F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    slices = max(1, min(-(-rows // SLICE_ROWS), 4 * partitions))
+    slices = max(1, min(-(-rows // SLICE_ROWS), MOST_SLICES))
     marks = [i / slices for i in range(1, slices)]
     bounds = source.agg(F.percentile_approx("doc_id", marks or [0.5], max(10_000, 20 * slices))).first()[0] or []
     bounds = np.array(sorted({b for b in bounds if b > first}) if marks and first is not None else [], np.int64)

@@ -25,14 +25,16 @@ def drop_boilerplate(
     text: str = "text",
     most_share: float = MOST_SHARE,
     least_pages: int = LEAST_PAGES,
+    distinct_pages: bool = True,
     n_lines: str = "n_lines",
     n_dropped: str = "n_dropped",
 ) -> DataFrame:
     """``docs`` without its hosts' boilerplate lines, and with ``n_lines`` and ``n_dropped``.
 
     Lines end at line feeds and are compared without leading and trailing spaces; blank lines are neither
-    counted nor dropped. Pages of a host with the same text count once, in a line's pages and in the host's
-    total, so that copies of a page don't make all its lines boilerplate. ``n_lines`` and ``n_dropped`` (long) count
+    counted nor dropped. With ``distinct_pages`` pages of a host with the same text count once, in a line's pages and in the
+    host's total, so that copies of a page don't make all its lines boilerplate; without it, and with ``least_pages`` 1, a line's
+    share is the bare ratio of pages. ``n_lines`` and ``n_dropped`` (long) count
     the lines that are not blank, repeats included. A text whose lines are all dropped becomes empty; null stays
     null with counts of 0. A null host is a host. Columns of the two names are replaced, all others stay, whatever
     their names, as do repeated rows.
@@ -55,7 +57,8 @@ def drop_boilerplate(
     own_lines = F.transform(F.array_distinct(there), bytes_of)
     pages = keyed.where("_text is not null").select(*site, bytes_of(F.col("_text")).alias("_page"), own_lines.alias("_lines"))
     # a page without lines counts for the host too, by a line of its own that no line has
-    on_pages = pages.select(*site, "_page", F.explode(F.concat("_lines", F.array(F.lit(b"")))).alias("_line")).distinct()
+    on_pages = pages.select(*site, "_page", F.explode(F.concat("_lines", F.array(F.lit(b"")))).alias("_line"))
+    on_pages = on_pages.distinct() if distinct_pages else on_pages
     on = on_pages.groupBy(*site, "_line").agg(F.count("*").alias("_on"))
     lines = cut(on.where((F.col("_on") >= least_pages) | (F.col("_line") == b"")))
     totals = lines.where(F.col("_line") == b"").select(*site, F.col("_on").alias("_pages"))

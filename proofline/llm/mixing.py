@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from proofline.llm.common import WORD, cut
 
+#: Rows of a slice of a source's order, if all rows were one source.
+SLICE_ROWS = 1 << 14
 #: (time from 0 to 1, weight) knots, joined by straight lines; times ascend from 0 to 1.
 Schedule = Sequence[tuple[float, float]]
 #: Weights of the sources by turns over the training: one fades, one peaks half way, one grows; their areas are 1, 2 and 3.
@@ -105,8 +107,8 @@ def mix(
     which the document first comes: the time by which its source's schedule has asked for the words before it.
     ``positions`` has those of all its whole copies; a part of half the document or more counts as a whole one.
 
-    A source's running sums are taken within slices of md5, which hold a 4096th of it each, and then over the
-    slices, so that a source with most of the rows is spread, and rows that share a doc_id, or have none, are too.
+    A source's running sums are taken within slices of md5, which hold a 4096th of it each, or less where that would be more than
+    SLICE_ROWS of all rows, and then over the slices, so that a source with most of the rows is spread, and rows that share a doc_id, or have none, are too.
     A null source is a source; null and repeated doc_id are kept, and rows equal in doc_id and text are
     interchangeable. An empty table gives no rows. Of ``docs`` columns with the names of added ones are replaced;
     all others stay, whatever their names.
@@ -120,7 +122,11 @@ def mix(
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
         words(F.col(text)).alias("_size"),
         digest.alias("_digest"),
-    ).withColumn("_slice", F.substring("_digest", 1, 3))
+    )
+    rows, digits = docs.count(), 3
+    while rows > SLICE_ROWS * 16**digits:
+        digits += 1
+    keyed = keyed.withColumn("_slice", F.substring("_digest", 1, digits))
     slices = cut(keyed.groupBy(*KEY, "_slice").agg(F.sum("_size").alias("_size")))
     targets = source_targets(slices, schedules, most)
     before_slice = Window.partitionBy(*KEY).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

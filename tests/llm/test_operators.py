@@ -680,3 +680,24 @@ def test_neighbours_edges(spark):
     few = neighbours.nearest(data.where("vec_id in (0, 200)"), F.col("vec_id") % 100 == 0).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in few) == [(0, 1, 200), (200, 1, 0)]
     assert neighbours.nearest(data.limit(0), F.lit(True)).count() == 0
+
+
+def test_lines_by_the_bare_ratio(spark):
+    """Copies of a page count where pages needn't be distinct; a line of one page in nine is over a tenth."""
+    rows = [(i, f"own {i}\nshared by few" if i < 3 else f"own {i}", "h") for i in range(20)] + [(100 + i, "a copied page", "h") for i in range(10)] + [(200, "alone", "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bare = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(docs, least_pages=1, distinct_pages=False).collect()}
+    assert bare[100] == "" and bare[200] == "" and bare[0] == "own 0\nshared by few" and bare[19] == "own 19"
+    kept = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(docs).collect()}
+    assert kept[100] == "a copied page" and kept[200] == "alone" and kept[0] == "own 0"
+
+
+def test_mixing_and_edits_in_small_slices(spark, sf_dir, monkeypatch):
+    """Slices follow the rows: the same result with very few rows in each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = lambda: sorted(tuple(r) for r in mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "taken", "position").collect())
+    printed = lambda: sorted(tuple(r) for r in digests.fingerprints_and_edits(docs).collect())
+    few = mixed(), printed()
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 0.001)
+    monkeypatch.setattr(digests, "SLICE_ROWS", 3)
+    assert (mixed(), printed()) == few
