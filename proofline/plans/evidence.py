@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from proofline.functions import boxes
 from proofline.functions.markup import html_blocks_sql
 from proofline.functions.text import identifiers, normal_name, query_id, target_identity, token_budget, written_language
-from proofline.operators import claims, evidence, fusion, metrics, papers, structure, tables
+from proofline.operators import caption_tables, claims, evidence, fusion, metrics, papers, structure, tables
 from proofline.sources.collections import read_table, upload_rows
 
 
@@ -398,6 +398,68 @@ j AS (SELECT c.o AS paper_id, c.n AS caption_ord, f.n AS target_ord, row_number(
       FROM kinds c JOIN kinds f USING (o, page) WHERE c.type = 'caption' AND f.type = 'figure')
 SELECT paper_id, caption_ord, target_ord FROM j WHERE i = 1"""
 
+def recovered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logical tables of orders whose lines are tables, captions and paragraphs with labels of few numbers."""
+    kind, label = F.col("q") % 6, F.col("d") % 4
+    text = (
+        F.when(kind >= 3, F.concat(F.lit("Table "), (1 + F.col("t") % 2).cast("string"), F.lit(": c")))
+        .when(label == 1, "Table 1: x").when(label == 2, "Table 2: y Table 1: z").otherwise("| cells |")
+    )
+    blocks = _lines(spark, sf_dir).select(
+        F.col("o").alias("paper_id"), F.col("n").cast("int").alias("ord"), (F.col("l_suppkey") % 7 > 0).cast("int").alias("page"),
+        F.when(kind < 3, "table").when(kind < 5, "caption").otherwise("paragraph").alias("type"), text.alias("text"),
+    )
+    found = caption_tables.recover_tables(blocks)
+    return found.select(
+        "paper_id", "table_id", "identifier", "caption", "page_start", F.array_join(F.col("source_ords").cast("array<string>"), ",").alias("source_ords"),
+        F.array_join(F.col("caption_ords").cast("array<string>"), ",").alias("caption_ords"), "status",
+    )
+
+
+RECOVERED_TABLES = rf"""
+WITH {_LINES},
+b AS (SELECT o AS p, n AS ord, CAST(l_suppkey % 7 > 0 AS INT) AS page, CASE WHEN q % 6 < 3 THEN 'table' WHEN q % 6 < 5 THEN 'caption' ELSE 'paragraph' END AS type,
+             CASE WHEN q % 6 >= 3 THEN 'Table ' || (1 + t % 2) || ': c' WHEN d % 4 = 1 THEN 'Table 1: x' WHEN d % 4 = 2 THEN 'Table 2: y Table 1: z' ELSE '| cells |' END AS text,
+             row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS pos FROM lines),
+m AS (SELECT *, type = 'table' AS tab, nullif(regexp_extract(text, '^Table (\d+):', 1), '') AS lid, regexp_extract_all(text, 'Table (\d+):', 1) AS ids FROM b),
+n AS (SELECT *, CASE WHEN type = 'caption' THEN lid END AS cap FROM m),
+c AS (SELECT *, coalesce(tab AND len(ids) > 1 AND lead(cap) OVER w = ids[1] AND lead(tab, 2) OVER w AND lead(len(ids), 2) OVER w = 0 AND page = lead(page, 2) OVER w, false) AS collides
+      FROM n WINDOW w AS (PARTITION BY p ORDER BY pos)),
+d AS (SELECT *, CASE WHEN tab THEN CASE WHEN collides THEN ids[2] ELSE lid END END AS own, CASE WHEN tab THEN sum(CAST(NOT tab AS INT)) OVER w END AS run,
+             coalesce(lag(collides) OVER w, false) AS after FROM c WINDOW w AS (PARTITION BY p ORDER BY pos)),
+e AS (SELECT *, lead(tab AND len(ids) = 0 AND own IS NULL) OVER w AS free_next, lag(tab AND len(ids) = 0 AND own IS NULL) OVER w AS free_last, lead(page) OVER w AS page_next,
+             lag(page) OVER w AS page_last, lead(run) OVER w AS run_next, lag(run) OVER w AS run_last FROM d WINDOW w AS (PARTITION BY p ORDER BY pos)),
+near AS (SELECT a.p, a.pos, t.pos AS near FROM e a JOIN d t ON t.p = a.p AND t.page = a.page AND t.own = a.cap AND t.tab
+         QUALIFY row_number() OVER (PARTITION BY a.p, a.pos ORDER BY abs(a.pos - t.pos), t.pos) = 1),
+wants AS (SELECT e.p, e.pos AS caption, e.page, e.cap AS number, after, run_next, run_last, CASE WHEN after THEN e.pos + 1 ELSE coalesce(near,
+            CASE WHEN free_next AND page_next = page THEN e.pos + 1 WHEN free_last AND page_last = page THEN e.pos - 1 END) END AS target
+          FROM e LEFT JOIN near ON near.p = e.p AND near.pos = e.pos WHERE cap IS NOT NULL),
+claims AS (SELECT * FROM wants WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p, target ORDER BY after DESC, abs(caption - target), caption) = 1),
+tabs AS (SELECT d.p, d.pos, d.page, d.run, d.lid, k.caption AS reserved, coalesce(k.number, d.own) AS own FROM d LEFT JOIN claims k ON k.p = d.p AND k.target = d.pos WHERE tab),
+scans AS (SELECT k.p, k.caption, k.number, k.page, s.step, CASE WHEN s.step = 1 THEN run_next ELSE run_last END AS run
+          FROM claims k JOIN tabs t ON t.p = k.p AND t.pos = k.target, (VALUES (1), (-1)) s(step)
+          WHERE (s.step = 1 AND (k.target > k.caption OR (k.target = k.caption - 1 AND coalesce(t.lid = k.number, false)))) OR (s.step = -1 AND k.target < k.caption)),
+met AS (SELECT s.p, s.caption, t.pos, (t.pos - s.caption) * step AS away,
+          min(CASE WHEN NOT ((reserved IS NULL OR reserved = s.caption) AND (own IS NULL OR own = number) AND t.page = s.page) THEN (t.pos - s.caption) * step END)
+            OVER (PARTITION BY s.p, s.caption, step) AS stop FROM scans s JOIN tabs t ON t.p = s.p AND t.run = s.run),
+owners AS (SELECT p, pos, min(caption) AS caption FROM (SELECT p, pos, caption FROM met WHERE stop IS NULL OR away < stop UNION ALL SELECT p, target, caption FROM claims) GROUP BY ALL),
+x AS (SELECT d.p, d.pos, d.ord, d.page, d.text, d.collides, d.lid, o.caption, coalesce(k.number, d.own) AS own FROM d LEFT JOIN owners o ON o.p = d.p AND o.pos = d.pos
+      LEFT JOIN claims k ON k.p = d.p AND k.caption = o.caption WHERE tab),
+g AS (SELECT *, coalesce(caption IS NULL AND lag(caption) OVER w IS NULL AND own = lag(own) OVER w AND lag(pos) OVER w = pos - 1, false) AS goes_on FROM x WINDOW w AS (PARTITION BY p ORDER BY pos)),
+y AS (SELECT *, sum(1 - CAST(goes_on AS INT)) OVER (PARTITION BY p ORDER BY pos) AS island FROM g),
+z AS (SELECT p, max(caption) AS caption, string_agg(ord, ',' ORDER BY pos) AS source_ords, count(*) AS parts, min(page) AS page_start, min(pos) AS pos, arg_min(coalesce(own, ''), pos) AS id,
+             arg_min(coalesce(lid, ''), pos) AS lid, arg_min(text, pos) AS text, bool_or(collides) AS collided
+      FROM y GROUP BY p, CASE WHEN caption IS NULL THEN -island ELSE caption END),
+r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY pos) AS place, row_number() OVER (PARTITION BY p, id ORDER BY pos) AS again FROM z)
+SELECT r.p AS paper_id, CASE WHEN id = '' THEN 'logical_table_unlabelled_' || lpad(CAST(place AS VARCHAR), 4, '0')
+         ELSE 'logical_table_' || lpad(id, 4, '0') || CASE WHEN again > 1 THEN '_' || lpad(CAST(place AS VARCHAR), 4, '0') ELSE '' END END AS table_id,
+       nullif(id, '') AS identifier, CASE WHEN r.caption IS NOT NULL THEN b.text WHEN id <> '' THEN nullif(regexp_extract(r.text, 'Table ' || id || ':.*$'), '') END AS caption,
+       r.page_start, source_ords, coalesce(CAST(b.ord AS VARCHAR), '') AS caption_ords,
+       CASE WHEN collided THEN 'caption_collision_recovered' WHEN parts > 1 THEN 'merged_fragments' WHEN r.caption IS NULL THEN 'caption_missing'
+            WHEN lid = id THEN 'correct' ELSE 'caption_attached' END AS status
+FROM r LEFT JOIN b ON b.p = r.p AND b.pos = r.caption"""
+
+
 def paper_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The titles of pages, by their blocks."""
     from proofline.plans.corpus import _page_blocks
@@ -509,6 +571,7 @@ QUERIES = {
     "figure_mentions": (figure_mentions, FIGURE_MENTIONS),
     "formula_context": (formula_context, FORMULA_CONTEXT),
     "figure_captions": (figure_captions, FIGURE_CAPTIONS),
+    "recovered_tables": (recovered_tables, RECOVERED_TABLES),
     "paper_titles": (paper_titles, PAPER_TITLES),
     "special_sections": (special_page_sections, SPECIAL_SECTIONS),
     "section_rerank": (section_rerank, SECTION_RERANK),
