@@ -46,8 +46,7 @@ def tokens(text: Column) -> Column:
     A single Han character stays alone. Null gives null. Only texts with characters that NFKC or case folding may
     change go through Python.
     """
-    plainly = text.rlike(_FOLDED_PLAINLY)
-    folded = F.when(plainly, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(fold_compatibility(F.when(~plainly, text)))
+    folded = compatible(text)
 
     def parts(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
@@ -71,6 +70,12 @@ def fold_compatibility(text: Column) -> Column:
     return folded(text)
 
 
+def compatible(text: Column) -> Column:
+    """NFKC and case folding in the JVM where that is the lower case, in Python for the other texts."""
+    plainly = text.rlike(_FOLDED_PLAINLY)
+    return F.when(plainly, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(fold_compatibility(F.when(~plainly, text)))
+
+
 def token_budget(text: Column) -> Column:
     """Estimated model tokens of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(BUDGET)), F.lit(0)).cast("long")
