@@ -53,18 +53,24 @@ def text_lines(words: DataFrame) -> DataFrame:
     y = (F.col("bbox")[1] + F.col("bbox")[3]) / 2
     word = F.struct(y.alias("y"), "ocr_id", F.coalesce("text", F.lit("")).alias("text"), "bbox")
     cells = words.groupBy("table_id", "cell_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
-    cells = cells.withColumn("height", _middle(F.array_sort(F.transform("w", lambda x: x["bbox"][3] - x["bbox"][1]))))
+    height = _middle(F.array_sort(F.transform("w", lambda x: x["bbox"][3] - x["bbox"][1])))
 
-    def begins(starts: Column, i: Column) -> Column:
+    def begins(starts: Column, i: Column, limit: Column) -> Column:
         start = F.element_at(starts, -1)
         low, high = F.get("w", start + F.shiftright(i - start - 1, 1)), F.get("w", start + F.shiftright(i - start, 1))
-        apart = F.abs(F.get("w", i)["y"] - (low["y"] + high["y"]) / 2) > F.col("height") * MERGE_HEIGHT
+        apart = F.abs(F.get("w", i)["y"] - (low["y"] + high["y"]) / 2) > limit
         return F.when(apart, F.concat(starts, F.array(i))).otherwise(starts)
 
-    rest = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: i > 0)
-    cells = cells.withColumn("starts", F.aggregate(rest, F.array(F.lit(0)), begins))
-    end = F.coalesce(F.get("starts", F.col("line") + 1), F.size("w"))
-    lines = cells.select("*", F.posexplode("starts").alias("line", "start")).withColumn("w", F.slice("w", F.col("start") + 1, end - F.col("start")))
+    def cut(h: Column) -> Column:  # a variable of a lambda is computed once, so the height isn't computed anew for each word
+        rest = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: i > 0)
+        starts = F.aggregate(rest, F.array(F.lit(0)), lambda found, i: begins(found, i, h * MERGE_HEIGHT))
+        return F.struct(h.alias("height"), F.transform(F.array(starts), _slices)[0].alias("slices"))
+
+    def _slices(starts: Column) -> Column:
+        return F.transform(starts, lambda s, k: F.slice("w", s + 1, F.coalesce(F.get(starts, k + 1), F.size("w")) - s))
+
+    once = cells.select("table_id", "cell_id", F.transform(F.array(height), cut)[0].alias("c"))
+    lines = once.select("table_id", "cell_id", F.col("c.height").alias("height"), F.posexplode("c.slices").alias("line", "w"))
     across = F.array_sort(F.transform("w", lambda x: F.struct(x["bbox"][0].alias("left"), x["ocr_id"].alias("ocr_id"), x["text"].alias("text"))))
     return lines.withColumn("a", across).select(
         "table_id", "cell_id", "line", _middle(F.transform("w", lambda x: x["y"])).alias("y"), "height", F.col("a")[0]["left"].alias("left"),
