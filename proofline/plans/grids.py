@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.operators import records
+from proofline.operators import records, rereads
 from proofline.plans.evidence import _LINES, _box, _lines
 
 
@@ -21,7 +21,7 @@ def cell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELL_LINES = f"""
 WITH RECURSIVE {_LINES},
-w AS (SELECT l_suppkey AS table_id, o * 10 + n AS id, CAST(q AS VARCHAR) AS text, l_partkey % 50 AS l, (o * 7 + n * 13) % 400 AS top, 4 + d AS h, top + h / 2 AS y FROM lines),
+w AS (SELECT l_suppkey AS table_id, o * 10 + n AS id, CAST(q AS VARCHAR) AS text, CAST(l_partkey % 50 AS DOUBLE) AS l, (o * 7 + n * 13) % 400 AS top, 4 + d AS h, top + h / 2 AS y FROM lines),
 r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY y, id) AS i FROM w),
 c AS (SELECT table_id, list(y ORDER BY i) AS ys, median(h) AS height, count(*) AS n FROM r GROUP BY ALL),
 g AS (SELECT table_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS start, CAST(0 AS INT) AS line FROM c
@@ -67,4 +67,59 @@ SELECT o AS table_id, CAST(0 AS INT) AS row, unnest([0, 1, 2]) AS col, 'unchange
 UNION ALL SELECT o, CAST(1 + i AS INT), col, 'split', text FROM e WHERE good
 UNION ALL SELECT o, 1, col, 'unchanged', string_agg(text, ' ' ORDER BY i) FROM e WHERE NOT good GROUP BY o, col"""
 
-QUERIES = {"cell_lines": (cell_lines, CELL_LINES), "order_records": (order_records, ORDER_RECORDS)}
+
+def trace_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a traced table whose lines are cells with a word each: some are bound to none or to unknown ones, lie aside or differ."""
+    lines = _lines(spark, sf_dir)
+    left = F.col("n") * 10 + F.col("d") % 6
+    ids = F.when(F.col("q") % 11 == 0, F.array().cast("array<long>")).when(F.col("q") % 13 == 0, F.array(F.col("n").cast("long"), F.lit(99).cast("long"))).otherwise(F.array(F.col("n").cast("long")))
+    text = F.concat(F.lit("w"), "q")
+    cell = F.struct(
+        F.col("n").alias("cell_id"), F.lit(0).alias("row"), F.col("n").alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"),
+        _box("n * 10", "0", "n * 10 + 10", "10").alias("bbox"), F.when(F.col("q") % 9 == 0, "x").otherwise(text).alias("text"), ids.alias("ocr_ids"),
+    )
+    word = F.struct(F.col("n").alias("ocr_id"), text.alias("text"), F.array(left.cast("double"), F.lit(1.0), (left + 8).cast("double"), F.lit(9.0)).alias("bbox"))
+    traces = lines.groupBy(F.col("o").alias("table_id")).agg((F.count("*") + F.when(F.col("o") % 7 == 0, 1).otherwise(0)).alias("physical_boxes"), F.collect_list(cell).alias("cells"), F.collect_list(word).alias("words"))
+    return rereads.trace_anomalies(traces).select("table_id", F.array_join("reasons", ",").alias("reasons"), "accepted")
+
+
+TRACE_CHECKS = f"""
+WITH {_LINES},
+b AS (SELECT o, o % 7 = 0 AS more, bool_or(q % 11 = 0) AS unbound, bool_or(q % 13 = 0 AND q % 11 > 0) AS unknown, bool_or(d % 6 = 5 AND q % 11 > 0) AS aside, bool_or(q % 9 = 0 OR q % 11 = 0) AS differs,
+             count(*) FILTER (q % 13 = 0 AND q % 11 > 0) > 1 AS twice FROM lines GROUP BY o)
+SELECT o AS table_id, concat_ws(',', CASE WHEN more THEN 'cell_count' END, CASE WHEN unknown THEN 'unknown_word' END, CASE WHEN unbound THEN 'unbound_word' END, CASE WHEN twice THEN 'word_bound_twice' END,
+       CASE WHEN aside OR unknown THEN 'low_overlap' END, CASE WHEN differs THEN 'text_mismatch' END) AS reasons, NOT (more OR unknown OR unbound OR twice OR aside OR differs) AS accepted FROM b"""
+
+
+def reread_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables of two columns: a returned line's word lies over both its cells, which are read anew."""
+    lines = _lines(spark, sf_dir)
+    key, row = F.col("o").alias("table_id"), F.col("n") - 1
+    side = F.explode(F.array(F.lit(0), F.lit(1))).alias("col")
+    cells = lines.select("o", "n", side).select(
+        key, (F.col("n") * 2 + F.col("col")).cast("long").alias("cell_id"), row.cast("int").alias("row"), "col", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(False).alias("header"),
+        _box("col * 50", "n * 50", "col * 50 + 50", "n * 50 + 50").alias("bbox"),
+    )
+    own = lines.select(key, (F.col("n") * 2).cast("long").alias("ocr_id"), (F.col("n") * 2).cast("long").alias("cell_id"), F.concat("q", F.lit(" kg")).alias("text"), _box("5", "n * 50 + 30", "30", "n * 50 + 40").alias("bbox"))
+    returned = lines.where("l_returnflag = 'R'")
+    over = returned.select(key, (F.col("n") * 2 + 1).cast("long").alias("ocr_id"), F.lit(None).cast("long").alias("cell_id"), F.lit("AB").alias("text"), _box("if(t = 8, 10, 40)", "n * 50 + 10", "if(t = 8, 20, 60)", "n * 50 + 20").alias("bbox"))
+    anew = returned.select("*", side).select(
+        key, (F.col("n") * 2 + F.col("col")).cast("long").alias("cell_id"), F.lit(0).cast("long").alias("line_id"),
+        F.when(F.col("col") == 1, "B").otherwise(F.concat((F.col("q") + (F.col("d") == 10).cast("int")).cast("string"), F.lit(" kg A"))).alias("text"),
+        F.when((F.col("d") == 0) & (F.col("q") % 5 == 0), 0.1).otherwise(0.9).alias("score"), _box("col * 50 + 10", "n * 50 + 10", "col * 50 + 20", "n * 50 + 20").alias("bbox"),
+    )
+    verdict, _ = rereads.apply_rereads(cells, own.unionByName(over), anew)
+    return verdict.withColumn("reasons", F.array_join("reasons", ","))
+
+
+REREAD_VERDICTS = f"""
+WITH {_LINES},
+r AS (SELECT o, bool_and(d > 0 OR q % 5 > 0) AS legible, count(*) FILTER (d = 10) AS n FROM lines WHERE l_returnflag = 'R' GROUP BY o HAVING count(*) <= 6 AND bool_and(t <> 8))
+SELECT o AS table_id, legible AND n = 0 AS accepted, CASE WHEN NOT legible THEN 'invalid_or_missing_reread' WHEN n > 0 THEN 'numbers_lost' ELSE '' END AS reasons, CASE WHEN legible THEN n ELSE 0 END AS lost_numbers FROM r"""
+
+QUERIES = {
+    "cell_lines": (cell_lines, CELL_LINES),
+    "order_records": (order_records, ORDER_RECORDS),
+    "trace_checks": (trace_checks, TRACE_CHECKS),
+    "reread_verdicts": (reread_verdicts, REREAD_VERDICTS),
+}
