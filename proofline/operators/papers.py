@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.shared import written
+from proofline.operators import evidence, structure
+
 #: One token for each Han character, run of letters, digits and underscores, or other mark.
 _TOKEN = re.compile(r"[㐀-鿿]|[A-Za-z0-9_]+|[^\s]")
 _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
@@ -207,6 +210,36 @@ def structure_chunks(blocks: DataFrame, papers: DataFrame, target: int = 600, mo
     return joined.groupBy("paper_id").applyInPandas(fold, CHUNK.replace("paper_id long", f"paper_id {blocks.schema['paper_id'].dataType.simpleString()}"))
 
 
+def bound_blocks(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (paper_id, ord, block_id, type, text, page) with section_path, caption_of and context_ids, as ``structure_chunks`` reads them.
+
+    A caption belongs to the nearest table of its page that it labels, or to the figure that it claims; of several only to the
+    table. Contexts are the blocks that explain a figure by its number, or a formula, in their order. The blocks are written
+    once, as five steps read them.
+    """
+    key = ["paper_id", "ord"]
+    paths = structure.section_paths(blocks).select(*key, "section_path")
+    placed = written(blocks.select(*key, "block_id", "type", "text", "page").join(paths, key))
+    tables = structure.caption_targets(placed, "table").select("paper_id", "caption_ord", "target_ord", F.lit(0).alias("turn"))
+    figures = structure.figure_claims(placed).select("paper_id", "caption_ord", F.col("figure_ord").alias("target_ord"), F.lit(1).alias("turn"))
+    owned = tables.unionByName(figures).groupBy("paper_id", "caption_ord").agg(F.min_by("target_ord", "turn").alias("target_ord"))
+    ids = placed.select("paper_id", F.col("ord").alias("target_ord"), F.col("block_id").alias("caption_of"))
+    captions = owned.join(ids, ["paper_id", "target_ord"]).select("paper_id", F.col("caption_ord").alias("ord"), "caption_of")
+    words = owned.join(placed.select("paper_id", F.col("ord").alias("caption_ord"), F.col("text").alias("said")), ["paper_id", "caption_ord"])
+    said = words.groupBy("paper_id", F.col("target_ord").alias("ord")).agg(F.min_by("said", "caption_ord").alias("said"))
+    shown = placed.join(said, key, "left").withColumn("text", F.when(F.col("type") == "figure", F.coalesce("said", "text")).otherwise(F.col("text"))).drop("said")
+    near = evidence.figure_explanations(shown).select("paper_id", F.col("figure_ord").alias("ord"), F.col("context_ord").alias("target_ord"))
+    near = near.unionByName(evidence.formula_contexts(placed).select("paper_id", F.col("formula_ord").alias("ord"), F.col("context_ord").alias("target_ord")))
+    listed = near.join(ids, ["paper_id", "target_ord"]).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("target_ord", "caption_of"))).alias("c"))
+    contexts = listed.select(*key, F.col("c.caption_of").alias("context_ids"))
+    return placed.join(captions, key, "left").join(contexts, key, "left")
+
+
+def chunks_of_blocks(blocks: DataFrame, papers: DataFrame, target: int = 600, most: int = 900) -> DataFrame:
+    """From stored blocks (as ``trees.tree_blocks`` or ``collections.paper_blocks`` have them) to chunks: bound, then cut."""
+    return structure_chunks(bound_blocks(blocks), papers, target, most)
+
+
 def chunk_stats(chunks: DataFrame, most: int = 900) -> DataFrame:
     """Count, mean and largest tokens of each type of chunk, and how many are over the limit."""
     return chunks.groupBy("content_type").agg(

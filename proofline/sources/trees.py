@@ -36,7 +36,8 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_trees(rows: DataFrame, json: str) -> DataFrame:
     """``rows`` (paper_id and a column of JSON text) as ``read_trees`` has them; a null or broken text has no items."""
-    return rows.select("paper_id", F.from_json(json, TREE).alias("t")).select("paper_id", "t.*")
+    # as a generator the parse stays a step of its own; as an expression it would be repeated in each function that reads a field
+    return rows.select("paper_id", F.inline(F.array(F.from_json(json, TREE))))
 
 
 def preorder(body: list[int], children: list[list[int]]) -> tuple[list[dict], str | None]:

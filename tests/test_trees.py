@@ -98,3 +98,29 @@ def test_table_structures(spark):
     for i, (_, _, warning) in enumerate(cases):
         assert found[i]["warnings"] == ([warning] if warning else []), i
         assert found[i]["valid"] == (warning is None or warning.startswith("1 ")), i
+
+
+def test_from_json_to_chunks(spark):
+    from proofline.operators.papers import bound_blocks, structure_chunks
+
+    one = place(1)
+    texts = [
+        item("section_header", "1 Method", prov=one), item("text", "Figure 2 shows the flow.", prov=one), item("caption", "Figure 2: the flow", prov=one), item("text", "We define", prov=one), item("formula", "a = b (1)", prov=one),
+        item("text", "where a is known.", prov=one), item("caption", "Table 1: sizes", prov=one), item("section_header", "2 Results", prov=one), item("text", "By Eq. (1) all is well.", prov=one), item("caption", "Figure 9: no picture", prov=one),
+    ]
+    order = [*(ref("texts", i) for i in range(2)), ref("pictures", 0), *(ref("texts", i) for i in range(2, 7)), ref("tables", 0), *(ref("texts", i) for i in range(7, 10))]
+    table = item("table", prov=one, data={"num_rows": 2, "num_cols": 1, "grid": [[{"text": "n"}], [{"text": "5"}]]})
+    tree = {"body": {"children": order}, "texts": texts, "tables": [table], "pictures": [item("picture", prov=one)]}
+    given = spark.createDataFrame([("p", json.dumps(tree))], "paper_id string, json string")
+    blocks, _ = trees.tree_blocks(trees.parse_trees(given, "json"))
+    held = bound_blocks(blocks)
+    bound = {r["ord"]: r for r in held.collect()}
+    b = "block_{:06d}".format
+    assert {k: r["caption_of"] for k, r in bound.items() if r["caption_of"]} == {3: b(2), 7: b(8)}
+    assert {k: r["context_ids"] for k, r in bound.items() if r["context_ids"]} == {2: [b(1)], 5: [b(4), b(6)]}
+    assert bound[10]["section_path"] == ["2 Results"]
+    about = spark.createDataFrame([("p", "p.pdf", "A paper", [])], "paper_id string, filename string, title string, authors array<string>")
+    rows = structure_chunks(held, about).orderBy("chunk_index").collect()
+    assert [r["content_type"] for r in rows] == ["paragraph", "figure", "paragraph", "formula", "paragraph", "table", "paragraph"]
+    assert rows[1]["text"] == "Figure 2: the flow\n\nFigure 2 shows the flow." and rows[3]["context_block_ids"] == [b(4), b(6)]
+    assert rows[5]["text"] == "Table 1: sizes\n| n |\n| --- |\n| 5 |" and rows[5]["page_start"] == 1 and rows[0]["source_block_ids"] == [b(1)]
