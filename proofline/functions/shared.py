@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,3 +32,24 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint, so that its plan is neither run again nor lost with an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def _bytes(size: str) -> int:
+    """The bytes of a size as Spark's settings have it, such as 64m or 4MB; a bare number counts bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit.rstrip("ib") or " ")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends Python workers at most 256 rows and 2 MB at once; smaller settings of the session are left.
+
+    A worker holds a batch several times over (as Arrow, as Python objects, as results), so what it needs must not grow with
+    the rows of a task. The settings hold for later queries of the session too.
+    """
+    conf = df.sparkSession.conf
+    rows, size = (f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(conf.get(rows)) <= 256:
+        conf.set(rows, "256")
+    if not 0 < _bytes(conf.get(size)) <= 2 << 20:
+        conf.set(size, "2m")
+    return df

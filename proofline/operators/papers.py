@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.shared import written
+from proofline.functions.shared import small_batches, written
 from proofline.operators import evidence, structure
 
 #: One token for each Han character, run of letters, digits and underscores, or other mark.
@@ -17,10 +17,12 @@ _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 #: Fixed order of the kinds of chunks that begin at the same block.
 ORDER = {"abstract": 0, "paragraph": 1, "table": 2, "figure": 3, "formula": 4}
 CHUNK = (
-    "paper_id long, chunk_id string, chunk_index int, content_type string, text string, retrieval_text string, page_start int, page_end int,"
+    "chunk_id string, chunk_index int, content_type string, text string, retrieval_text string, page_start int, page_end int,"
     " section_path array<string>, source_block_ids array<string>, context_block_ids array<string>, part_index int, part_count int,"
     " row_start int, row_end int, token_count int, warnings array<string>"
 )
+_TYPES = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+_CHUNK = pa.struct([(name, _TYPES[kind]) for name, kind in map(str.split, CHUNK.split(","))])
 
 
 def tokens(text: str) -> int:
@@ -36,27 +38,33 @@ def parts_of(text: str, most: int) -> list[str]:
     pieces = [piece for sentence in sentences for piece in ([sentence] if tokens(sentence) <= most else _by_words(sentence, most))]
     if len(sentences) == 1:
         return pieces
-    parts: list[str] = []
+    return _joined(pieces, most)
+
+
+def _joined(pieces: list[str], most: int) -> list[str]:
+    """Pieces joined by a space while they have ``most`` tokens at most; no token goes over a space, so those of a part add up."""
+    groups: list[list[str]] = []
+    size = 0
     for piece in pieces:
-        if parts and tokens(f"{parts[-1]} {piece}") <= most:
-            parts[-1] = f"{parts[-1]} {piece}"
+        n = tokens(piece)
+        if groups and size + n <= most:
+            groups[-1].append(piece)
+            size += n
         else:
-            parts.append(piece)
-    return parts
+            groups.append([piece])
+            size = n
+    return [" ".join(group) for group in groups]
 
 
 def _by_words(text: str, most: int) -> list[str]:
-    lines: list[str] = []
+    words: list[str] = []
     for word in text.split():
         while tokens(word) > most:
             half = len(word) // 2
-            lines.append(word[:half])
+            words.append(word[:half])
             word = word[half:]
-        if lines and tokens(f"{lines[-1]} {word}") <= most:
-            lines[-1] = f"{lines[-1]} {word}"
-        else:
-            lines.append(word)
-    return lines
+        words.append(word)
+    return _joined(words, most)
 
 
 def packed(units: list[tuple[str, str]], target: int, most: int) -> list[list[tuple[str, str]]]:
@@ -178,36 +186,34 @@ def structure_chunks(blocks: DataFrame, papers: DataFrame, target: int = 600, mo
 
     ``blocks`` has paper_id, block_id, ord, type, text, page, section_path, caption_of (the block that a caption is of)
     and context_ids (blocks that explain a figure or formula); ``papers`` has paper_id, filename, title and authors.
-    Each paper is folded by itself. A chunk's id is paper:type:first block:part, with a suffix where it comes again;
+    Each paper is folded by itself, many in one batch of a Python worker. A chunk's id is paper:type:first block:part, with a suffix where it comes again;
     its retrieval text has the title, or the file name, and the section path before the text.
     """
     if not 0 < target <= most:
         raise ValueError("target must be positive and at most the limit")
-    joined = blocks.join(papers.select("paper_id", "filename", "title", "authors"), "paper_id", "left")
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord", kind="stable")
-        paper, first = part["paper_id"].iloc[0], part.iloc[0]
-        rows = part.astype(object).where(part.notna(), None).to_dict("records")
-        title = first["title"] if isinstance(first["title"], str) else ""
-        name = title or (first["filename"] if isinstance(first["filename"], str) else "")
-        authors = list(first["authors"]) if first["authors"] is not None and not isinstance(first["authors"], float) else []
-        for row in rows:
-            row["page"] = None if row["page"] is None else int(row["page"])
-            row["section_path"] = [] if row["section_path"] is None else list(row["section_path"])
-            row["context_ids"] = [] if row["context_ids"] is None else list(row["context_ids"])
+    fields = ("ord", "block_id", "type", "text", "page", "section_path", "caption_of", "context_ids")
+    held = small_batches(blocks).groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("b"))
+    joined = held.join(papers.select("paper_id", "filename", "title", "authors"), "paper_id", "left")
+
+    def fold(paper: str | None, rows: list[dict], filename: str | None, title: str | None, authors: list[str] | None) -> list[dict]:
+        name = title or filename or ""
         used: dict[str, int] = {}
         out = []
-        for n, d in enumerate(paper_chunks(rows, title, authors, target, most), 1):
+        for n, d in enumerate(paper_chunks(rows, title or "", authors or [], target, most), 1):
             anchor = re.sub(r"[^A-Za-z0-9]+", "_", d["source_block_ids"][0]).strip("_").lower() or "block"
             base = f"{paper}:{d['content_type']}:{anchor}:part_{d['part_index']:04d}"
             used[base] = used.get(base, 0) + 1
             d["chunk_id"] = base if used[base] == 1 else f"{base}:duplicate_{used[base]:02d}"
             d["retrieval_text"] = "\n".join(filter(None, [name, " > ".join(d["section_path"]), d["text"]]))
-            out.append({"paper_id": paper, "chunk_index": n, **d})
-        return pd.DataFrame(out, columns=[column.split()[0] for column in re.split(r",\s*", CHUNK)])
+            d["chunk_index"] = n
+            out.append({field: d[field] for field in _CHUNK.names})
+        return out
+
+    @F.arrow_udf(f"array<struct<{CHUNK}>>")
+    def chunks(*columns: pa.Array) -> pa.Array:
+        return pa.array([fold(*(value.as_py() for value in row)) for row in zip(*columns)], pa.list_(_CHUNK))
 
-    return joined.groupBy("paper_id").applyInPandas(fold, CHUNK.replace("paper_id long", f"paper_id {blocks.schema['paper_id'].dataType.simpleString()}"))
+    return joined.select("paper_id", F.inline(chunks(F.col("paper_id").cast("string"), "b", "filename", "title", "authors")))
 
 
 def bound_blocks(blocks: DataFrame) -> DataFrame:
@@ -218,8 +224,7 @@ def bound_blocks(blocks: DataFrame) -> DataFrame:
     once, as five steps read them.
     """
     key = ["paper_id", "ord"]
-    paths = structure.section_paths(blocks).select(*key, "section_path")
-    placed = written(blocks.select(*key, "block_id", "type", "text", "page").join(paths, key))
+    placed = written(structure.with_section_paths(blocks.select(*key, "block_id", "type", "text", "page")).drop("level"))
     tables = structure.caption_targets(placed, "table").select("paper_id", "caption_ord", "target_ord", F.lit(0).alias("turn"))
     figures = structure.figure_claims(placed).select("paper_id", "caption_ord", F.col("figure_ord").alias("target_ord"), F.lit(1).alias("turn"))
     owned = tables.unionByName(figures).groupBy("paper_id", "caption_ord").agg(F.min_by("target_ord", "turn").alias("target_ord"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import boxes
+from proofline.functions.shared import small_batches
 
 #: Shares of the page width and the kinds of blocks that stay together.
 SPANNING_WIDTH, GUTTER, COLUMN_GAP = 0.72, 0.04, 0.015
@@ -118,11 +118,6 @@ def special_sections(paths: DataFrame) -> DataFrame:
     return paths.withColumn("section_kind", F.get(F.reverse(F.array_compact(kinds)), F.lit(0)))
 
 
-def _typed(blocks: DataFrame) -> str:
-    """The paper's id as it is in ``blocks``: stored papers have strings."""
-    return f"paper_id {blocks.schema['paper_id'].dataType.simpleString()}"
-
-
 def figure_claims(blocks: DataFrame) -> DataFrame:
     """(paper_id, caption_ord, figure_ord): captions in order, each with the nearest figure of its page that no caption before has.
 
@@ -132,21 +127,27 @@ def figure_claims(blocks: DataFrame) -> DataFrame:
     """
     told = blocks.withColumn("number", label_number(F.col("text"), "figure")).where((F.col("type") == "figure") | ((F.col("type") == "caption") & F.col("number").isNotNull()))
 
-    def fold(paper: pd.DataFrame) -> pd.DataFrame:
-        paper = paper.sort_values("ord", kind="stable")
-        free = paper[paper["type"] == "figure"]
-        found = []
-        for caption in paper[paper["type"] == "caption"].itertuples():
-            here = free[free["page"] == caption.page]
-            named = here[here["number"] == caption.number]
-            pool = here if named.empty else named
-            if not pool.empty:
-                nearest = pool.assign(_away=(pool["ord"] - caption.ord).abs(), _after=pool["ord"] > caption.ord).sort_values(["_away", "_after"], kind="stable").iloc[0]
-                found.append((caption.paper_id, caption.ord, nearest["ord"]))
-                free = free[free["ord"] != nearest["ord"]]
-        return pd.DataFrame(found, columns=["paper_id", "caption_ord", "figure_ord"])
+    @F.arrow_udf("array<struct<caption_ord:int,figure_ord:int>>")
+    def claims(column: pa.Array) -> pa.Array:
+        return pa.array([_claimed(paper.as_py()) for paper in column], pa.list_(pa.struct([("caption_ord", pa.int32()), ("figure_ord", pa.int32())])))
+
+    block = F.struct(F.col("ord").cast("int").alias("ord"), "type", "page", "number")
+    papers = small_batches(told).groupBy("paper_id").agg(F.sort_array(F.collect_list(block)).alias("b"))
+    return papers.select("paper_id", F.inline(claims("b")))
+
 
-    return told.groupBy("paper_id").applyInPandas(fold, f"{_typed(blocks)}, caption_ord int, figure_ord int")
+def _claimed(blocks: list[dict]) -> list[dict]:
+    """The captions of one paper in order, each with the figure that it claims."""
+    free = [b for b in blocks if b["type"] == "figure"]
+    found = []
+    for caption in (b for b in blocks if b["type"] == "caption"):
+        here = [f for f in free if f["page"] is not None and f["page"] == caption["page"]]
+        pool = [f for f in here if f["number"] == caption["number"]] or here
+        if pool:
+            nearest = min(pool, key=lambda f: (abs(f["ord"] - caption["ord"]), f["ord"] > caption["ord"]))
+            found.append({"caption_ord": caption["ord"], "figure_ord": nearest["ord"]})
+            free = [f for f in free if f["ord"] != nearest["ord"]]
+    return found
 
 
 def heading_level(text: str, ancestors: list[tuple[int, str]]) -> int:
@@ -162,26 +163,46 @@ def heading_level(text: str, ancestors: list[tuple[int, str]]) -> int:
     return ancestors[-1][0] + 1 if ancestors else 1
 
 
-def section_paths(blocks: DataFrame) -> DataFrame:
-    """(paper_id, ord, level, section_path): the headings that each block stands under, the outermost first.
+def _stack(headings: list[str | None]) -> list[dict]:
+    """Level and section path at each block of a paper, of which the headings are given and other blocks are null."""
+    stack, rows, path = [], [], []
+    for text in headings:
+        level = None
+        if (text or "").strip():
+            level = heading_level(text, stack)
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            stack.append((level, text.strip()))
+            path = [title for _, title in stack]
+        rows.append({"level": level, "section_path": path})
+    return rows
+
+
+_PLACE = pa.struct([("level", pa.int32()), ("section_path", pa.list_(pa.string()))])
 
-    ``blocks`` has paper_id, ord, type and text. A heading closes those of its level and deeper ones. The stack is
-    a fold over one paper, so each paper is folded by itself.
+
+def with_section_paths(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (paper_id, ord, type, text, ...) with level and section_path: the headings that each stands under, the outermost first.
+
+    A heading closes those of its level and deeper ones. The stack is a fold over one paper, so a paper's blocks are gathered
+    in one shuffle; only the headings go through Python, many papers at once.
     """
 
-    def fold(paper: pd.DataFrame) -> pd.DataFrame:
-        paper, stack, rows = paper.sort_values("ord", kind="stable"), [], []
-        for ord_, kind, text in zip(paper["ord"], paper["type"], paper["text"]):
-            level = None
-            if kind == "heading" and (text or "").strip():
-                level = heading_level(text, stack)
-                while stack and stack[-1][0] >= level:
-                    stack.pop()
-                stack.append((level, text.strip()))
-            rows.append((paper["paper_id"].iloc[0], ord_, level, [title for _, title in stack]))
-        return pd.DataFrame(rows, columns=["paper_id", "ord", "level", "section_path"])
-
-    return blocks.groupBy("paper_id").applyInPandas(fold, f"{_typed(blocks)}, ord int, level int, section_path array<string>")
+    @F.arrow_udf("array<struct<level:int,section_path:array<string>>>")
+    def paths(column: pa.Array) -> pa.Array:
+        return pa.array([_stack(headings.as_py()) for headings in column], pa.list_(_PLACE))
+
+    block = F.struct("ord", *(F.col(c) for c in blocks.columns if c not in ("paper_id", "ord")))
+    papers = small_batches(blocks).groupBy("paper_id").agg(F.sort_array(F.collect_list(block)).alias("b"))
+    headings = F.transform("b", lambda b: F.when(b["type"] == "heading", b["text"]))
+    found = papers.select("paper_id", "b", paths(headings).alias("p")).select("paper_id", F.inline(F.arrays_zip("b", "p")))
+    return found.select("paper_id", "b.*", "p.*").select(*blocks.columns, "level", "section_path")
+
+
+def section_paths(blocks: DataFrame) -> DataFrame:
+    """(paper_id, ord, level, section_path) of ``with_section_paths``; other texts than headings aren't moved."""
+    heading = F.when(F.col("type") == "heading", F.col("text"))
+    return with_section_paths(blocks.select("paper_id", F.col("ord").cast("int").alias("ord"), "type", heading.alias("text"))).select("paper_id", "ord", "level", "section_path")
 
 
 def label_number(text: Column, kind: str) -> Column:
