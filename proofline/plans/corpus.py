@@ -294,9 +294,7 @@ SELECT page_id, CAST(generate_subscripts(blocks, 1) - 1 AS INT) AS ord, unnest(b
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure-aware chunks of the pages."""
-    blocks = _page_blocks(spark, sf_dir)
-    paths = structure.section_paths(blocks).select("paper_id", "ord", "section_path")
-    whole = blocks.join(paths, ["paper_id", "ord"]).select(
+    whole = structure.with_section_paths(_page_blocks(spark, sf_dir)).select(
         "paper_id", F.concat(F.lit("b"), "ord").alias("block_id"), "ord", "type", "text", F.lit(1).alias("page"), "section_path",
         F.lit(None).cast("string").alias("caption_of"), F.lit(None).cast("array<string>").alias("context_ids"),
     )
