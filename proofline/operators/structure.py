@@ -228,14 +228,15 @@ def caption_targets(blocks: DataFrame, kind: str) -> DataFrame:
 def assign_boxes(cells: DataFrame, texts: DataFrame, least: float = 0.7, lead: float = 0.4) -> DataFrame:
     """(table_id, text_id, cell_id): each text box with the one cell that covers it clearly.
 
-    The best coverage must be ``least`` and ahead of the next by ``lead``. Tables are the join key, so cells of one
-    table meet its texts only.
+    The best coverage must be ``least`` and ahead of the next by ``lead``. A table's cells are gathered as an array, which its
+    texts meet one by one, so that no pair of a text and a cell is ever sorted or held.
     """
-    pairs = texts.select("table_id", "text_id", F.col("bbox").alias("t")).join(cells.select("table_id", "cell_id", F.col("bbox").alias("c")), "table_id")
-    scored = pairs.withColumn("coverage", boxes.coverage(F.col("c"), F.col("t"))).where("coverage > 0")
-    order = Window.partitionBy("table_id", "text_id").orderBy(F.desc("coverage"), "cell_id")
-    ranked = scored.withColumns({"_n": F.row_number().over(order), "_next": F.coalesce(F.lead("coverage").over(order), F.lit(0.0))})
-    return ranked.where((F.col("_n") == 1) & (F.col("coverage") >= least) & (F.col("coverage") - F.col("_next") >= lead)).select("table_id", "text_id", "cell_id")
+    by_table = cells.groupBy("table_id").agg(F.collect_list(F.struct("cell_id", F.col("bbox").alias("c"))).alias("cells"))
+    met = texts.select("table_id", "text_id", F.col("bbox").alias("t")).join(by_table, "table_id")
+    covers = F.filter(F.transform("cells", lambda x: F.struct((-boxes.coverage(x["c"], F.col("t"))).alias("c"), x["cell_id"].alias("cell_id"))), lambda x: x["c"] < 0)
+    ranked = met.select("table_id", "text_id", F.slice(F.sort_array(covers), 1, 2).alias("r")).where(F.size("r") > 0)
+    best, following = -F.get("r", F.lit(0))["c"], F.coalesce(-F.get("r", F.lit(1))["c"], F.lit(0.0))
+    return ranked.where((best >= least) & (best - following >= lead)).select("table_id", "text_id", F.get("r", F.lit(0))["cell_id"].alias("cell_id"))
 
 
 def keep_evidence_together(ordered: DataFrame) -> DataFrame:
