@@ -80,17 +80,21 @@ def bm25(
     norm = k1 * (1 - b + b * F.col("length") / F.col("mean"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     parts = postings.join(lengths, "doc_id").join(weighted, "token").select("token", "doc_id", part.alias("part"))
-    few = asked.limit(MOST_SENT + 1).count() <= MOST_SENT and asked.select("query_id").distinct().limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    scored = _scored_in_tasks(parts, asked, k) if few else _scored_in_a_join(parts, asked)
+    scored = scored_in_tasks(parts, asked, k) if few_queries(asked) else _scored_in_a_join(parts, asked)
     order = Window.partitionBy("query_id").orderBy(F.round("bm25_score", 9).desc(), F.col("doc_id").cast("string"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def few_queries(asked: DataFrame) -> bool:
+    """Whether the rows (query_id, token) are few enough to be sent to the tasks."""
+    return asked.limit(MOST_SENT + 1).count() <= MOST_SENT and asked.select("query_id").distinct().limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
+
+
 def _scored_in_a_join(parts: DataFrame, asked: DataFrame) -> DataFrame:
     return parts.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum("part").alias("bm25_score")).where("bm25_score > 0")
 
 
-def _scored_in_tasks(parts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def scored_in_tasks(parts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id and bm25_score of the ``k`` best documents, and those that tie with them, of each block of documents."""
     names: dict = {}
     by_token: dict[str, list[int]] = {}
