@@ -12,6 +12,20 @@ from proofline.functions.shared import written
 _NUMBER = "(?:\\d+(?:\\.\\d+)*[A-Za-z]?|[A-Za-z]+\\.?\\d+(?:\\.\\d+)*[A-Za-z]?)"
 _LABEL = f"(?i)\\b(Table|Figure|Fig\\.?)\\s+({_NUMBER})\\s*[:.]"
 _LEADING = f"(?i)^[ \\t\\r\\n|#*_]*\\b(Table|Figure|Fig\\.?)\\s+({_NUMBER})\\s*[:.]"
+#: How many blocks, and bytes of their texts, meet in one task.
+TASK_ROWS, TASK_BYTES = 200_000, 32 << 20
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """``blocks`` dealt out by paper, over as many tasks as their rows and texts need; a paper stays in one.
+
+    What a task sorts takes many times what it reads, as rows of a few labels are shuffled at ten bytes each: the number of
+    tasks goes by the rows and not by the size of the shuffle. Blocks are written once, to be counted and then dealt out.
+    """
+    kept = written(blocks.select("paper_id", "ord", "page", "type", "text"))
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    tasks = max(kept.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS), -(-size // TASK_BYTES))
+    return kept.repartition(tasks, "paper_id")
 
 
 def _kind(name: Column) -> Column:
@@ -43,16 +57,16 @@ def labelled(blocks: DataFrame) -> DataFrame:
 
 
 def _assigned(told: DataFrame) -> DataFrame:
-    """``told`` with each table's number (``own``), runs of neighbouring tables, and the marks of collisions.
+    """``told`` with each table's number (``own``), runs of neighbouring tables, the marks of collisions, and what stands beside each block.
 
     A collision is a table whose text names two tables, the first of which is also the caption behind it, before a table
     without a label: the first label belongs to that table, and the second one is the table's own.
     """
-    order = Window.partitionBy("paper_id").orderBy("at")
+    order = Window.partitionBy("paper_id").orderBy("ord")  # as ``at`` was counted, so that nothing is sorted again
     ahead = lambda name, n=1: F.lead(name, n).over(order)
     table = F.col("type") == "table"
     caption_id = F.when((F.col("type") == "caption") & (F.col("lead_kind") == "table"), F.col("lead_id"))
-    marked = told.withColumns({"is_table": table, "caption_id": caption_id})
+    marked = told.withColumns({"is_table": F.coalesce(table, F.lit(False)), "caption_id": caption_id})
     collides = (
         F.col("is_table") & (F.size("ids") > 1) & (ahead("caption_id") == F.get("ids", F.lit(0)))
         & ahead("is_table", 2) & (F.size(ahead("ids", 2)) == 0) & (F.col("page") == ahead("page", 2))
@@ -60,7 +74,7 @@ def _assigned(told: DataFrame) -> DataFrame:
     marked = marked.withColumn("collides", F.coalesce(collides, F.lit(False)))
     own = F.when(F.col("collides"), F.get("ids", F.lit(1))).when(F.col("lead_kind") == "table", F.col("lead_id"))
     others = F.sum(F.when(F.col("is_table"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumns(
+    marked = marked.withColumns(
         {
             "own": F.when(F.col("is_table"), own),
             "run": F.when(F.col("is_table"), others),
@@ -68,90 +82,97 @@ def _assigned(told: DataFrame) -> DataFrame:
             "after_collision": F.coalesce(F.lag("collides").over(order), F.lit(False)),
         }
     )
+    free = F.col("bare") & F.col("own").isNull()
+    return marked.withColumns({f"{name}_{side}": f(c).over(order) for side, f in (("next", F.lead), ("last", F.lag)) for name, c in (("free", free), ("page", F.col("page")), ("run", F.col("run")))})
 
 
 def _claims(marked: DataFrame) -> DataFrame:
-    """paper_id, caption, target, number: of each table the one caption that has it.
+    """The tables, with ``reserved`` and ``claimed``: the place and number of the one caption that has each, and these captions, with ``target``.
 
     A caption wants the table behind it after a collision, else the nearest table of its page with its number, else a
     neighbour of its page without any label, the one behind first. Of several captions that want a table, one of a
-    collision has it, then the nearest, then the first.
+    collision has it, then the nearest, then the first. A block without a paper claims nothing.
     """
-    order = Window.partitionBy("paper_id").orderBy("at")
-    free = F.col("bare") & F.col("own").isNull()
-    around = marked.withColumns({f"{name}_{side}": f(c).over(order) for side, f in (("next", F.lead), ("last", F.lag)) for name, c in (("free", free), ("page", F.col("page")))})
-    captions = around.where("caption_id is not null")
-    tables = marked.where("is_table and own is not null").select("paper_id", "page", F.col("own").alias("caption_id"), F.col("at").alias("target"))
-    away = F.abs(F.col("at") - F.col("target"))
-    named = captions.join(tables, ["paper_id", "page", "caption_id"]).groupBy("paper_id", "at").agg(F.min(F.struct(away.alias("away"), "target")).alias("near"))
+    known = marked.where("is_table or caption_id is not null").withColumns({"key": F.coalesce("own", "caption_id"), "table_at": F.when(F.col("is_table"), F.col("at"))})
+    same = Window.partitionBy("paper_id", "page", "key").orderBy("at")
+    around = known.withColumns(
+        {
+            "before": F.last("table_at", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)),
+            "after": F.expr("lead(table_at) ignore nulls over (partition by paper_id, page, key order by at)"),
+        }
+    )
+    near = F.when(F.col("before").isNull() | (F.col("after") - F.col("at") < F.col("at") - F.col("before")), F.col("after")).otherwise(F.col("before"))
     beside = F.when(F.col("free_next") & (F.col("page_next") == F.col("page")), F.col("at") + 1).when(F.col("free_last") & (F.col("page_last") == F.col("page")), F.col("at") - 1)
-    wanted = captions.join(named, ["paper_id", "at"], "left").select(
-        "paper_id", F.col("at").alias("caption"), "page", F.col("caption_id").alias("number"), "after_collision",
-        F.when(F.col("after_collision"), F.col("at") + 1).otherwise(F.coalesce("near.target", beside)).alias("target"),
-    )
-    first = Window.partitionBy("paper_id", "target").orderBy(F.desc("after_collision"), F.abs(F.col("caption") - F.col("target")), "caption")
-    return wanted.where("target is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "after_collision")
-
-
-def _owners(marked: DataFrame, claims: DataFrame) -> DataFrame:
-    """paper_id, at, caption: the tables that each claiming caption owns.
-
-    They are its target and the tables that follow each other from the caption towards the target, up to one that another caption
+    wanted = F.when(F.col("after_collision"), F.col("at") + 1).otherwise(F.coalesce(F.when(F.col("page").isNotNull(), near), beside))
+    target = F.when(F.col("is_table"), F.col("at")).when(F.col("paper_id").isNotNull(), wanted)
+    # a table and the captions that want it meet at its place
+    met = around.withColumn("target", target).where("target is not null")
+    met = met.drop("ids", "retyped", "type", "bare", "key", "table_at", "before", "after", "free_next", "free_last", "page_next", "page_last")
+    here = Window.partitionBy("paper_id", "target")
+    claim = F.when(~F.col("is_table"), F.struct(~F.col("after_collision"), F.abs(F.col("at") - F.col("target")), F.col("at").alias("caption"), F.col("caption_id").alias("number")))
+    lead = F.when(F.col("is_table") & (F.col("lead_kind") == "table"), F.col("lead_id"))
+    first = met.withColumns({"first": F.min(claim).over(here), "target_lead": F.max(lead).over(here)})
+    first = first.withColumns({"reserved": F.col("first.caption"), "claimed": F.col("first.number")}).drop("first")
+    return first.where("is_table or reserved = at")
+
+
+def _owned(claimed: DataFrame) -> DataFrame:
+    """``claimed`` with ``caption``, the place of the caption that owns each table, whose number it takes; a caption's is its own.
+
+    A caption owns its target and the tables that follow each other from the caption towards the target, up to one that another caption
     has claimed, of another number or page. Behind a caption that repeats the label of the table before it, tables go on with that
     table. A table that two captions reach is the first one's.
     """
-    order = Window.partitionBy("paper_id").orderBy("at")
-    runs = marked.withColumns({"run_next": F.lead("run").over(order), "run_last": F.lag("run").over(order)})
-    places = runs.select("paper_id", F.col("at").alias("caption"), "run_next", "run_last")
-    leads = marked.where("lead_kind = 'table'").select("paper_id", F.col("at").alias("target"), F.col("lead_id").alias("target_lead"))
-    by = claims.join(places, ["paper_id", "caption"]).join(leads, ["paper_id", "target"], "left")
-    forward = F.col("target") > F.col("caption")
-    repeats = (F.col("target") == F.col("caption") - 1) & F.coalesce(F.col("target_lead") == F.col("number"), F.lit(False))
-    scans = by.select(
-        "paper_id", "caption", "number", F.col("page").alias("of_page"),
-        F.explode(F.array_compact(F.array(
-            F.when(forward | repeats, F.struct(F.lit(1).alias("step"), F.col("run_next").alias("run"))),
-            F.when(~forward, F.struct(F.lit(-1).alias("step"), F.col("run_last").alias("run"))),
-        ))).alias("scan"),
-    ).select("paper_id", "caption", "number", "of_page", "scan.*")
-    claimed = claims.select("paper_id", F.col("target").alias("at"), F.col("caption").alias("reserved"), F.col("number").alias("claimed"))
-    tables = marked.where("is_table").join(claimed, ["paper_id", "at"], "left").select("paper_id", "run", "at", "page", "reserved", F.coalesce("claimed", "own").alias("own"))
-    met = scans.join(tables, ["paper_id", "run"])
-    fits = (
-        (F.col("reserved").isNull() | (F.col("reserved") == F.col("caption"))) & (F.col("own").isNull() | (F.col("own") == F.col("number"))) & (F.col("page") == F.col("of_page"))
+    forward = F.col("target") > F.col("at")
+    repeats = (F.col("target") == F.col("at") - 1) & F.coalesce(F.col("target_lead") == F.col("caption_id"), F.lit(False))
+    scan = lambda step, run: F.struct(F.lit(step).alias("step"), F.col(run).alias("run"))
+    scans = F.array_compact(F.array(
+        scan(0, "run"), F.when(~F.col("is_table") & (forward | repeats) & F.col("run_next").isNotNull(), scan(1, "run_next")),
+        F.when(~F.col("is_table") & ~forward & F.col("run_last").isNotNull(), scan(-1, "run_last")),
+    ))
+    # a run of tables meets the caption before it, if that looks ahead, and the one behind it, if that looks back
+    met = claimed.withColumn("scan", F.explode(scans)).drop("run", "run_next", "run_last", "after_collision", "target", "target_lead").select("*", "scan.*").drop("scan")
+    met = met.withColumn("text", F.when(F.col("step") == 0, F.col("text")))
+    run = Window.partitionBy("paper_id", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    looks = lambda step: F.max(F.when(F.col("step") == step, F.struct(F.col("at").alias("caption"), F.col("caption_id").alias("number"), "page"))).over(run)
+    met = met.withColumns({"ahead": looks(1), "back": looks(-1)})
+    number = F.coalesce("claimed", "own")
+    fits = lambda by: F.coalesce(
+        (F.col("reserved").isNull() | (F.col("reserved") == by["caption"])) & (number.isNull() | (number == by["number"])) & (F.col("page") == by["page"]), F.lit(False)
+    )
+    misfit = lambda by: F.when(F.col("is_table") & ~fits(F.col(by)), F.col("at"))
+    met = met.withColumns({"ahead_stop": F.min(misfit("ahead")).over(run), "back_stop": F.max(misfit("back")).over(run)}).where("step = 0")
+    of = lambda caption, number: F.struct(caption.alias("caption"), number.alias("number"))
+    owner = F.least(
+        F.when(F.col("ahead").isNotNull() & (F.col("ahead_stop").isNull() | (F.col("at") < F.col("ahead_stop"))), of(F.col("ahead.caption"), F.col("ahead.number"))),
+        F.when(F.col("back").isNotNull() & (F.col("back_stop").isNull() | (F.col("at") > F.col("back_stop"))), of(F.col("back.caption"), F.col("back.number"))),
+        F.when(F.col("reserved").isNotNull(), of(F.col("reserved"), F.col("claimed"))),
     )
-    away = (F.col("at") - F.col("caption")) * F.col("step")
-    stop = F.min(F.when(~F.coalesce(fits, F.lit(False)), away)).over(Window.partitionBy("paper_id", "caption", "step"))
-    reached = met.withColumns({"away": away, "stop": stop}).where("stop is null or away < stop").select("paper_id", "at", "caption")
-    return reached.union(claims.select("paper_id", "target", "caption")).groupBy("paper_id", "at").agg(F.min("caption").alias("caption"))
+    return met.withColumn("owner", owner).withColumns({"caption": F.col("owner.caption"), "own": F.coalesce("owner.number", "own")}).drop("owner", "ahead", "back", "ahead_stop", "back_stop")
 
 
 def recover_tables(blocks: DataFrame) -> DataFrame:
     """The logical tables of each paper's ``blocks`` (paper_id, ord, page, type, text).
 
     Returns paper_id, table_id, identifier, caption, page_start, page_end, source_ords, caption_ords, text, status and warnings. A
-    caption claims a table (``_claims``) and owns its region (``_owners``); tables that nobody owns stay alone, but for direct
+    caption claims a table (``_claims``) and owns its region (``_owned``); tables that nobody owns stay alone, but for direct
     neighbours with the same number. Status is caption_collision_recovered, merged_fragments, caption_attached,
     caption_missing or correct (the table has its caption's label itself). Without a caption block the line of the table that names it is
     the caption. A number that comes again has its place among the paper's tables in its id. Nothing is on the same page as
-    a block without one. Every step is a window or a join within a paper; ids of papers may have any type.
+    a block without one. Every step is a window within a paper, after one
+    shuffle by paper over as many tasks as the blocks need (``_dealt``); ids of papers may have any type.
     """
-    marked = written(_assigned(labelled(blocks)))
-    claims = written(_claims(marked))
-    tables = marked.where("is_table").join(_owners(marked, claims), ["paper_id", "at"], "left")
-    of_caption = claims.select("paper_id", "caption", "number").join(
-        marked.select("paper_id", F.col("at").alias("caption"), F.col("ord").alias("caption_ord"), F.col("text").alias("caption_text")), ["paper_id", "caption"]
-    )
-    tables = tables.join(of_caption, ["paper_id", "caption"], "left").withColumn("own", F.coalesce("number", "own"))
-    order = Window.partitionBy("paper_id").orderBy("at")
+    tables = _owned(_claims(_assigned(labelled(_dealt(blocks)))))
+    order = Window.partitionBy("paper_id").orderBy("run", "at")  # captions, which have no run, come before all tables
     goes_on = (
         F.col("caption").isNull() & F.lag("caption").over(order).isNull() & (F.col("own") == F.lag("own").over(order)) & (F.lag("at").over(order) == F.col("at") - 1)
     )
-    island = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order)
+    island = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     tables = tables.withColumn("group", F.when(F.col("caption").isNotNull(), F.concat(F.lit("c"), "caption")).otherwise(F.concat(F.lit("t"), island)))
-    part = F.struct("at", "ord", "page", "text", "own", "lead_kind", "lead_id", "collides")
+    part = F.when(F.col("is_table"), F.struct("at", "ord", "page", "text", "own", "lead_kind", "lead_id", "collides"))
+    of_caption = lambda name: F.max(F.when(~F.col("is_table"), F.col(name)))
     groups = tables.groupBy("paper_id", "group").agg(
-        F.array_sort(F.collect_list(part)).alias("parts"), F.max("caption_ord").alias("caption_ord"), F.max("caption_text").alias("caption_text"), F.max(F.col("collides")).alias("collided")
+        F.array_sort(F.collect_list(part)).alias("parts"), of_caption("ord").alias("caption_ord"), of_caption("text").alias("caption_text"), F.max(F.col("collides")).alias("collided")
     )
     first = F.col("parts")[0]
     numbered = groups.withColumns({"first": first, "id": first["own"], "sequence": F.row_number().over(Window.partitionBy("paper_id").orderBy(first["at"]))})
