@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.operators.context import within_band
@@ -12,6 +13,8 @@ from proofline.operators.structure import label_number
 
 #: Blocks that can explain, and how far they may be away.
 CONTEXT_TYPES, REACH = ("paragraph", "list_item"), 12
+#: Fixed patterns: what mentions a figure or formula of a number, for Python; as in ``figure_explanations`` and ``formula_contexts``.
+FIGURE_MENTION, FORMULA_MENTION = r"\b(?ai:(?:Figure|Fig\.?)\s*{})\b", r"\b(?ai:(?:Equation|Eq\.?)\s*\(?{}\)?)"
 
 
 def _beside(pairs: DataFrame) -> DataFrame:
@@ -49,13 +52,48 @@ def formula_contexts(blocks: DataFrame) -> DataFrame:
     before = formulas.drop("_up").join(contexts.drop("_up"), ["paper_id", "_down"]).where("r_ord < l_ord").drop("_down")
     nearest = Window.partitionBy("paper_id", "l_ord", F.col("r_ord") > F.col("l_ord")).orderBy(F.abs(F.col("r_ord") - F.col("l_ord")))
     closest = _beside(after.unionByName(before)).withColumn("_n", F.row_number().over(nearest)).where("_n = 1").select("paper_id", "l_ord", "r_ord")
-    numbered = blocks.where(is_formula).withColumn("number", F.nullif(F.regexp_extract("text", "\\(\\s*(\\d+(?:\\.\\d+)*[a-z]?)\\s*\\)\\s*$", 1), F.lit(""))).where("number is not null")
+    numbered = blocks.where(is_formula).withColumn("number", formula_number(F.col("text"))).where("number is not null")
     near = within_band(numbered, blocks.where(F.col("type").isin(*CONTEXT_TYPES)), ["paper_id"], "ord", REACH)
     cited = F.expr("regexp_like(r_text, concat('(?i)\\\\b(?:Equation|Eq\\\\.?)\\\\s*\\\\(?', replace(l_number, '.', '\\\\.'), '\\\\)?'))")
     cites = _beside(near).where(cited).select("paper_id", "l_ord", "r_ord")
     return closest.union(cites).distinct().select("paper_id", F.col("l_ord").alias("formula_ord"), F.col("r_ord").alias("context_ord"))
 
 
+def formula_number(text: Column) -> Column:
+    """The number in brackets at the end of a formula; null without one."""
+    return F.nullif(F.regexp_extract(text, "\\(\\s*(\\d+(?:\\.\\d+)*[a-z]?)\\s*\\)\\s*$", 1), F.lit(""))
+
+
+def _compatible(blocks: list[dict], paths: list[list[str]], a: int, b: int) -> bool:
+    """Whether two blocks of a paper may be bound: as in ``_beside``."""
+    pages = blocks[a]["page"], blocks[b]["page"]
+    return (None in pages or abs(pages[0] - pages[1]) <= 1) and (not paths[a] or not paths[b] or paths[a] is paths[b] or paths[a] == paths[b])
+
+
+def mentions_near(blocks: list[dict], paths: list[list[str]], at: int, pattern: str) -> list[int]:
+    """The ords of the explaining blocks of a paper, in order, within reach of the one at ``at`` that match ``pattern``."""
+    low = high = at
+    while low > 0 and blocks[at]["ord"] - blocks[low - 1]["ord"] <= REACH:
+        low -= 1
+    while high + 1 < len(blocks) and blocks[high + 1]["ord"] - blocks[at]["ord"] <= REACH:
+        high += 1
+    near = [i for i in range(low, high + 1) if blocks[i]["type"] in CONTEXT_TYPES and _compatible(blocks, paths, at, i)]
+    return [blocks[i]["ord"] for i in near if re.search(pattern, blocks[i]["text"] or "")]
+
+
+def explained_beside(blocks: list[dict], paths: list[list[str]], at: int) -> list[int]:
+    """The ords of the nearest explaining block on each side of the formula at ``at``, of a paper's blocks in order: as in ``formula_contexts``."""
+    found = []
+    for step in (-1, 1):
+        i = at + step
+        while 0 <= i < len(blocks) and blocks[i]["type"] not in ("heading", "title", "formula"):
+            if blocks[i]["type"] in CONTEXT_TYPES and blocks[i]["ord"] != blocks[at]["ord"] and _compatible(blocks, paths, at, i):
+                found.append(blocks[i]["ord"])
+                break
+            i += step
+    return found
+
+
 def rendered_claims(claims: DataFrame) -> DataFrame:
     """Claims (answer_id, position, text, source_ids) with where each stands in the answer that joins them.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.shared import small_batches, written
+from proofline.functions.shared import small_batches
 from proofline.operators import evidence, structure
 
 #: One token for each Han character, run of letters, digits and underscores, or other mark.
@@ -181,6 +181,10 @@ def paper_chunks(blocks: list[dict], title: str, authors: list[str], target: int
     return drafts
 
 
+#: What a chunk is made of besides its paper.
+_FIELDS = ("ord", "block_id", "type", "text", "page", "section_path", "caption_of", "context_ids")
+
+
 def structure_chunks(blocks: DataFrame, papers: DataFrame, target: int = 600, most: int = 900) -> DataFrame:
     """Chunks of the blocks of each paper.
 
@@ -191,11 +195,19 @@ def structure_chunks(blocks: DataFrame, papers: DataFrame, target: int = 600, mo
     """
     if not 0 < target <= most:
         raise ValueError("target must be positive and at most the limit")
-    fields = ("ord", "block_id", "type", "text", "page", "section_path", "caption_of", "context_ids")
-    held = small_batches(blocks).groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("b"))
-    joined = held.join(papers.select("paper_id", "filename", "title", "authors"), "paper_id", "left")
+    held = small_batches(blocks).groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct(*_FIELDS))).alias("b"))
+    return _chunked(held.join(papers.select("paper_id", *_ABOUT), "paper_id", "left"), target, most)
+
+
+_ABOUT = ("filename", "title", "authors")
+
+
+def _chunked(held: DataFrame, target: int, most: int, bind: bool = False) -> DataFrame:
+    """The chunks of ``held`` (paper_id, b, filename, title, authors), a row for each paper; with ``bind`` its blocks are those of ``_told``."""
 
     def fold(paper: str | None, rows: list[dict], filename: str | None, title: str | None, authors: list[str] | None) -> list[dict]:
+        if bind:
+            rows = [row | place for row, place in zip(rows, _places(paper, rows))]
         name = title or filename or ""
         used: dict[str, int] = {}
         out = []
@@ -213,36 +225,92 @@ def structure_chunks(blocks: DataFrame, papers: DataFrame, target: int = 600, mo
     def chunks(*columns: pa.Array) -> pa.Array:
         return pa.array([fold(*(value.as_py() for value in row)) for row in zip(*columns)], pa.list_(_CHUNK))
 
-    return joined.select("paper_id", F.inline(chunks(F.col("paper_id").cast("string"), "b", "filename", "title", "authors")))
+    return held.select("paper_id", F.inline(chunks(F.col("paper_id").cast("string"), "b", *_ABOUT)))
+
+
+def _told(blocks: DataFrame) -> Column:
+    """A block of ``blocks`` (ord, block_id, type, text, page) with the numbers that its label or its formula has, as ``_places`` reads it."""
+    kind = F.col("type")
+    numbers = {
+        "table_no": F.when(kind == "caption", structure.label_number(F.col("text"), "table")), "figure_no": F.when(kind.isin("caption", "figure"), structure.label_number(F.col("text"), "figure")),
+        "formula_no": F.when(kind == "formula", evidence.formula_number(F.col("text"))),
+    }
+    return F.struct("ord", "block_id", "type", "text", "page", *(number.alias(name) for name, number in numbers.items()))
+
+
+def _places(paper: str | None, blocks: list[dict]) -> list[dict]:
+    """section_path, caption_of and context_ids of each of a paper's blocks, which are in order; blocks of no paper have sections only."""
+    paths = [row["section_path"] for row in structure.stacked([b["text"] if b["type"] == "heading" else None for b in blocks])]
+    owner, contexts = ({}, {}) if paper is None else _bound(blocks, paths)
+    ids = {b["ord"]: b["block_id"] for b in blocks}
+    return [
+        {"section_path": path, "caption_of": ids.get(owner.get(b["ord"])), "context_ids": [ids[i] for i in sorted(contexts[b["ord"]])] if b["ord"] in contexts else None}
+        for b, path in zip(blocks, paths)
+    ]
+
+
+def _bound(blocks: list[dict], paths: list[list[str]]) -> tuple[dict[int, int], dict[int, set[int]]]:
+    """({caption: its table or figure}, {figure or formula: its contexts}) of one paper, by ord."""
+    captions = {b["ord"]: b for b in blocks if b["type"] == "caption"}
+    tables: dict[int | None, list[int]] = {}
+    for b in blocks:
+        if b["type"] == "table":
+            tables.setdefault(b["page"], []).append(b["ord"])
+    labelled = [b | {"number": b["figure_no"]} for b in blocks if b["type"] == "figure" or (b["type"] == "caption" and b["figure_no"])]
+    owner = {c["caption_ord"]: c["figure_ord"] for c in structure.claimed(labelled)}
+    number = {owner[at]: captions[at]["figure_no"] for at in sorted(owner, reverse=True)}  # of a figure: that of its first caption, else its own
+    for at, caption in captions.items():
+        if caption["table_no"] and caption["page"] is not None and caption["page"] in tables:
+            owner[at] = min(tables[caption["page"]], key=lambda target: (abs(target - at), target))
+    contexts: dict[int, set[int]] = {}
+    for at, b in enumerate(blocks):
+        if b["type"] == "figure" and (no := number.get(b["ord"], b["figure_no"])):
+            found = evidence.mentions_near(blocks, paths, at, evidence.FIGURE_MENTION.format(no))
+        elif b["type"] == "formula":
+            found = evidence.explained_beside(blocks, paths, at)
+            if b["formula_no"]:
+                found += evidence.mentions_near(blocks, paths, at, evidence.FORMULA_MENTION.format(re.escape(b["formula_no"])))
+        else:
+            continue
+        if found:
+            contexts.setdefault(b["ord"], set()).update(found)
+    return owner, contexts
 
 
 def bound_blocks(blocks: DataFrame) -> DataFrame:
     """``blocks`` (paper_id, ord, block_id, type, text, page) with section_path, caption_of and context_ids, as ``structure_chunks`` reads them.
 
     A caption belongs to the nearest table of its page that it labels, or to the figure that it claims; of several only to the
-    table. Contexts are the blocks that explain a figure by its number, or a formula, in their order. The blocks are written
-    once, as five steps read them.
+    table. Contexts are the blocks that explain a figure by its number, or a formula, in their order. A paper's blocks are gathered
+    in one shuffle and bound in one fold, so nothing is written down or joined.
     """
-    key = ["paper_id", "ord"]
-    placed = written(structure.with_section_paths(blocks.select(*key, "block_id", "type", "text", "page")).drop("level"))
-    tables = structure.caption_targets(placed, "table").select("paper_id", "caption_ord", "target_ord", F.lit(0).alias("turn"))
-    figures = structure.figure_claims(placed).select("paper_id", "caption_ord", F.col("figure_ord").alias("target_ord"), F.lit(1).alias("turn"))
-    owned = tables.unionByName(figures).groupBy("paper_id", "caption_ord").agg(F.min_by("target_ord", "turn").alias("target_ord"))
-    ids = placed.select("paper_id", F.col("ord").alias("target_ord"), F.col("block_id").alias("caption_of"))
-    captions = owned.join(ids, ["paper_id", "target_ord"]).select("paper_id", F.col("caption_ord").alias("ord"), "caption_of")
-    words = owned.join(placed.select("paper_id", F.col("ord").alias("caption_ord"), F.col("text").alias("said")), ["paper_id", "caption_ord"])
-    said = words.groupBy("paper_id", F.col("target_ord").alias("ord")).agg(F.min_by("said", "caption_ord").alias("said"))
-    shown = placed.join(said, key, "left").withColumn("text", F.when(F.col("type") == "figure", F.coalesce("said", "text")).otherwise(F.col("text"))).drop("said")
-    near = evidence.figure_explanations(shown).select("paper_id", F.col("figure_ord").alias("ord"), F.col("context_ord").alias("target_ord"))
-    near = near.unionByName(evidence.formula_contexts(placed).select("paper_id", F.col("formula_ord").alias("ord"), F.col("context_ord").alias("target_ord")))
-    listed = near.join(ids, ["paper_id", "target_ord"]).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("target_ord", "caption_of"))).alias("c"))
-    contexts = listed.select(*key, F.col("c.caption_of").alias("context_ids"))
-    return placed.join(captions, key, "left").join(contexts, key, "left")
+
+    @F.arrow_udf("array<struct<section_path:array<string>,caption_of:string,context_ids:array<string>>>")
+    def places(paper: pa.Array, column: pa.Array) -> pa.Array:
+        return pa.array([_places(*(value.as_py() for value in row)) for row in zip(paper, column)], pa.list_(_PLACE))
+
+    held = small_batches(blocks).groupBy("paper_id").agg(F.sort_array(F.collect_list(_told(blocks))).alias("b"))
+    placed = held.select("paper_id", "b", places(F.col("paper_id").cast("string"), "b").alias("p")).select("paper_id", F.inline(F.arrays_zip("b", "p")))
+    return placed.select("paper_id", *(f"b.{name}" for name in _FIELDS[:5]), "p.*")
+
+
+_PLACE = pa.struct([("section_path", pa.list_(pa.string())), ("caption_of", pa.string()), ("context_ids", pa.list_(pa.string()))])
 
 
 def chunks_of_blocks(blocks: DataFrame, papers: DataFrame, target: int = 600, most: int = 900) -> DataFrame:
-    """From stored blocks (as ``trees.tree_blocks`` or ``collections.paper_blocks`` have them) to chunks: bound, then cut."""
-    return structure_chunks(bound_blocks(blocks), papers, target, most)
+    """From stored blocks (as ``trees.tree_blocks`` or ``collections.paper_blocks`` have them) to chunks: bound, then cut.
+
+    The same as ``structure_chunks`` of ``bound_blocks``, but a paper's blocks and what is known about it meet in one shuffle and go
+    through one fold, so that section paths, which can be longer than the texts, are never moved or written down.
+    """
+    if not 0 < target <= most:
+        raise ValueError("target must be positive and at most the limit")
+    block, about = _told(blocks).alias("b"), F.when(F.col("paper_id").isNotNull(), F.struct(*_ABOUT)).alias("about")
+    of_blocks = small_batches(blocks).select("paper_id", block)
+    of_papers = papers.select(F.col("paper_id").cast(blocks.schema["paper_id"].dataType).alias("paper_id"), about)
+    held = of_blocks.unionByName(of_papers, allowMissingColumns=True).groupBy("paper_id").agg(F.sort_array(F.collect_list("b")).alias("b"), F.collect_list("about").alias("about"))
+    known = held.where(F.size("b") > 0).select("paper_id", "b", F.explode_outer("about").alias("about"))
+    return _chunked(known.select("paper_id", "b", "about.*"), target, most, bind=True)
 
 
 def chunk_stats(chunks: DataFrame, most: int = 900) -> DataFrame:

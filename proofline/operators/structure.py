@@ -129,14 +129,14 @@ def figure_claims(blocks: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<struct<caption_ord:int,figure_ord:int>>")
     def claims(column: pa.Array) -> pa.Array:
-        return pa.array([_claimed(paper.as_py()) for paper in column], pa.list_(pa.struct([("caption_ord", pa.int32()), ("figure_ord", pa.int32())])))
+        return pa.array([claimed(paper.as_py()) for paper in column], pa.list_(pa.struct([("caption_ord", pa.int32()), ("figure_ord", pa.int32())])))
 
     block = F.struct(F.col("ord").cast("int").alias("ord"), "type", "page", "number")
     papers = small_batches(told).groupBy("paper_id").agg(F.sort_array(F.collect_list(block)).alias("b"))
     return papers.select("paper_id", F.inline(claims("b")))
 
 
-def _claimed(blocks: list[dict]) -> list[dict]:
+def claimed(blocks: list[dict]) -> list[dict]:
     """The captions of one paper in order, each with the figure that it claims."""
     free = [b for b in blocks if b["type"] == "figure"]
     found = []
@@ -163,7 +163,7 @@ def heading_level(text: str, ancestors: list[tuple[int, str]]) -> int:
     return ancestors[-1][0] + 1 if ancestors else 1
 
 
-def _stack(headings: list[str | None]) -> list[dict]:
+def stacked(headings: list[str | None]) -> list[dict]:
     """Level and section path at each block of a paper, of which the headings are given and other blocks are null."""
     stack, rows, path = [], [], []
     for text in headings:
@@ -190,7 +190,7 @@ def with_section_paths(blocks: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<struct<level:int,section_path:array<string>>>")
     def paths(column: pa.Array) -> pa.Array:
-        return pa.array([_stack(headings.as_py()) for headings in column], pa.list_(_PLACE))
+        return pa.array([stacked(headings.as_py()) for headings in column], pa.list_(_PLACE))
 
     block = F.struct("ord", *(F.col(c) for c in blocks.columns if c not in ("paper_id", "ord")))
     papers = small_batches(blocks).groupBy("paper_id").agg(F.sort_array(F.collect_list(block)).alias("b"))
