@@ -288,29 +288,17 @@ def split_records(cells: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFr
     Cells come as (table_id, source_id, row, col, row_span, col_span, header, bbox, record, operation, ocr_ids, text):
     ``operation`` is ``split``, ``moved`` (below a split row) or ``unchanged``. A table is split only if all its rows in
     doubt may be and the result has at most 5,000 cells; a table of more than 5,000 cells or 10,000 words is left as it is. Every word comes
-    out once. Text of cells that aren't split is in the order of ocr_id.
+    out once. Text of cells that aren't split is in the order of ocr_id. A table is folded by itself, in ``record_folds``.
     """
-    owned = _owned(cells, words)
-    judged = _judged_rows(owned.where((F.col("words") <= MOST_TABLE_WORDS) & (F.col("cells") <= MOST_CELLS)))
-    plans = judged.groupBy("table_id").agg(
-        F.max(F.size("reasons")).alias("bad"), F.sum(F.col("records") - 1).alias("more"), F.array_sort(F.collect_list(F.struct("row", "records", "boundaries", "parted"))).alias("plan"), *_first("rows", "cols")
-    )
-    plans = plans.where((F.col("bad") == 0) & ((F.col("rows") + F.col("more")) * F.col("cols") <= MOST_CELLS)).select("table_id", "plan")
-
-    words_ = F.sort_array(F.transform("w", lambda x: F.struct(x["ocr_id"].alias("ocr_id"), x["text"].alias("text"))))
-    whole = owned.select("table_id", "cell_id", "row", "col", "row_span", "col_span", "header", "bbox", words_.alias("w")).join(plans, "table_id", "left")
-    offset = F.coalesce(F.aggregate(F.filter("plan", lambda p: p["row"] < F.col("row")), F.lit(0), lambda s, p: s + p["records"] - 1), F.lit(0))
-    whole = whole.withColumns({"offset": offset, "this": F.get(F.filter("plan", lambda p: p["row"] == F.col("row")), F.lit(0))})
-    whole = whole.withColumn("parts", F.get(F.filter("this.parted", lambda c: c["cell_id"] == F.col("cell_id")), F.lit(0))["parts"])
-    kept = F.struct(
-        (F.col("row") + F.col("offset")).alias("row"), "bbox", F.lit(None).cast("int").alias("record"), F.when(F.col("offset") > 0, "moved").otherwise("unchanged").alias("operation"),
-        F.transform("w", lambda x: x["ocr_id"].cast("long")).alias("ocr_ids"), F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"),
-    )
-    bounds = lambda i: F.get("this.boundaries", i)
-    cut = lambda p: F.struct(
-        (F.col("row") + F.col("offset") + p["record"]).alias("row"), F.array(F.col("bbox")[0], bounds(p["record"]), F.col("bbox")[2], bounds(p["record"] + 1)).alias("bbox"), p["record"].alias("record"),
-        F.lit("split").alias("operation"), p["ocr_ids"].cast("array<long>").alias("ocr_ids"), p["text"].alias("text"),
-    )
-    found = whole.select("table_id", F.col("cell_id").alias("source_id"), "col", "row_span", "col_span", "header", F.explode(F.when(F.col("this").isNull(), F.array(kept)).otherwise(F.transform("parts", cut))).alias("c"))
-    placed = found.select("table_id", "source_id", "c.row", "col", "row_span", "col_span", "header", "c.bbox", "c.record", "c.operation", "c.ocr_ids", "c.text")
-    return placed, judged.select("table_id", "row", "records", "boundaries", "reasons")
+    from proofline.operators.record_folds import split_tables
+
+    judged = _judged_rows(_owned(cells, words).where((F.col("words") <= MOST_TABLE_WORDS) & (F.col("cells") <= MOST_CELLS)))
+    return split_tables(_gathered(cells, words)), judged.select("table_id", "row", "records", "boundaries", "reasons")
+
+
+def _gathered(cells: DataFrame, words: DataFrame) -> DataFrame:
+    """(table_id, cells, words) of each table that has a cell, as arrays, by one shuffle of both by table_id."""
+    cell = F.struct("cell_id", *(F.col(name).cast(kind).alias(name) for name, kind in (("row", "int"), ("col", "int"), ("row_span", "int"), ("col_span", "int"))), "header", "bbox")
+    word = F.struct("cell_id", F.col("ocr_id").cast("long").alias("ocr_id"), "text", "bbox")
+    both = cells.select("table_id", cell.alias("c")).unionByName(words.select("table_id", word.alias("w")), allowMissingColumns=True)
+    return both.groupBy("table_id").agg(F.collect_list("c").alias("cells"), F.collect_list("w").alias("words")).where(F.size("cells") > 0)
